@@ -30,7 +30,7 @@ def frequent_itemsets(baskets: DataFrame, min_support: float = 0.1, n_baskets: i
     present = lists.count()
     total = present if n_baskets is None else n_baskets
     # FP-growth counts against the baskets it sees; scale the threshold to the full denominator.
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, min_support * total / max(present, 1)), numPartitions=None)
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, min_support * total / max(present, 1)))
     found = model.fit(lists).freqItemsets
     return found.select(
         F.array_sort("items").alias("items"),
