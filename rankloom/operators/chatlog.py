@@ -110,8 +110,9 @@ def transcripts(lines: DataFrame, header: str = "=== Chat Transcript ===", turns
 
 
 def write_transcripts(parts: DataFrame, path: str) -> None:
-    """Text files below one folder per conversation and part."""
-    parts.select("conv_id", "part", "transcript").write.partitionBy("conv_id", "part").text(path, lineSep="")
+    """Text files below one folder per conversation and part; meant for a choice of conversations."""
+    text = F.regexp_replace("transcript", r"\n\z", "")  # the writer ends every row with a newline
+    parts.select("conv_id", "part", text.alias("value")).write.partitionBy("conv_id", "part").text(path)
 
 
 def paired_turns(messages: DataFrame, user: str = "user", bot: str = "assistant") -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,17 +22,27 @@ BLOCK = "_block"
 def value_blocks(df: DataFrame, col: str, blocks: int | None = None) -> DataFrame:
     """Add a block number, monotone in ``col``, cut at approximate quantiles of its values.
 
-    The cut points are one fixed-size array, found by a mergeable sketch and read as a scalar.
+    The cut points, at most ``MAX_BLOCKS`` numbers, come from one mergeable sketch. They enter the plan as
+    constants, so that both sides of a later join, and tasks run again, use the very same cuts.
     Rows with equal values share a block, so callers with heavy ties group by value first.
     """
     n = blocks or block_count(df.sparkSession)
     cuts = [i / n for i in range(1, n)]
-    bounds = df.agg(F.percentile_approx(col, cuts, 10 * n).alias("bounds")).scalar()
-    return (
-        df.withColumn("_bounds", bounds)
-        .withColumn(BLOCK, F.size(F.filter("_bounds", lambda b: b < F.col(col))))
-        .drop("_bounds")
-    )
+    found = df.agg(F.percentile_approx(F.col(col).cast("double"), cuts, 10 * n)).first()[0]
+    bounds = sorted(set(found or []))
+    if not bounds:
+        return df.withColumn(BLOCK, F.lit(0))
+    splits = [float("-inf"), *bounds, float("inf")]
+    placed = Bucketizer(splits=splits, inputCol=col, outputCol=BLOCK).transform(df)
+    return placed.withColumn(BLOCK, F.col(BLOCK).cast("int"))
+
+
+def equal_width_bin(df: DataFrame, col: str, bins: int) -> Column:
+    """Bin number 0..bins-1 of ``col`` between its smallest and largest value, which are read first."""
+    lo, hi = df.agg(F.min(col).cast("double"), F.max(col).cast("double")).first()
+    if lo is None or not hi > lo:
+        return F.lit(0)
+    return F.least(F.floor((F.col(col) - lo) / (hi - lo) * bins), F.lit(bins - 1)).cast("int")
 
 
 def step_blocks(df: DataFrame, col: str, width: int) -> DataFrame:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankloom.operators.ordered import BLOCK, ordered_scan, value_blocks
+from rankloom.operators.ordered import BLOCK, equal_width_bin, ordered_scan, value_blocks
 from rankloom.session import block_count, cut_lineage
 
 #: Most vectors one task compares against another chunk of the same size.
@@ -45,12 +45,9 @@ def front_values_2d(df: DataFrame, f1: str, f2: str, by: Sequence[str] = ()) ->
     """
     pts = df.select(*by, f1, f2).where(F.col(f1).isNotNull() & F.col(f2).isNotNull())
     n = block_count(df.sparkSession)
-    lim = pts.agg(F.struct(F.min(f1).alias("lo"), F.max(f1).alias("hi")).alias("lim")).scalar()
-    place = F.floor((F.col(f1) - lim["lo"]) / (lim["hi"] - lim["lo"]) * n).cast("int")
-    coarse = pts.withColumn(
-        BLOCK, F.when(lim["hi"] > lim["lo"], F.least(place, F.lit(n - 1))).otherwise(F.lit(0))
-    )
+    coarse = pts.withColumn(BLOCK, equal_width_bin(pts, f1, n))
     left = _drop_below_earlier_blocks(coarse, by, f2).groupBy(*by, f1).agg(F.min(f2).alias(f2))
+    left = cut_lineage(left)  # few rows; the steps below read them three times
     fine = _drop_below_earlier_blocks(value_blocks(left, f1), by, f2)
     sweep = Window.partitionBy(*by, BLOCK).orderBy(f1).rowsBetween(Window.unboundedPreceding, -1)
     return (
@@ -239,7 +236,7 @@ def hypervolume_4d(df: DataFrame, objectives: Sequence[str], ref: Sequence[float
     levels = ordered_scan(value_blocks(front.select(d).distinct(), d), [], [d], {"upper": ("next", d)})
     slices = value_blocks(levels, d)
     grouped = slices.groupBy(BLOCK).agg(F.array_sort(F.collect_list(F.struct(d, "upper"))).alias("_slices"))
-    last_block = slices.agg(F.max(BLOCK).alias("b")).scalar()
+    last_block = F.lit(slices.agg(F.max(BLOCK)).first()[0])
     # A point lies in its own slice's block and counts for every later one.
     copies = front.join(slices.select(d, BLOCK), d).withColumn(BLOCK, F.explode(F.sequence(F.col(BLOCK), last_block)))
     share = copies.join(grouped, BLOCK)

@@ -6,50 +6,63 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Terms above this share of all postings are joined by broadcast; there can be at most 1/share of them.
+from rankloom.session import cut_lineage
+
+#: A vocabulary of at most this many terms is broadcast (about 100 MB); a larger one is joined by shuffle.
+MAX_SHIPPED_TERMS = 2_000_000
+#: Terms above this share of all postings count as frequent; there can be at most 1/share of them.
 HOT_SHARE = 1e-4
 #: Query texts scored in one pass over the documents.
 QUERY_CHUNK = 5_000
 #: Scores a task holds before it keeps only the best of them.
-HELD_PAIRS = 2_000_000
+HELD_SCORES = 2_000_000
+
+
+def terms_of(text: Column | str) -> Column:
+    """Lower-cased runs of ASCII letters and digits of the whole text."""
+    return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
 
 
 def term_counts(df: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(id, term, tf) for lower-cased runs of ASCII letters and digits, of the whole text."""
-    terms = F.explode(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)))
-    return df.select(id_col, terms.alias("term")).groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
+    """(id, term, tf). Texts are spread by id once; counting and later sums per id need no further shuffle."""
+    rows = df.select(id_col, text).repartition(id_col)
+    return rows.select(id_col, F.explode(terms_of(text)).alias("term")).groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def term_weights(counts: DataFrame, n_docs: int) -> DataFrame:
-    """(term, df, idf) with idf = ln((1 + n) / (1 + df)) + 1."""
-    return counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn(
-        "idf", F.log((F.lit(float(n_docs)) + 1) / (F.col("df") + 1)) + 1
-    )
+def term_weights(df: DataFrame, text: str) -> DataFrame:
+    """(term, df, idf) with idf = ln((1 + n) / (1 + df)) + 1, written out once.
+
+    Each text's distinct terms are counted where the text lies, so only partial counts are shuffled.
+    """
+    n = df.agg(F.count(F.lit(1)).cast("double").alias("n")).scalar()
+    found = df.select(F.explode(F.array_distinct(terms_of(text))).alias("term"))
+    counted = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return cut_lineage(counted.withColumn("idf", F.log((n + 1) / (F.col("df") + 1)) + 1))
 
 
-def weigh(counts: DataFrame, weights: DataFrame) -> DataFrame:
-    """Postings with ``weight`` = tf * idf; terms without an idf drop out.
+def weigh(counts: DataFrame, weights: DataFrame, max_shipped: int = MAX_SHIPPED_TERMS) -> DataFrame:
+    """Postings with the columns of ``weights``; terms without weights drop out.
 
-    Frequent terms would make one join partition huge. They are few by construction (each holds more
-    than ``HOT_SHARE`` of the postings), so they are broadcast; all other terms meet in a shuffle join.
+    A vocabulary beyond the bound is split: the few frequent terms, each of which would fill a join
+    partition, are broadcast and all others meet in a shuffle join.
     """
+    if weights.count() <= max_shipped:
+        return counts.join(F.broadcast(weights), "term")
     postings = weights.agg(F.sum("df").alias("n")).scalar()
-    hot = F.col("df") > postings * HOT_SHARE
-    idf = weights.withColumn("_hot", hot).select("term", "idf", "_hot")
-    few = F.broadcast(idf.where("_hot").select("term", "idf"))
-    joined = counts.join(few.withColumnRenamed("idf", "_hot_idf"), "term", "left")
-    cold = joined.where(F.col("_hot_idf").isNull()).drop("_hot_idf").join(idf.where(~F.col("_hot")).select("term", "idf"), "term")
-    warm = joined.where(F.col("_hot_idf").isNotNull()).withColumnRenamed("_hot_idf", "idf")
-    return cold.unionByName(warm).withColumn("weight", F.col("tf") * F.col("idf")).drop("idf")
+    marked = weights.withColumn("_hot", F.col("df") > postings * HOT_SHARE)
+    few = F.broadcast(marked.where("_hot").drop("_hot"))
+    hot = counts.join(few, "term")
+    cold = counts.join(few, "term", "left_anti").join(marked.where("NOT _hot").drop("_hot"), "term")
+    return hot.unionByName(cold)
 
 
 def text_vectors(df: DataFrame, id_col: str, text: str) -> DataFrame:
     """Sparse TF-IDF rows (id, term, tf, weight) of a table of texts."""
-    counts = term_counts(df, id_col, text)
-    return weigh(counts, term_weights(counts, df.count()))
+    found = weigh(term_counts(df, id_col, text), term_weights(df, text))
+    return found.select(id_col, "term", "tf", (F.col("tf") * F.col("idf")).alias("weight"))
 
 
 def vector_norms(vectors: DataFrame, id_col: str) -> DataFrame:
@@ -65,55 +78,79 @@ def similar_texts(queries: DataFrame, query_id: str, docs: DataFrame, doc_id: st
     Weights come from the documents. Queries go out in chunks of sparse vectors; each document's postings
     are scored against them where they lie, and a task hands on ``k`` documents per query, not pairs.
     """
+    weights = term_weights(docs, text)
     counts = term_counts(docs, doc_id, text)
-    weights = term_weights(counts, docs.count())
-    doc_rows = weigh(counts, weights).groupBy(doc_id).agg(
-        F.collect_list("term").alias("terms"), F.collect_list("weight").alias("weights"),
+    query_rows = weigh(term_counts(queries, query_id, text), weights).select(
+        F.col(query_id).alias("q"), "term", (F.col("tf") * F.col("idf")).alias("weight")
     )
-    query_rows = weigh(term_counts(queries, query_id, text), weights)
-    query_ids = queries.select(query_id).distinct()
-    n = query_ids.count()
-    chunks = -(-n // query_chunk) or 1
+    chunks = -(-queries.count() // query_chunk) or 1
     out = None
     for part in range(chunks):
-        mine = F.pmod(F.xxhash64(query_id), F.lit(chunks)) == part
-        pdf = query_rows.where(mine).select(F.col(query_id).alias("q"), "term", "weight").toPandas()
-        found = _score_chunk(pdf, doc_rows, doc_id, query_id, k)
+        mine = F.pmod(F.xxhash64("q"), F.lit(chunks)) == part
+        found = _score_chunk(query_rows.where(mine).toPandas(), counts, weights, doc_id, query_id, k)
         out = found if out is None else out.unionByName(found)
     order = Window.partitionBy(query_id).orderBy(F.desc("similarity"), doc_id)
     return out.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= k)
 
 
-def _score_chunk(pdf: pd.DataFrame, doc_rows: DataFrame, doc_id: str, query_id: str, k: int) -> DataFrame:
-    qids, qpos = np.unique(pdf["q"].to_numpy(), return_inverse=True)
-    norms = np.sqrt(np.bincount(qpos, weights=pdf["weight"].to_numpy() ** 2, minlength=len(qids)))
-    by_term: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-    for term, rows in pdf.assign(p=qpos).groupby("term", sort=False):
-        by_term[term] = (rows["p"].to_numpy(), rows["weight"].to_numpy())
-    shipped = doc_rows.sparkSession.sparkContext.broadcast((qids, norms, by_term))
+class _QueryBlock:
+    """One chunk of queries as a compressed term-by-query matrix."""
+
+    def __init__(self, pdf: pd.DataFrame) -> None:
+        self.terms, row = np.unique(pdf["term"].to_numpy(dtype=str), return_inverse=True)
+        self.ids, col = np.unique(pdf["q"].to_numpy(), return_inverse=True)
+        weight = pdf["weight"].to_numpy(dtype=float)
+        self.norms = np.sqrt(np.bincount(col, weights=weight**2, minlength=len(self.ids)))
+        order = np.argsort(row, kind="stable")
+        self.col, self.weight = col[order], weight[order]
+        self.start = np.r_[0, np.cumsum(np.bincount(row, minlength=len(self.terms)))]
+
+    def dots(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Dot product of one sparse document with every query."""
+        width = self.start[terms + 1] - self.start[terms]
+        source = np.repeat(np.arange(len(terms)), width)
+        at = self.start[terms][source] + np.arange(len(source)) - np.repeat(np.cumsum(width) - width, width)
+        return np.bincount(self.col[at], weights=weights[source] * self.weight[at], minlength=len(self.ids))
+
+
+def _score_chunk(pdf: pd.DataFrame, counts: DataFrame, weights: DataFrame, doc_id: str, query_id: str, k: int) -> DataFrame:
+    spark = counts.sparkSession
+    block = _QueryBlock(pdf)
+    shipped = spark.sparkContext.broadcast(block)
+    vocabulary = spark.createDataFrame(
+        pd.DataFrame({"term": block.terms.astype(object), "t": np.arange(len(block.terms))}), "term string, t int"
+    )
+    numbered = weights.join(F.broadcast(vocabulary), "term", "left")  # at most QUERY_CHUNK texts' terms
+    w = F.col("tf") * F.col("idf")
+    rows = weigh(counts, numbered).groupBy(doc_id).agg(
+        F.sqrt(F.sum(w * w)).alias("norm"),
+        F.collect_list(F.when(F.col("t").isNotNull(), F.struct("t", w.alias("w")))).alias("_hits"),
+    ).select(doc_id, "norm", F.col("_hits.t").alias("t"), F.col("_hits.w").alias("w"))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, qnorm, terms = shipped.value
+        q = shipped.value
         best = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        least = np.zeros(len(q.ids))  # k-th best so far per query
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         size = 0
         for batch in batches:
-            for doc, ts, ws in zip(batch[doc_id], batch["terms"], batch["weights"]):
-                acc = np.zeros(len(ids))
-                for t, w in zip(ts, ws):
-                    hit = terms.get(t)
-                    if hit is not None:
-                        acc[hit[0]] += w * hit[1]
-                q = np.flatnonzero(acc)
-                sims = np.round(acc[q] / (qnorm[q] * np.sqrt((np.asarray(ws) ** 2).sum())), 9)
-                held.append((q, np.full(len(q), doc, dtype=np.int64), sims))
-                size += len(q)
-                if size > HELD_PAIRS:
+            for doc, norm, ts, ws in zip(batch[doc_id], batch["norm"], batch["t"], batch["w"]):
+                if len(ts) == 0:
+                    continue
+                sims = np.round(q.dots(np.asarray(ts), np.asarray(ws)) / (q.norms * norm), 9)
+                hit = np.flatnonzero((sims > 0) & (sims >= least))
+                held.append((hit, np.full(len(hit), doc, dtype=np.int64), sims[hit]))
+                size += len(hit)
+                if size > max(HELD_SCORES, 2 * k * len(q.ids)):
                     best, held, size = _best_of(best, held, k), [], 0
-        q, docs, sims = _best_of(best, held, k)
-        yield pd.DataFrame({query_id: ids[q] if len(q) else q, doc_id: docs, "similarity": sims})
-
-    return doc_rows.mapInPandas(scan, f"{query_id} bigint, {doc_id} bigint, similarity double")
+                    full = np.bincount(best[0], minlength=len(q.ids)) >= k
+                    low = np.full(len(q.ids), np.inf)
+                    np.minimum.at(low, best[0], best[2])
+                    least = np.where(full, low, 0.0)
+        rows, ids, sims = _best_of(best, held, k)
+        yield pd.DataFrame({query_id: q.ids[rows] if len(rows) else rows, doc_id: ids, "similarity": sims})
+
+    return rows.mapInPandas(scan, f"{query_id} bigint, {doc_id} bigint, similarity double")
 
 
 def _best_of(best: tuple, held: list[tuple], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
