@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from rankloom.functions import fixed
 from rankloom.operators.ordered import BLOCK, global_rank, ordered_scan, step_blocks, value_blocks
 from rankloom.operators.score import top_per
+from rankloom.session import cut_lineage
 
-TURNS = 4096
+TURNS = 1024
 
 
 def strip(text: Column | str) -> Column:
@@ -25,7 +26,7 @@ def strip(text: Column | str) -> Column:
 
 def tail_messages(messages: DataFrame, n: int = 80) -> DataFrame:
     """The last ``n`` messages of every conversation."""
-    return top_per(messages, ["conv_id"], [F.desc("turn")], n, "_rn").drop("_rn").orderBy("conv_id", "turn")
+    return top_per(messages, ["conv_id"], [F.desc("turn")], n, "_rn").drop("_rn")
 
 
 def append_messages(messages: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -34,8 +35,8 @@ def append_messages(messages: DataFrame, incoming: DataFrame) -> DataFrame:
     Messages for unknown conversations are ignored; ``ts`` is a number, ties go by ``msg_id``.
     """
     last = messages.groupBy("conv_id").agg(F.max("turn").alias("_last"))
-    known = incoming.join(last, "conv_id")
-    placed = ordered_scan(value_blocks(known, "ts"), ["conv_id"], ["ts", "msg_id"], {"_n": ("row_number", None)})
+    known = value_blocks(incoming, "ts").join(last, "conv_id")
+    placed = ordered_scan(known, ["conv_id"], ["ts", "msg_id"], {"_n": ("row_number", None)})
     return messages.unionByName(
         placed.select("conv_id", (F.col("_last") + F.col("_n")).alias("turn"), "role", "text")
     )
@@ -43,7 +44,7 @@ def append_messages(messages: DataFrame, incoming: DataFrame) -> DataFrame:
 
 def ensure_conversations(conversations: DataFrame, wanted: DataFrame) -> DataFrame:
     """Add the wanted ids that are missing from ``conversations(conv_id, title)``, titled ``Chat n``."""
-    fresh = wanted.select("conv_id").distinct().join(conversations, "conv_id", "left_anti")
+    fresh = cut_lineage(wanted.select("conv_id").distinct().join(conversations, "conv_id", "left_anti"))
     have = conversations.agg(F.count(F.lit(1)).alias("n")).scalar()
     titled = global_rank(fresh, "conv_id", "_n").select(
         "conv_id", F.concat(F.lit("Chat "), (have + F.col("_n")).cast("string")).alias("title")
@@ -79,7 +80,8 @@ def match_counts(messages: DataFrame, term: str, role: str | None = None) -> Dat
 
 def match_cycle(messages: DataFrame, term: str, role: str | None = None) -> DataFrame:
     """Messages with matches, their first match's position, and the next/previous such message, cyclic."""
-    found = search_messages(messages, term, role).select("conv_id", "turn", "n_matches")
+    # Written once, so that the texts are searched once.
+    found = cut_lineage(search_messages(messages, term, role).select("conv_id", "turn", "n_matches"))
     scanned = ordered_scan(step_blocks(found, "turn", TURNS), ["conv_id"], ["turn"], {
         "before": ("sum_before", "n_matches"), "n_total": ("total", "n_matches"),
         "_next": ("next", "turn"), "_prev": ("prev", "turn"), "_first": ("first", "turn"), "_last": ("last", "turn"),

@@ -39,16 +39,25 @@ def lloyd_rounds(df: DataFrame, cols: Sequence[str], k: int = 3, rounds: int = 3
     Each round is one aggregate over the rows; only the ``k`` centres pass through the driver.
     Clusters are numbered by centre order.
     """
+    rows = df.select(*cols).persist()
+    try:
+        centres = _lloyd_centres(rows, cols, k, rounds)
+    finally:
+        rows.unpersist()
+    return df.withColumn("cluster", _nearest(cols, sorted(centres)) if centres else F.lit(0))
+
+
+def _lloyd_centres(df: DataFrame, cols: Sequence[str], k: int, rounds: int) -> list[list[float]]:
     lim = df.agg(*[f(c).cast("double") for c in cols for f in (F.min, F.max)]).first()
     if lim[0] is None:
-        return df.withColumn("cluster", F.lit(0))
+        return []
     spans = [(lim[2 * i], lim[2 * i + 1]) for i in range(len(cols))]
     centres = [[lo + (j + 0.5) / k * (hi - lo) for lo, hi in spans] for j in range(k)]
     for _ in range(rounds):
         means = df.groupBy(_nearest(cols, centres).alias("c")).agg(*[F.avg(c) for c in cols]).collect()
         moved = {r["c"]: [float(v) for v in r[1:]] for r in means}
         centres = [moved.get(j, old) for j, old in enumerate(centres)]
-    return df.withColumn("cluster", _nearest(cols, sorted(centres)))
+    return centres
 
 
 def kmeans(df: DataFrame, cols: Sequence[str], k: int = 3, seed: int = 42) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rankloom.session import cut_lineage
+
 
 def basket_matrix(baskets: DataFrame, items: Sequence[str] | None = None) -> DataFrame:
     """One row per basket, one 0/1 column per item. Wide output, so the item list is bounded."""
@@ -26,7 +28,7 @@ def frequent_itemsets(baskets: DataFrame, min_support: float = 0.1, n_baskets: i
 
     ``n_baskets`` is the denominator where baskets without any item count too.
     """
-    lists = baskets.groupBy("basket_id").agg(F.collect_set("item").alias("items"))
+    lists = cut_lineage(baskets.groupBy("basket_id").agg(F.collect_set("item").alias("items")))
     present = lists.count()
     total = present if n_baskets is None else n_baskets
     # FP-growth counts against the baskets it sees; scale the threshold to the full denominator.

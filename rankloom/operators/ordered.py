@@ -14,7 +14,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankloom.session import block_count
+from rankloom.session import block_count, cut_lineage
 
 BLOCK = "_block"
 
@@ -37,10 +37,15 @@ def value_blocks(df: DataFrame, col: str, blocks: int | None = None) -> DataFram
     return placed.withColumn(BLOCK, F.col(BLOCK).cast("int"))
 
 
-def equal_width_bin(df: DataFrame, col: str, bins: int) -> Column:
-    """Bin number 0..bins-1 of ``col`` between its smallest and largest value, which are read first."""
+def value_range(df: DataFrame, col: str) -> tuple[float, float]:
+    """Smallest and largest value; (0, 0) where there are none."""
     lo, hi = df.agg(F.min(col).cast("double"), F.max(col).cast("double")).first()
-    if lo is None or not hi > lo:
+    return (0.0, 0.0) if lo is None else (lo, hi)
+
+
+def equal_width_bin(col: str, lo: float, hi: float, bins: int) -> Column:
+    """Bin number 0..bins-1 of ``col`` between ``lo`` and ``hi``."""
+    if not hi > lo:
         return F.lit(0)
     return F.least(F.floor((F.col(col) - lo) / (hi - lo) * bins), F.lit(bins - 1)).cast("int")
 
@@ -118,21 +123,17 @@ def global_rank(df: DataFrame, order_col: str, out: str) -> DataFrame:
     return ordered_scan(value_blocks(df, order_col), [], [order_col], {out: ("row_number", None)})
 
 
-def exact_quantiles(
-    df: DataFrame, by: Sequence[str], col: str, probs: Mapping[str, float]
+def counted_quantiles(
+    counted: DataFrame, by: Sequence[str], col: str, count: str, probs: Mapping[str, float]
 ) -> DataFrame:
-    """Exact linearly interpolated quantiles per ``by`` key, by rank selection on counted values.
+    """Exact linearly interpolated quantiles per ``by`` key, by rank selection on counted distinct values.
 
-    Equal values are counted before any ordering, so a hot key or value costs no single task.
+    Since equal values are one row, a hot key or value costs no single task.
     """
-    counted = df.where(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count(F.lit(1)).alias("_cnt"))
     ranked = ordered_scan(
-        value_blocks(counted, col),
-        by,
-        [col],
-        {"_below": ("sum_before", "_cnt"), "_total": ("total", "_cnt")},
+        value_blocks(counted, col), by, [col], {"_below": ("sum_before", count), "_total": ("total", count)}
     )
-    upto = F.col("_below") + F.col("_cnt")
+    upto = F.col("_below") + F.col(count)
     picks, outs = [F.max("_total").alias("n")], []
     for name, p in probs.items():
         pos = (F.col("_total") - 1) * F.lit(float(p))
@@ -143,3 +144,9 @@ def exact_quantiles(
         lo, hi = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
         outs.append((lo + (hi - lo) * (frac - F.floor(frac))).alias(name))
     return ranked.groupBy(*by).agg(*picks).select(*by, "n", *outs)
+
+
+def exact_quantiles(df: DataFrame, by: Sequence[str], col: str, probs: Mapping[str, float]) -> DataFrame:
+    """Exact quantiles of a column per ``by`` key."""
+    counted = df.where(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count(F.lit(1)).alias("_cnt"))
+    return counted_quantiles(cut_lineage(counted), by, col, "_cnt", probs)

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankloom.operators.ordered import BLOCK, equal_width_bin, ordered_scan, value_blocks
+from rankloom.operators.ordered import BLOCK, equal_width_bin, ordered_scan, value_blocks, value_range
 from rankloom.session import block_count, cut_lineage
 
 #: Most vectors one task compares against another chunk of the same size.
@@ -45,7 +45,7 @@ def front_values_2d(df: DataFrame, f1: str, f2: str, by: Sequence[str] = ()) ->
     """
     pts = df.select(*by, f1, f2).where(F.col(f1).isNotNull() & F.col(f2).isNotNull())
     n = block_count(df.sparkSession)
-    coarse = pts.withColumn(BLOCK, equal_width_bin(pts, f1, n))
+    coarse = pts.withColumn(BLOCK, equal_width_bin(f1, *value_range(pts, f1), n))
     left = _drop_below_earlier_blocks(coarse, by, f2).groupBy(*by, f1).agg(F.min(f2).alias(f2))
     left = cut_lineage(left)  # few rows; the steps below read them three times
     fine = _drop_below_earlier_blocks(value_blocks(left, f1), by, f2)
@@ -81,8 +81,8 @@ def _dominated_by(cand: np.ndarray, against: np.ndarray) -> np.ndarray:
 
 
 def _front_of(points: np.ndarray) -> np.ndarray:
-    # In lexicographic order a dominating vector always comes first.
-    points = points[np.lexsort(points.T[::-1])]
+    # Sorted distinct rows: in lexicographic order a dominating vector always comes first.
+    points = np.unique(points, axis=0)
     kept = points[:0]
     for lo in range(0, len(points), 512):
         part = points[lo:lo + 512]
@@ -94,8 +94,8 @@ def _front_of(points: np.ndarray) -> np.ndarray:
 def front_values(df: DataFrame, objectives: Sequence[str], pair_chunk: int = PAIR_CHUNK) -> DataFrame:
     """Distinct non-dominated vectors for any number of objectives.
 
-    Each partition drops what it dominates itself; the survivors are cut into chunks and every chunk
-    is checked against every chunk, one task per pair, so no task sees more than two chunks.
+    Each partition drops what it dominates itself, before anything is shuffled. The survivors are cut into
+    chunks and every chunk is checked against every chunk, one task per pair, so no task sees more than two.
     """
     cols = list(objectives)
     schema = ", ".join(f"{c} double" for c in cols)
@@ -111,9 +111,18 @@ def front_values(df: DataFrame, objectives: Sequence[str], pair_chunk: int = PAI
         against = pdf.loc[~pdf["_cand"], cols].to_numpy(dtype=float)
         return pd.DataFrame(cand[_dominated_by(cand, against)], columns=cols)
 
-    vectors = reduce(lambda d, c: d.where(F.col(c).isNotNull()), cols, df.select(*cols)).distinct()
-    left = cut_lineage(vectors.mapInPandas(local, schema))
-    chunks = -(-left.count() // pair_chunk) or 1
+    vectors = reduce(lambda d, c: d.where(F.col(c).isNotNull()), cols, df.select(*cols))
+    left = cut_lineage(vectors.mapInPandas(local, schema).distinct())
+    size, turn = left.count(), 0
+    while size > pair_chunk:
+        # Regroup the survivors into fewer partitions and prune again, as long as that pays.
+        turn += 1
+        spread = left.repartition(-(-size // pair_chunk), F.xxhash64(*cols, F.lit(turn)))
+        left, before = cut_lineage(spread.mapInPandas(local, schema)), size
+        size = left.count()
+        if size > 0.8 * before:
+            break
+    chunks = -(-size // pair_chunk) or 1
     other = F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))
     mine = F.pmod(F.xxhash64(*cols), F.lit(chunks)).cast("int")
     tagged = left.withColumn("_mine", mine).withColumn("_other", other)
@@ -160,6 +169,7 @@ def crowding_distance(df: DataFrame, front: str, objectives: Sequence[str], id_c
         .join(spread, [front, "o"])
         .withColumn("pos", F.when(F.col("hi") > F.col("lo"), (F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(0.0))
     )
+    values = cut_lineage(values)  # read three times below
     values = ordered_scan(
         value_blocks(values, "pos"), [front, "o"], ["v"], {"pv": ("prev", "v"), "nv": ("next", "v")}
     ).drop("pos")

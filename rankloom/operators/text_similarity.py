@@ -9,14 +9,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankloom.session import cut_lineage
+from rankloom.session import block_count, cut_lineage
 
 #: A vocabulary of at most this many terms is broadcast (about 100 MB); a larger one is joined by shuffle.
 MAX_SHIPPED_TERMS = 2_000_000
 #: Terms above this share of all postings count as frequent; there can be at most 1/share of them.
 HOT_SHARE = 1e-4
-#: Query texts scored in one pass over the documents.
-QUERY_CHUNK = 5_000
+#: Most query postings shipped to every executor (about 60 MB).
+MAX_SHIPPED_POSTINGS = 2_000_000
 #: Scores a task holds before it keeps only the best of them.
 HELD_SCORES = 2_000_000
 
@@ -72,85 +72,116 @@ def vector_norms(vectors: DataFrame, id_col: str) -> DataFrame:
 
 
 def similar_texts(queries: DataFrame, query_id: str, docs: DataFrame, doc_id: str, k: int, text: str = "text",
-                  query_chunk: int = QUERY_CHUNK) -> DataFrame:
+                  max_shipped: int = MAX_SHIPPED_POSTINGS) -> DataFrame:
     """The ``k`` documents most similar to each query text: (query, doc, similarity, rank).
 
-    Weights come from the documents. Queries go out in chunks of sparse vectors; each document's postings
-    are scored against them where they lie, and a task hands on ``k`` documents per query, not pairs.
+    Weights come from the documents. Each document's postings are scored against a block of query vectors,
+    and a task hands on ``k`` documents per query, not pairs. Queries are shipped to the documents while their
+    postings fit the checked bound; beyond it blocks of both meet in a co-group.
     """
+    spark = docs.sparkSession
     weights = term_weights(docs, text)
-    counts = term_counts(docs, doc_id, text)
     query_rows = weigh(term_counts(queries, query_id, text), weights).select(
         F.col(query_id).alias("q"), "term", (F.col("tf") * F.col("idf")).alias("weight")
     )
-    chunks = -(-queries.count() // query_chunk) or 1
-    out = None
-    for part in range(chunks):
-        mine = F.pmod(F.xxhash64("q"), F.lit(chunks)) == part
-        found = _score_chunk(query_rows.where(mine).toPandas(), counts, weights, doc_id, query_id, k)
-        out = found if out is None else out.unionByName(found)
+    asked = query_rows.select("term").distinct().withColumn("asked", F.lit(True))
+    w = F.col("tf") * F.col("idf")
+    doc_rows = weigh(term_counts(docs, doc_id, text), cut_lineage(weights.join(asked, "term", "left"))).groupBy(doc_id).agg(
+        F.sqrt(F.sum(w * w)).alias("norm"),
+        F.collect_list(F.when(F.col("asked"), F.struct("term", w.alias("w")))).alias("_hits"),
+    ).where(F.size("_hits") > 0).select(doc_id, "norm", F.col("_hits.term").alias("terms"), F.col("_hits.w").alias("w"))
+    schema = f"{query_id} bigint, {doc_id} bigint, similarity double"
+
+    head = query_rows.limit(max_shipped + 1).toPandas()
+    if len(head) <= max_shipped:
+        shipped = spark.sparkContext.broadcast(_QueryBlock(head))
+
+        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            best = _Best(shipped.value, k)
+            for batch in batches:
+                best.add(batch, doc_id)
+            yield best.rows(query_id, doc_id)
+
+        tasks = max(block_count(spark), 2 * spark.sparkContext.defaultParallelism)
+        found = doc_rows.coalesce(tasks).mapInPandas(scan, schema)
+    else:
+        chunks, parts = -(-query_rows.count() // max_shipped), block_count(spark)
+        keys = ["_chunk", "_part"]
+        left = query_rows.withColumn("_chunk", F.pmod(F.xxhash64("q"), F.lit(chunks))).withColumn("_part", _upto(parts))
+        right = doc_rows.withColumn("_part", F.pmod(F.xxhash64(doc_id), F.lit(parts))).withColumn("_chunk", _upto(chunks))
+
+        def pair(query_pdf: pd.DataFrame, doc_pdf: pd.DataFrame) -> pd.DataFrame:
+            best = _Best(_QueryBlock(query_pdf), k)
+            best.add(doc_pdf, doc_id)
+            return best.rows(query_id, doc_id)
+
+        found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(pair, schema)
     order = Window.partitionBy(query_id).orderBy(F.desc("similarity"), doc_id)
-    return out.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= k)
+
+
+def _upto(n: int) -> Column:
+    return F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
 
 
 class _QueryBlock:
-    """One chunk of queries as a compressed term-by-query matrix."""
+    """A block of query vectors, compressed by term."""
 
     def __init__(self, pdf: pd.DataFrame) -> None:
-        self.terms, row = np.unique(pdf["term"].to_numpy(dtype=str), return_inverse=True)
-        self.ids, col = np.unique(pdf["q"].to_numpy(), return_inverse=True)
+        row, self.terms = pd.factorize(pdf["term"])
+        self.ids, col = np.unique(pdf["q"].to_numpy(dtype=np.int64), return_inverse=True)
         weight = pdf["weight"].to_numpy(dtype=float)
         self.norms = np.sqrt(np.bincount(col, weights=weight**2, minlength=len(self.ids)))
         order = np.argsort(row, kind="stable")
         self.col, self.weight = col[order], weight[order]
         self.start = np.r_[0, np.cumsum(np.bincount(row, minlength=len(self.terms)))]
 
-    def dots(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """Dot product of one sparse document with every query."""
-        width = self.start[terms + 1] - self.start[terms]
-        source = np.repeat(np.arange(len(terms)), width)
-        at = self.start[terms][source] + np.arange(len(source)) - np.repeat(np.cumsum(width) - width, width)
-        return np.bincount(self.col[at], weights=weights[source] * self.weight[at], minlength=len(self.ids))
-
-
-def _score_chunk(pdf: pd.DataFrame, counts: DataFrame, weights: DataFrame, doc_id: str, query_id: str, k: int) -> DataFrame:
-    spark = counts.sparkSession
-    block = _QueryBlock(pdf)
-    shipped = spark.sparkContext.broadcast(block)
-    vocabulary = spark.createDataFrame(
-        pd.DataFrame({"term": block.terms.astype(object), "t": np.arange(len(block.terms))}), "term string, t int"
-    )
-    numbered = weights.join(F.broadcast(vocabulary), "term", "left")  # at most QUERY_CHUNK texts' terms
-    w = F.col("tf") * F.col("idf")
-    rows = weigh(counts, numbered).groupBy(doc_id).agg(
-        F.sqrt(F.sum(w * w)).alias("norm"),
-        F.collect_list(F.when(F.col("t").isNotNull(), F.struct("t", w.alias("w")))).alias("_hits"),
-    ).select(doc_id, "norm", F.col("_hits.t").alias("t"), F.col("_hits.w").alias("w"))
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        q = shipped.value
-        best = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
-        least = np.zeros(len(q.ids))  # k-th best so far per query
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        size = 0
-        for batch in batches:
-            for doc, norm, ts, ws in zip(batch[doc_id], batch["norm"], batch["t"], batch["w"]):
-                if len(ts) == 0:
-                    continue
-                sims = np.round(q.dots(np.asarray(ts), np.asarray(ws)) / (q.norms * norm), 9)
-                hit = np.flatnonzero((sims > 0) & (sims >= least))
-                held.append((hit, np.full(len(hit), doc, dtype=np.int64), sims[hit]))
-                size += len(hit)
-                if size > max(HELD_SCORES, 2 * k * len(q.ids)):
-                    best, held, size = _best_of(best, held, k), [], 0
-                    full = np.bincount(best[0], minlength=len(q.ids)) >= k
-                    low = np.full(len(q.ids), np.inf)
-                    np.minimum.at(low, best[0], best[2])
-                    least = np.where(full, low, 0.0)
-        rows, ids, sims = _best_of(best, held, k)
-        yield pd.DataFrame({query_id: q.ids[rows] if len(rows) else rows, doc_id: ids, "similarity": sims})
-
-    return rows.mapInPandas(scan, f"{query_id} bigint, {doc_id} bigint, similarity double")
+    def dots(self, at: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Dot product of one sparse document, by term positions, with every query."""
+        width = self.start[at + 1] - self.start[at]
+        source = np.repeat(np.arange(len(at)), width)
+        cell = self.start[at][source] + np.arange(len(source)) - np.repeat(np.cumsum(width) - width, width)
+        return np.bincount(self.col[cell], weights=weights[source] * self.weight[cell], minlength=len(self.ids))
+
+
+class _Best:
+    """Running best ``k`` documents per query of a block."""
+
+    def __init__(self, block: _QueryBlock, k: int) -> None:
+        self.block, self.k = block, k
+        self.place = pd.Index(block.terms)
+        self.best = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        self.least = np.zeros(len(block.ids))  # k-th best so far per query
+        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, docs: pd.DataFrame, doc_id: str) -> None:
+        if not len(docs) or not len(self.block.ids):
+            return
+        ends = np.cumsum(docs["terms"].map(len).to_numpy())
+        at = self.place.get_indexer(np.concatenate(docs["terms"].to_list()))
+        weight = np.concatenate(docs["w"].to_list()).astype(float)
+        for doc, norm, lo, hi in zip(docs[doc_id], docs["norm"], np.r_[0, ends[:-1]], ends):
+            known = at[lo:hi] >= 0
+            dots = self.block.dots(at[lo:hi][known], weight[lo:hi][known])
+            sims = np.round(dots / (self.block.norms * norm), 9)
+            hit = np.flatnonzero((sims > 0) & (sims >= self.least))
+            self.held.append((hit, np.full(len(hit), doc, dtype=np.int64), sims[hit]))
+            self.size += len(hit)
+            if self.size > max(HELD_SCORES, 2 * self.k * len(self.block.ids)):
+                self._settle()
+
+    def _settle(self) -> None:
+        self.best, self.held, self.size = _best_of(self.best, self.held, self.k), [], 0
+        full = np.bincount(self.best[0], minlength=len(self.block.ids)) >= self.k
+        low = np.full(len(self.block.ids), np.inf)
+        np.minimum.at(low, self.best[0], self.best[2])
+        self.least = np.where(full, low, 0.0)
+
+    def rows(self, query_id: str, doc_id: str) -> pd.DataFrame:
+        self._settle()
+        rows, docs, sims = self.best
+        return pd.DataFrame({query_id: self.block.ids[rows], doc_id: docs, "similarity": sims})
 
 
 def _best_of(best: tuple, held: list[tuple], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -51,7 +51,7 @@ def a7(spark, sf):
 
 
 @query("a8_conversations_to_json", """
-SELECT conv_id, turn // 4096 AS part, COUNT(*) AS n_msgs,
+SELECT conv_id, turn // 1024 AS part, COUNT(*) AS n_msgs,
   CAST(to_json([{'id': conv_id, 'msgs': list({'turn': turn, 'role': role, 'text': text} ORDER BY turn)}]) AS VARCHAR) AS document
 FROM conversations GROUP BY conv_id, part""")
 def a8(spark, sf):
@@ -129,10 +129,10 @@ lines AS (SELECT conv_id, turn, '[' || CASE role WHEN 'user' THEN 'User' WHEN 'a
 
 
 @query("k4_transcripts", f"""
-WITH {_LINE_SQL} SELECT conv_id, turn // 4096 AS part, COUNT(*) AS n_lines,
-  CASE WHEN turn // 4096 = 0 THEN '=== Chat Transcript ===' || chr(10) || chr(10) ELSE '' END
+WITH {_LINE_SQL} SELECT conv_id, turn // 1024 AS part, COUNT(*) AS n_lines,
+  CASE WHEN turn // 1024 = 0 THEN '=== Chat Transcript ===' || chr(10) || chr(10) ELSE '' END
     || string_agg(line || chr(10), '' ORDER BY turn) AS transcript
-FROM lines GROUP BY conv_id, turn // 4096""")
+FROM lines GROUP BY conv_id, turn // 1024""")
 def k4(spark, sf):
     time = F.concat(F.lit("turn "), F.col("turn").cast("string"))
     return chatlog.transcripts(chatlog.transcript_lines(messages(spark, sf), time))

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 #: Upper bound on the blocks an ordered scan or a skyline cuts its value range into.
-MAX_BLOCKS = 1024
+MAX_BLOCKS = 8192
 
 
 def get_spark(app: str = "rankloom", master: str | None = None, **conf: str) -> SparkSession:

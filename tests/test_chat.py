@@ -38,7 +38,7 @@ def test_transcript_parts(spark):
     lines = chatlog.transcript_lines(log(spark), F.lit("t"))
     parts = {(r.conv_id, r.part): r.transcript for r in chatlog.transcripts(lines).collect()}
     assert parts[1, 0] == "=== Chat Transcript ===\n\n[User @ t]: Hi there\n[Bot @ t]: hi HI\n"
-    assert parts[1, 2] == "[User @ t]: a.b\n[Bot @ t]: axb hi\n"
+    assert parts[1, 8] == "[User @ t]: a.b\n[Bot @ t]: axb hi\n"
     assert parts[2, 0].endswith("[System @ t]: hi\n[User @ t]: lonely\n")
 
 
@@ -46,7 +46,7 @@ def test_write_transcripts(spark, tmp_path):
     lines = chatlog.transcript_lines(log(spark), F.lit("t"))
     chatlog.write_transcripts(chatlog.transcripts(lines), f"{tmp_path}/out")
     back = spark.read.text(f"{tmp_path}/out", wholetext=True)
-    assert sorted(r.part for r in back.select("part").collect()) == [0, 0, 2]
+    assert sorted(r.part for r in back.select("part").collect()) == [0, 0, 8]
 
 
 def test_append_ignores_unknown(spark):

@@ -98,11 +98,10 @@ def texts(spark):
     return docs, queries, spark.createDataFrame(docs, "d bigint, text string"), spark.createDataFrame(queries, "q bigint, text string")
 
 
-@pytest.mark.parametrize("chunk, held", [(5000, 2_000_000), (4, 50)])
-def test_similar_texts(spark, monkeypatch, chunk, held):
-    monkeypatch.setattr(text_similarity, "HELD_SCORES", held)
+@pytest.mark.parametrize("shipped", [2_000_000, 30])
+def test_similar_texts(spark, shipped):
     docs, queries, doc_df, query_df = texts(spark)
-    got = sorted((r.q, r["rank"], r.d) for r in text_similarity.similar_texts(query_df, "q", doc_df, "d", 4, query_chunk=chunk).collect())
+    got = sorted((r.q, r["rank"], r.d) for r in text_similarity.similar_texts(query_df, "q", doc_df, "d", 4, max_shipped=shipped).collect())
     counts = [{t: d.split().count(t) for t in set(d.split())} for _, d in docs]
     df = {t: sum(t in c for c in counts) for t in set().union(*counts)}
     idf = {t: math.log((1 + len(docs)) / (1 + n)) + 1 for t, n in df.items()}
@@ -121,6 +120,21 @@ def test_similar_texts(spark, monkeypatch, chunk, held):
     assert got == sorted(want)
 
 
+def test_running_best_is_the_same_when_settled_often(monkeypatch):
+    monkeypatch.setattr(text_similarity, "HELD_SCORES", 1)
+    rng = np.random.default_rng(12)
+    block = text_similarity._QueryBlock(pd.DataFrame({"q": [5, 5, 9], "term": ["a", "b", "b"], "weight": [1.0, 2.0, 1.0]}))
+    docs = pd.DataFrame({
+        "d": np.arange(50), "norm": 3.0, "terms": [np.array(["b", "x", "a"], dtype=object)] * 50, "w": [rng.random(3) for _ in range(50)],
+    })
+    often = text_similarity._Best(block, 3)
+    often.add(docs, "d")
+    monkeypatch.setattr(text_similarity, "HELD_SCORES", 10**6)
+    once = text_similarity._Best(block, 3)
+    once.add(docs, "d")
+    assert often.rows("q", "d").equals(once.rows("q", "d")) and len(once.rows("q", "d")) == 6
+
+
 def test_weights_join_beyond_the_broadcast_bound(spark):
     _, _, doc_df, _ = texts(spark)
     counts, weights = text_similarity.term_counts(doc_df, "d", "text"), text_similarity.term_weights(doc_df, "text")
