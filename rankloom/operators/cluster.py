@@ -33,13 +33,18 @@ def _nearest(cols: Sequence[str], centres: Sequence[Sequence[float]]) -> Column:
     return near["i"]
 
 
+def _counted(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Distinct feature rows with their count; all fitting below works on these, by weight."""
+    return df.groupBy(*cols).agg(F.count(F.lit(1)).cast("double").alias("_n"))
+
+
 def lloyd_rounds(df: DataFrame, cols: Sequence[str], k: int = 3, rounds: int = 3) -> DataFrame:
     """k-means from fixed seeds on the diagonal of the value range, with a set number of rounds.
 
-    Each round is one aggregate over the rows; only the ``k`` centres pass through the driver.
-    Clusters are numbered by centre order.
+    Each round is one aggregate; only the ``k`` centres pass through the driver. Clusters are numbered
+    by centre order.
     """
-    rows = df.select(*cols).persist()
+    rows = _counted(df, cols).persist()
     try:
         centres = _lloyd_centres(rows, cols, k, rounds)
     finally:
@@ -47,14 +52,15 @@ def lloyd_rounds(df: DataFrame, cols: Sequence[str], k: int = 3, rounds: int = 3
     return df.withColumn("cluster", _nearest(cols, sorted(centres)) if centres else F.lit(0))
 
 
-def _lloyd_centres(df: DataFrame, cols: Sequence[str], k: int, rounds: int) -> list[list[float]]:
-    lim = df.agg(*[f(c).cast("double") for c in cols for f in (F.min, F.max)]).first()
+def _lloyd_centres(counted: DataFrame, cols: Sequence[str], k: int, rounds: int) -> list[list[float]]:
+    lim = counted.agg(*[f(c).cast("double") for c in cols for f in (F.min, F.max)]).first()
     if lim[0] is None:
         return []
     spans = [(lim[2 * i], lim[2 * i + 1]) for i in range(len(cols))]
     centres = [[lo + (j + 0.5) / k * (hi - lo) for lo, hi in spans] for j in range(k)]
     for _ in range(rounds):
-        means = df.groupBy(_nearest(cols, centres).alias("c")).agg(*[F.avg(c) for c in cols]).collect()
+        near = counted.groupBy(_nearest(cols, centres).alias("c"))
+        means = near.agg(*[F.sum(F.col(c) * F.col("_n")) / F.sum("_n") for c in cols]).collect()
         moved = {r["c"]: [float(v) for v in r[1:]] for r in means}
         centres = [moved.get(j, old) for j, old in enumerate(centres)]
     return centres
@@ -65,22 +71,22 @@ def kmeans(df: DataFrame, cols: Sequence[str], k: int = 3, seed: int = 42) -> Da
     n = min(k, len(df.select(*cols).limit(k).take(k)))
     if n <= 1:
         return df.withColumn("cluster", F.lit(0))
-    data = VectorAssembler(inputCols=list(cols), outputCol="_x").transform(df)
-    model = KMeans(featuresCol="_x", predictionCol="_p", k=n, seed=seed).fit(data)
+    pack = VectorAssembler(inputCols=list(cols), outputCol="_x")
+    model = KMeans(featuresCol="_x", predictionCol="_p", weightCol="_n", k=n, seed=seed).fit(pack.transform(_counted(df, cols)))
     centres = [tuple(map(float, c)) for c in model.clusterCenters()]
     place = {old: new for new, old in enumerate(sorted(range(len(centres)), key=lambda i: centres[i]))}
     renumber = F.array(*[F.lit(place[i]) for i in range(len(centres))])
-    return model.transform(data).withColumn("cluster", F.get(renumber, F.col("_p"))).drop("_x", "_p")
+    return model.transform(pack.transform(df)).withColumn("cluster", F.get(renumber, F.col("_p"))).drop("_x", "_p")
 
 
 def silhouette_curve(df: DataFrame, cols: Sequence[str], ks: Sequence[int], seed: int = 42) -> DataFrame:
     """Silhouette (squared Euclidean) of k-means for every k; linear in the rows."""
-    data = VectorAssembler(inputCols=list(cols), outputCol="_x").transform(df).select("_x").persist()
-    judge = ClusteringEvaluator(featuresCol="_x", predictionCol="_p")
+    data = VectorAssembler(inputCols=list(cols), outputCol="_x").transform(_counted(df, cols)).select("_x", "_n").persist()
+    judge = ClusteringEvaluator(featuresCol="_x", predictionCol="_p", weightCol="_n")
     try:
         rows = []
         for k in ks:
-            model = KMeans(featuresCol="_x", predictionCol="_p", k=k, seed=seed, maxIter=10).fit(data)
+            model = KMeans(featuresCol="_x", predictionCol="_p", weightCol="_n", k=k, seed=seed, maxIter=10).fit(data)
             rows.append((int(k), float(judge.evaluate(model.transform(data)))))
     finally:
         data.unpersist()

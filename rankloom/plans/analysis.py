@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.operators import clean, cluster, filters, mining, portfolio, score, skyline, stats
+from rankloom.operators import clean, cluster, mining, portfolio, skyline, stats
 from rankloom.operators.ordered import global_rank
 from rankloom.operators.parse import domains_in_order
 from rankloom.plans.profiles import DIRECTORY_CTE, prepared_directory
-from rankloom.plans.ranking import scored_directory
+from rankloom.plans import recommend
+from rankloom.plans.ranking import cos_sql
 from rankloom.plans.views import oracle, table, view
 
 QUERIES: dict = {}
@@ -165,6 +166,22 @@ def _features(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+REQUEST = "more than 5 years, not in nation_3 and nation_7, handles economy, without promo"
+
+
+def _directory(spark: SparkSession, sf: str) -> DataFrame:
+    """The directory as the ready-made chains take it: years as a number, a vector per row."""
+    vectors = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    n = table(spark, sf, "embeddings").agg(F.count(F.lit(1)).alias("n")).scalar()
+    rows = prepared_directory(spark, sf).drop("experience").withColumnRenamed("experience_years", "experience")
+    return rows.withColumn("vec_id", F.col("id") % n).join(vectors, "vec_id").drop("vec_id")
+
+
+def _cities(spark: SparkSession, sf: str) -> list[str]:
+    """The city vocabulary of the parser: the nations' names, a fixed-size table."""
+    return [r[0] for r in table(spark, sf, "nation").select(F.lower("n_name")).collect()]
+
+
 Z = ["z_experience", "z_spec_count"]
 FEATURES_CTE = DIRECTORY_CTE + """,
 feats AS (SELECT id, specialization, experience_years AS experience, len(specs) AS spec_count, experience_years + len(specs) AS score FROM prepared)
@@ -244,17 +261,38 @@ SELECT id, cluster, score FROM (SELECT id, c AS cluster, score FROM a3 JOIN feat
        + z_cte("pool") + "," + lloyd_cte(3)))
 def f3(spark, sf):
     """Filter form of the hybrid ranking: filter, score, scale, cluster, first rows by cluster and score."""
-    pool = _features(spark, sf).where(filters.contains_ci("specialization", "econ") & filters.experience_range(10))
-    grouped = cluster.lloyd_rounds(cluster.zscores(pool, ["experience", "spec_count"]), Z)
-    return grouped.orderBy("cluster", F.desc("score"), "id").limit(5).select("id", F.col("cluster").cast("bigint"), F.col("score").cast("bigint"))
+    found = recommend.recommend_hybrid(_directory(spark, sf), "Econ", 10, method="rounds")
+    return found.select("id", F.col("cluster").cast("bigint"), F.col("score").cast("bigint"))
 
 
 @query("f3_hybrid_query")
 def f3_query(spark, sf):
-    """Query form: preferences and similarity blended with score, inside k-means clusters."""
-    pool = score.rank_blends(scored_directory(spark, sf)).where("experience >= 5")
-    grouped = cluster.kmeans(cluster.zscores(pool, ["experience", "spec_count"]), Z)
-    return grouped.orderBy("cluster", F.desc("rank_score"), "id").limit(3).select("id", "name", "cluster", "rank_score")
+    """Query form: one request's full parse as filters, similarity and years inside k-means clusters."""
+    vector = table(spark, sf, "embeddings").orderBy("vec_id").first().embedding
+    found = recommend.recommend_by_request(_directory(spark, sf), REQUEST, vector, cities=_cities(spark, sf))
+    return found.select("id", "name", "cluster", "rank_specs")
+
+
+@query("f3_plain_request", oracle(["directory"], f"""
+SELECT id, ROUND({cos_sql('embedding', 'q')} + experience_years / 50.0::DOUBLE, 6) AS rank
+FROM prepared JOIN embeddings ON vec_id = id % (SELECT COUNT(*) FROM embeddings), (SELECT embedding AS q FROM embeddings ORDER BY vec_id LIMIT 1)
+WHERE experience_years >= 6 AND city NOT IN ('nation_3', 'nation_7')
+  AND len(list_filter(specs, lambda s: contains(s, 'economy') OR contains('economy', s))) > 0
+  AND NOT len(list_filter(specs, lambda s: contains(s, 'promo') OR contains('promo', s))) > 0
+ORDER BY {cos_sql('embedding', 'q')} + experience_years / 50.0::DOUBLE DESC, id LIMIT 5""", DIRECTORY_CTE))
+def f3_plain(spark, sf):
+    vector = table(spark, sf, "embeddings").orderBy("vec_id").first().embedding
+    found = recommend.recommend_by_request(_directory(spark, sf), REQUEST, vector, cities=_cities(spark, sf), clusters=False)
+    return found.select("id", r6("rank_experience", "rank"))
+
+
+@query("f3_preferences")
+def f3_preferences(spark, sf):
+    """Bounds form: the place filters, preferences move the similarity, score decides inside clusters."""
+    vector = table(spark, sf, "embeddings").orderBy("vec_id").first().embedding
+    text = "handling economy law, more than 3 years, located in asia, avoid promo law"
+    found = recommend.recommend_by_preferences(_directory(spark, sf), text, vector)
+    return found.select("id", "name", "cluster", "rank_score")
 
 
 # --- multi-objective selection ---------------------------------------------------------------
@@ -339,8 +377,7 @@ def j5(spark, sf):
 @query("j6_front_by_trade_off", oracle(["catalog"], """
 SELECT item_id, name, domain, price, satisfaction, ROUND(f1 * f2, 6) AS trade_off FROM front ORDER BY f1 * f2, item_id LIMIT 10""", FRONT_CTE))
 def j6(spark, sf):
-    front = skyline.pareto_front_2d(_points(spark, sf), "price", "f2").withColumn("trade_off", score.trade_off())
-    return front.orderBy("trade_off", "item_id").limit(10).select("item_id", "name", "domain", "price", "satisfaction", r6("trade_off"))
+    return recommend.recommend_pareto(view(spark, sf, "catalog"), 10).select("item_id", "name", "domain", "price", "satisfaction", r6("trade_off"))
 
 
 _AREA = """
@@ -423,7 +460,7 @@ SELECT item_id, name, price, ROUND(d, 6) AS price_objective FROM (
   SELECT *, ROW_NUMBER() OVER (PARTITION BY name ORDER BY d, sol_id) AS rn FROM best JOIN reps USING (sol_id) JOIN catalog USING (item_id))
 WHERE rn = 1""", SOLUTIONS_CTE))
 def j11(spark, sf):
-    chosen = portfolio.select_portfolio(solutions(spark, sf), view(spark, sf, "catalog"))
+    chosen = recommend.recommend_portfolio(view(spark, sf, "catalog"), solutions(spark, sf), "ECONOMY", 950)
     return chosen.select("item_id", "name", "price", r6("obj_price", "price_objective"))
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.functions.vectors import cosine, mean_pool
-from rankloom.operators import clean, match, parse, score, stats, text_similarity
+from rankloom.operators import clean, match, score, stats, text_similarity
+from rankloom.plans import recommend
 from rankloom.plans.profiles import BASIC_CTE, DIRECTORY_CTE, DOMAIN_CTE, prepared_directory
 from rankloom.plans.views import oracle, table, view
 from rankloom.sources.documents import results_json
@@ -35,10 +36,13 @@ def items_with_vectors(spark: SparkSession, sf: str) -> DataFrame:
     return view(spark, sf, "catalog").join(view(spark, sf, "item_vec"), "item_id")
 
 
+def requests_with_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    return view(spark, sf, "requests").join(table(spark, sf, "embeddings").select("vec_id", "embedding"), "vec_id")
+
+
 def parsed_requests(spark: SparkSession, sf: str) -> DataFrame:
     """Requests with parsed constraints, detected domain and vector."""
-    parsed = parse.detect_domain(parse.parse_basic(view(spark, sf, "requests")), view(spark, sf, "catalog"))
-    return match.request_constraints(parsed.join(table(spark, sf, "embeddings").select("vec_id", "embedding"), "vec_id"))
+    return recommend.match_requests(requests_with_vectors(spark, sf), view(spark, sf, "catalog"))
 
 
 def ranked_requests(spark: SparkSession, sf: str, k: int) -> DataFrame:
@@ -128,10 +132,10 @@ def f1(spark, sf):
 SELECT request_id, rank, name, UPPER(domain[1]) || LOWER(domain[2:]) AS domain, CAST(experience AS VARCHAR) || ' years' AS experience,
   '₹' || CAST(CAST(round_even(price, 0) AS BIGINT) AS VARCHAR) AS price, CAST(satisfaction AS VARCHAR) || '/10' AS satisfaction
 FROM placed WHERE rank <= 5""", PAIRS_CTE))
-def recommend(spark, sf):
+def f1_recommend(spark, sf):
     """Requests to display-ready top items: parse, match, score, rank, format."""
-    chosen = ranked_requests(spark, sf, 5).join(view(spark, sf, "catalog"), "item_id")
-    return clean.display_format(chosen).select("request_id", "rank", "name", "domain", "experience", "price", "satisfaction")
+    chosen = recommend.recommend_by_text(requests_with_vectors(spark, sf), items_with_vectors(spark, sf))
+    return chosen.select("request_id", "rank", "name", "domain", "experience", "price", "satisfaction")
 
 
 @query("a6_results_json", oracle(PAIR_VIEWS, """
@@ -254,7 +258,7 @@ SELECT item_id, name, price, ROUND(fitness, 6) AS fitness FROM (
   SELECT *, ROW_NUMBER() OVER (PARTITION BY name ORDER BY fitness DESC, price, item_id) AS rn
   FROM fit WHERE domain = 'ECONOMY' AND price <= 950) WHERE rn = 1""", FITNESS_CTE))
 def j13(spark, sf):
-    best = score.weighted_candidates(view(spark, sf, "catalog"), "ECONOMY", 950)
+    best = recommend.recommend_weighted(view(spark, sf, "catalog"), "ECONOMY", 950)
     return best.select("item_id", "name", "price", r6("fitness"))
 
 
