@@ -156,7 +156,8 @@ def front_ranks_2d(df: DataFrame, f1: str, f2: str, fronts: int) -> DataFrame:
 def crowding_distance(df: DataFrame, front: str, objectives: Sequence[str], id_col: str) -> DataFrame:
     """Add ``crowding`` per front: sum of neighbour gaps over the objective's range, infinite at the ends.
 
-    Equal values are ordered by id. Neighbours are looked up once per distinct value.
+    Equal values are ordered by id. Neighbours are looked up once per distinct value, so no task meets
+    all rows of a frequent value.
     """
     lens = df.select(
         front, id_col,
@@ -173,16 +174,20 @@ def crowding_distance(df: DataFrame, front: str, objectives: Sequence[str], id_c
     values = ordered_scan(
         value_blocks(values, "pos"), [front, "o"], ["v"], {"pv": ("prev", "v"), "nv": ("next", "v")}
     ).drop("pos")
-    ident = F.col(id_col)
-    left = F.when(ident == F.col("id_lo"), F.col("pv")).otherwise(F.col("v"))
-    right = F.when(ident == F.col("id_hi"), F.col("nv")).otherwise(F.col("v"))
+    # Among equal values only the first and the last id have a neighbour at a distance; the rest add 0.
+    first_right = F.when(F.col("id_lo") == F.col("id_hi"), F.col("nv")).otherwise(F.col("v"))
+    ends = F.array_distinct(F.array(
+        F.struct(F.col("id_lo").alias("id"), F.col("pv").alias("left"), first_right.alias("right")),
+        F.struct(F.col("id_hi").alias("id"), F.when(F.col("id_lo") == F.col("id_hi"), F.col("pv")).otherwise(F.col("v")).alias("left"), F.col("nv").alias("right")),
+    ))
+    near = values.select(front, "lo", "hi", F.explode(ends).alias("e")).select(front, "lo", "hi", "e.*")
     gap = (
-        F.when(left.isNull() | right.isNull(), F.lit(float("inf")))
-        .when(F.col("hi") > F.col("lo"), (right - left) / (F.col("hi") - F.col("lo")))
+        F.when(F.col("left").isNull() | F.col("right").isNull(), F.lit(float("inf")))
+        .when(F.col("hi") > F.col("lo"), (F.col("right") - F.col("left")) / (F.col("hi") - F.col("lo")))
         .otherwise(0.0)
     )
-    scores = lens.join(values, [front, "o", "v"]).groupBy(front, id_col).agg(F.sum(gap).alias("crowding"))
-    return df.join(scores, [front, id_col])
+    scores = near.groupBy(front, F.col("id").alias(id_col)).agg(F.sum(gap).alias("_c"))
+    return df.join(scores, [front, id_col], "left").withColumn("crowding", F.coalesce("_c", F.lit(0.0))).drop("_c")
 
 
 def truncate_archive(df: DataFrame, size: int, id_col: str) -> DataFrame:

@@ -94,10 +94,10 @@ def similar_texts(queries: DataFrame, query_id: str, docs: DataFrame, doc_id: st
 
     head = query_rows.limit(max_shipped + 1).toPandas()
     if len(head) <= max_shipped:
-        shipped = spark.sparkContext.broadcast(_QueryBlock(head))
+        shipped = spark.sparkContext.broadcast({c: head[c].to_list() for c in head.columns})
 
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            best = _Best(shipped.value, k)
+            best = _Best(_QueryBlock(pd.DataFrame(shipped.value)), k)
             for batch in batches:
                 best.add(batch, doc_id)
             yield best.rows(query_id, doc_id)

@@ -58,5 +58,5 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def block_count(spark: SparkSession) -> int:
-    """Blocks for ordered scans: as many as a shuffle has partitions, within fixed bounds."""
-    return max(8, min(MAX_BLOCKS, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    """Blocks for ordered scans: a few per shuffle partition, so that they spread evenly, within fixed bounds."""
+    return max(8, min(MAX_BLOCKS, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))

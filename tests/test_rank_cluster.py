@@ -3,11 +3,14 @@
 import itertools
 import math
 import os
+import subprocess
+import sys
 from datetime import datetime, timedelta
 
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from rankloom.functions.vectors import cosine, mean_pool, with_vectors
@@ -74,6 +77,14 @@ def test_top_k_limits_groups_before_the_shuffle(spark):
     assert "WindowGroupLimit" in plan and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
+def test_task_code_travels_by_value(tmp_path):
+    (tmp_path / "code").write_bytes(cloudpickle.dumps((match._TopK, text_similarity._Best)))
+    run = "import pickle, sys; print(pickle.load(open('code', 'rb'))[0].schema, 'rankloom' in sys.modules)"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", run], cwd=tmp_path, env=env, capture_output=True, text=True, check=True)
+    assert out.stdout.split() == [*match._TopK.schema.split(), "False"]
+
+
 def test_zero_vector_has_no_similarity(spark):
     df = spark.createDataFrame([([0.0, 0.0], [1.0, 2.0])], "a array<float>, b array<float>")
     assert df.select(cosine("a", "b")).first()[0] == 0.0
