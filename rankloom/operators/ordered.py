@@ -28,13 +28,14 @@ def value_blocks(df: DataFrame, col: str, blocks: int | None = None) -> DataFram
     """
     n = blocks or block_count(df.sparkSession)
     cuts = [i / n for i in range(1, n)]
-    found = df.agg(F.percentile_approx(F.col(col).cast("double"), cuts, 10 * n)).first()[0]
+    found = df.agg(F.percentile_approx(F.col(col).cast("double"), cuts, 4 * n)).first()[0]
     bounds = sorted(set(found or []))
     if not bounds:
         return df.withColumn(BLOCK, F.lit(0))
     splits = [float("-inf"), *bounds, float("inf")]
-    placed = Bucketizer(splits=splits, inputCol=col, outputCol=BLOCK).transform(df)
-    return placed.withColumn(BLOCK, F.col(BLOCK).cast("int"))
+    # Missing values form one more block after all others.
+    placed = Bucketizer(splits=splits, inputCol=col, outputCol=BLOCK, handleInvalid="keep").transform(df)
+    return placed.withColumn(BLOCK, F.coalesce(F.col(BLOCK).cast("int"), F.lit(len(splits))))
 
 
 def value_range(df: DataFrame, col: str) -> tuple[float, float]:
@@ -55,6 +56,16 @@ def step_blocks(df: DataFrame, col: str, width: int) -> DataFrame:
     return df.withColumn(BLOCK, F.floor(F.col(col) / F.lit(width)).cast("bigint"))
 
 
+def join_cells(df: DataFrame, cells: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Join the table of one row per (key, block) to the rows; a missing key is a key like any other."""
+    keys = [*by, BLOCK]
+    cells = cells.withColumnsRenamed({k: f"_on_{k}" for k in keys})
+    if not by:
+        cells = F.broadcast(cells)  # one row per block, at most MAX_BLOCKS + 1
+    match = [F.col(k).eqNullSafe(F.col(f"_on_{k}")) for k in by] + [F.col(BLOCK) == F.col(f"_on_{BLOCK}")]
+    return df.join(cells, match).drop(*[f"_on_{k}" for k in keys])
+
+
 def ordered_scan(
     df: DataFrame,
     by: Sequence[str],
@@ -111,11 +122,8 @@ def ordered_scan(
 
     keys = [*by, BLOCK]
     cells = df.groupBy(*keys).agg(*cell_aggs).select(*keys, *carried)
-    if not by:
-        cells = F.broadcast(cells)  # one row per block, at most MAX_BLOCKS
-    return (
-        df.withColumns(local).join(cells, keys) if local else df.join(cells, keys)
-    ).select(*[c for c in df.columns if c != BLOCK], *[expr.alias(out) for out, expr in final.items()])
+    joined = join_cells(df.withColumns(local) if local else df, cells, by)
+    return joined.select(*[c for c in df.columns if c != BLOCK], *[expr.alias(out) for out, expr in final.items()])
 
 
 def global_rank(df: DataFrame, order_col: str, out: str) -> DataFrame:

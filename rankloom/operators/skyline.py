@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankloom.operators.ordered import BLOCK, equal_width_bin, ordered_scan, value_blocks, value_range
+from rankloom.operators.ordered import BLOCK, equal_width_bin, join_cells, ordered_scan, value_blocks, value_range
 from rankloom.session import block_count, cut_lineage
 
 #: Most vectors one task compares against another chunk of the same size.
@@ -31,9 +31,7 @@ def _drop_below_earlier_blocks(df: DataFrame, by: Sequence[str], f2: str) -> Dat
     earlier = Window.partitionBy(*by).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     keys = [*by, BLOCK]
     cells = df.groupBy(*keys).agg(F.min(f2).alias("_m")).select(*keys, F.min("_m").over(earlier).alias("_floor"))
-    if not by:
-        cells = F.broadcast(cells)  # one row per block, at most MAX_BLOCKS
-    return df.join(cells, keys).where(F.col("_floor").isNull() | (F.col(f2) < F.col("_floor"))).drop("_floor")
+    return join_cells(df, cells, by).where(F.col("_floor").isNull() | (F.col(f2) < F.col("_floor"))).drop("_floor")
 
 
 def front_values_2d(df: DataFrame, f1: str, f2: str, by: Sequence[str] = ()) -> DataFrame:
@@ -197,7 +195,7 @@ def truncate_archive(df: DataFrame, size: int, id_col: str) -> DataFrame:
 
 def hypervolume_2d(df: DataFrame, f1: str, f2: str, ref1: Column, ref2: Column, by: Sequence[str] = ()) -> DataFrame:
     """Area between the front of ``df`` and the reference point, per ``by`` key, with the front size."""
-    values = front_values_2d(df, f1, f2, by)
+    values = cut_lineage(front_values_2d(df, f1, f2, by))
     steps = ordered_scan(value_blocks(values, f1), by, [f1], {"_prev": ("prev", f2)})
     area = (ref1 - F.col(f1)) * (F.coalesce(F.col("_prev"), ref2) - F.col(f2))
     return steps.withColumn("_area", area).groupBy(*by).agg(

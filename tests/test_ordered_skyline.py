@@ -44,6 +44,13 @@ def test_null_neighbour_is_not_skipped(spark):
     assert [r.nx for r in got] == [None, "c", None]
 
 
+def test_missing_keys_and_values_are_kept(spark):
+    rows = [(None, 1.0), (None, 3.0), ("a", 2.0), ("a", None), (None, 2.0)]
+    df = value_blocks(spark.createDataFrame(rows, "k string, v double"), "v", 2)
+    got = ordered_scan(df, ["k"], ["v"], {"rn": ("row_number", None)}).collect()
+    assert sorted((r.k or "", r.v or 0.0, r.rn) for r in got) == [("", 1.0, 1), ("", 2.0, 2), ("", 3.0, 3), ("a", 0.0, 2), ("a", 2.0, 1)]
+
+
 def test_global_rank(spark, skewed):
     got = global_rank(spark.createDataFrame(skewed), "id", "r").toPandas()
     assert (got["r"] == got["id"] + 1).all()

@@ -71,6 +71,17 @@ def test_top_k_without_requests(spark):
     assert match.top_k(request_df.limit(0), item_df, 5).count() == 0
 
 
+def test_missing_values_and_vectors(spark):
+    items = spark.createDataFrame(
+        [(1, None, None, None, [1.0, 0.0]), (2, 5, 10.0, "Tax", None), (3, 5, 10.0, "Tax", [1.0, 1.0])],
+        "item_id bigint, experience int, price double, domain string, embedding array<float>")
+    requests = spark.createDataFrame(
+        [(1, None, None, None, None, [1.0, 0.0]), (2, 1.0, None, None, None, [1.0, 0.0]), (3, None, None, None, "tax", None)],
+        "request_id bigint, above double, below double, budget double, domain string, embedding array<float>")
+    got = sorted((r.request_id, r["rank"], r.item_id, round(r.similarity, 3)) for r in match.top_k(requests, items, 5).collect())
+    assert got == [(1, 1, 1, 1.0), (1, 2, 3, 0.707), (1, 3, 2, 0.0), (2, 1, 3, 0.707), (2, 2, 2, 0.0), (3, 1, 2, 0.0), (3, 2, 3, 0.0)]
+
+
 def test_top_k_limits_groups_before_the_shuffle(spark):
     _, _, item_df, request_df = items_and_requests(spark)
     plan = match.top_k(request_df, item_df, 5)._jdf.queryExecution().toString()
