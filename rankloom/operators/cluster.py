@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, VectorAssembler
@@ -12,6 +14,11 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rankloom.session import cut_lineage
+
+#: Most distinct rows one task compares against another chunk of the same size.
+PAIR_CHUNK = 20_000
+
 
 def zscores(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Add ``z_<col>``: centred, divided by the population deviation (by 1 where that is 0)."""
@@ -79,15 +86,70 @@ def kmeans(df: DataFrame, cols: Sequence[str], k: int = 3, seed: int = 42) -> Da
     return model.transform(pack.transform(df)).withColumn("cluster", F.get(renumber, F.col("_p"))).drop("_x", "_p")
 
 
-def silhouette_curve(df: DataFrame, cols: Sequence[str], ks: Sequence[int], seed: int = 42) -> DataFrame:
-    """Silhouette (squared Euclidean) of k-means for every k; linear in the rows."""
-    data = VectorAssembler(inputCols=list(cols), outputCol="_x").transform(_counted(df, cols)).select("_x", "_n").persist()
+def silhouette(df: DataFrame, cols: Sequence[str], label: str = "cluster", pair_chunk: int = PAIR_CHUNK) -> DataFrame:
+    """Mean Euclidean silhouette of labelled rows, one row with ``n`` and ``silhouette``.
+
+    Distinct rows are cut into chunks, and a task sums the distances from one chunk to another per cluster,
+    so no pair leaves a task. The work grows with the square of the distinct feature rows.
+    """
+    rows = df.groupBy(F.col(label).cast("bigint").alias("c"), *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)])
+    rows = cut_lineage(rows.agg(F.count(F.lit(1)).cast("double").alias("n")))
+    return _silhouette(rows, len(cols), -(-rows.count() // pair_chunk) or 1)
+
+
+def _silhouette(rows: DataFrame, dims: int, chunks: int) -> DataFrame:
+    """The same for distinct rows ``c, x0.., n`` in a given number of chunks."""
+    names = [f"x{i}" for i in range(dims)]
+    mine = F.pmod(F.xxhash64("c", *names), F.lit(chunks)).cast("int")
+    tagged = rows.withColumn("_i", mine).withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    here = tagged.withColumn("_from", F.lit(True))
+    there = tagged.select("c", *names, "n", F.col("_j").alias("_i"), F.col("_i").alias("_j"), F.lit(False).alias("_from"))
+
+    def distances(pdf: pd.DataFrame) -> pd.DataFrame:
+        left, right = pdf[pdf["_from"]], pdf[~pdf["_from"]]
+        own, out = left[names].to_numpy(), []
+        for c, part in right.groupby("c"):
+            other, weight, total = part[names].to_numpy(), part["n"].to_numpy(), np.zeros(len(own))
+            for at in range(0, len(own), 512):
+                for lo in range(0, len(other), 4096):
+                    gap = own[at:at + 512, None, :] - other[None, lo:lo + 4096, :]
+                    total[at:at + 512] += np.sqrt((gap * gap).sum(-1)) @ weight[lo:lo + 4096]
+            out.append(left[["c", *names, "n"]].assign(to=c, total=total, weight=weight.sum()))
+        return pd.concat(out) if out else left[["c", *names, "n"]].assign(to=0, total=0.0, weight=0.0)
+
+    doubles = ", ".join(f"{x} double" for x in names)
+    sums = here.unionByName(there).groupBy("_i", "_j").applyInPandas(
+        distances, f"c bigint, {doubles}, n double, to bigint, total double, weight double"
+    ).groupBy("c", *names, "n", "to").agg(F.sum("total").alias("total"), F.sum("weight").alias("weight"))
+    inside, own = F.col("to") == F.col("c"), F.col("own_weight") - 1
+    points = sums.groupBy("c", *names, "n").agg(
+        F.max(F.when(inside, F.col("total"))).alias("own_total"), F.max(F.when(inside, F.col("weight"))).alias("own_weight"),
+        F.min(F.when(~inside, F.col("total") / F.col("weight"))).alias("b"),
+    )
+    near = F.when(own > 0, F.col("own_total") / own)
+    value = F.when(own > 0, F.coalesce(F.try_divide(F.col("b") - near, F.greatest(near, F.col("b"))), F.lit(0.0))).otherwise(0.0)
+    return points.agg(F.sum("n").cast("bigint").alias("n"), (F.sum(value * F.col("n")) / F.sum("n")).alias("silhouette"))
+
+
+def silhouette_curve(df: DataFrame, cols: Sequence[str], ks: Sequence[int], seed: int = 42, metric: str = "euclidean") -> DataFrame:
+    """Silhouette of k-means for every k. ``squaredEuclidean`` is linear in the distinct feature rows."""
+    names = [f"x{i}" for i in range(len(cols))]
+    counted = cut_lineage(_counted(df, cols))
+    size = counted.count()
+    # Distinct rows are often few; many near-empty tasks per round would cost more than the rounds.
+    counted = counted.coalesce(-(-size // PAIR_CHUNK) or 1)
+    data = VectorAssembler(inputCols=list(cols), outputCol="_x").transform(counted).persist()
     judge = ClusteringEvaluator(featuresCol="_x", predictionCol="_p", weightCol="_n")
     try:
         rows = []
         for k in ks:
             model = KMeans(featuresCol="_x", predictionCol="_p", weightCol="_n", k=k, seed=seed, maxIter=10).fit(data)
-            rows.append((int(k), float(judge.evaluate(model.transform(data)))))
+            if metric == "euclidean":
+                marked = model.transform(data).select(F.col("_p").cast("bigint").alias("c"), *[F.col(c).alias(x) for c, x in zip(cols, names)], F.col("_n").alias("n"))
+                value = _silhouette(marked, len(cols), -(-size // PAIR_CHUNK) or 1).first()["silhouette"]
+            else:
+                value = judge.evaluate(model.transform(data))
+            rows.append((int(k), float(value)))
     finally:
         data.unpersist()
     return df.sparkSession.createDataFrame(rows, "k bigint, silhouette double")

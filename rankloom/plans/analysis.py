@@ -228,6 +228,16 @@ def i2_full(spark, sf):
     return cluster.kmeans(scaled, Z).select("id", "cluster")
 
 
+@query("i3_silhouette", oracle(["directory"], """
+SELECT COUNT(*) AS n, ROUND(AVG(CASE WHEN own > 1 THEN (b - a) / GREATEST(a, b) ELSE 0 END), 6) AS silhouette FROM (
+  SELECT id, MAX(CASE WHEN same THEN m END) AS own, MAX(CASE WHEN same THEN total / NULLIF(m - 1, 0) END) AS a, MIN(CASE WHEN NOT same THEN total / m END) AS b
+  FROM (SELECT p.id, p.c = q.c AS same, q.c, COUNT(*) AS m, SUM(SQRT((p.zx - q.zx) * (p.zx - q.zx) + (p.zy - q.zy) * (p.zy - q.zy))) AS total
+    FROM a3 p, a3 q GROUP BY p.id, p.c, q.c) GROUP BY id)""", FEATURES_CTE + "," + z_cte("feats") + "," + lloyd_cte(3)))
+def i3_one(spark, sf):
+    scaled = cluster.zscores(_features(spark, sf), ["experience", "spec_count"])
+    return cluster.silhouette(cluster.lloyd_rounds(scaled, Z), Z).select("n", r6("silhouette"))
+
+
 @query("i3_silhouette_curve")
 def i3(spark, sf):
     scaled = cluster.zscores(_features(spark, sf), ["experience", "spec_count"])
@@ -286,12 +296,48 @@ def f3_plain(spark, sf):
     return found.select("id", r6("rank_experience", "rank"))
 
 
+REQUEST_CTE = DIRECTORY_CTE + f""",
+pool AS (SELECT id, experience_years AS experience, len(specs) AS spec_count, {cos_sql('embedding', 'q')} AS similarity
+  FROM prepared JOIN embeddings ON vec_id = id % (SELECT COUNT(*) FROM embeddings), (SELECT embedding AS q FROM embeddings ORDER BY vec_id LIMIT 1)
+  WHERE experience_years >= 6 AND city NOT IN ('nation_3', 'nation_7')
+    AND len(list_filter(specs, lambda s: contains(s, 'economy') OR contains('economy', s))) > 0
+    AND NOT len(list_filter(specs, lambda s: contains(s, 'promo') OR contains('promo', s))) > 0)
+"""
+
+
+@query("f3_hybrid_query_rounds", oracle(["directory"], """
+SELECT id, c AS cluster, ROUND(similarity + experience / 50.0::DOUBLE + spec_count / 10.0::DOUBLE, 6) AS rank FROM a3 JOIN pool USING (id)
+ORDER BY c, similarity + experience / 50.0::DOUBLE + spec_count / 10.0::DOUBLE DESC, id LIMIT 5""", REQUEST_CTE + "," + z_cte("pool") + "," + lloyd_cte(3)))
+def f3_query_rounds(spark, sf):
+    """The query form with k-means of set rounds, whose result does not depend on a random start."""
+    vector = table(spark, sf, "embeddings").orderBy("vec_id").first().embedding
+    found = recommend.recommend_by_request(_directory(spark, sf), REQUEST, vector, cities=_cities(spark, sf), method="rounds")
+    return found.select("id", F.col("cluster").cast("bigint"), r6("rank_specs", "rank"))
+
+
+PREFERENCES = "handling economy law, more than 3 years, located in asia, avoid promo law"
+
+
+@query("f3_preferences_rounds", oracle(["directory"], """
+SELECT id, c AS cluster, ROUND(final + score / 10.0::DOUBLE, 6) AS rank FROM a3 JOIN pool USING (id)
+ORDER BY c, final + score / 10.0::DOUBLE DESC, id LIMIT 3""", DIRECTORY_CTE + f""",
+pool AS (SELECT id, experience_years AS experience, len(specs) AS spec_count, experience_years + len(specs) AS score,
+    {cos_sql('embedding', 'q')} + CASE WHEN contains(LOWER(specialization), 'economy law') THEN 0.2 ELSE 0 END::DOUBLE
+      - CASE WHEN contains(LOWER(location), 'promo') THEN 0.2 ELSE 0 END::DOUBLE
+      - CASE WHEN contains(LOWER(specialization), 'promo law') THEN 0.2 ELSE 0 END::DOUBLE AS final
+  FROM prepared JOIN embeddings ON vec_id = id % (SELECT COUNT(*) FROM embeddings), (SELECT embedding AS q FROM embeddings ORDER BY vec_id LIMIT 1)
+  WHERE experience_years >= 4 AND contains(LOWER(location), 'asia'))""" + "," + z_cte("pool") + "," + lloyd_cte(3)))
+def f3_preferences_rounds(spark, sf):
+    vector = table(spark, sf, "embeddings").orderBy("vec_id").first().embedding
+    found = recommend.recommend_by_preferences(_directory(spark, sf), PREFERENCES, vector, method="rounds")
+    return found.select("id", F.col("cluster").cast("bigint"), r6("rank_score", "rank"))
+
+
 @query("f3_preferences")
 def f3_preferences(spark, sf):
     """Bounds form: the place filters, preferences move the similarity, score decides inside clusters."""
     vector = table(spark, sf, "embeddings").orderBy("vec_id").first().embedding
-    text = "handling economy law, more than 3 years, located in asia, avoid promo law"
-    found = recommend.recommend_by_preferences(_directory(spark, sf), text, vector)
+    found = recommend.recommend_by_preferences(_directory(spark, sf), PREFERENCES, vector)
     return found.select("id", "name", "cluster", "rank_score")
 
 

@@ -209,6 +209,24 @@ def test_kmeans(spark):
     assert cluster.kmeans(df.limit(0), ["x", "y"]).count() == 0
     curve = cluster.silhouette_curve(df, ["x", "y"], [2, 3]).toPandas()
     assert curve["silhouette"].between(-1, 1).all() and curve["silhouette"].idxmax() == 1
+    squared = cluster.silhouette_curve(df, ["x", "y"], [2, 3], metric="squaredEuclidean").toPandas()
+    assert (squared["silhouette"] > curve["silhouette"]).all()
+
+
+@pytest.mark.parametrize("chunk", [20_000, 7])
+def test_silhouette_against_brute_force(spark, chunk):
+    rng = np.random.default_rng(13)
+    pts = np.concatenate([rng.integers(0, 6, (40, 2)), [[50, 50]]]).astype(float)
+    labels = np.r_[rng.integers(0, 3, 40), 9]
+    df = spark.createDataFrame([(float(x), float(y), int(c)) for (x, y), c in zip(pts, labels)], "x double, y double, cluster int")
+    dist, want = np.sqrt(((pts[:, None] - pts[None]) ** 2).sum(-1)), []
+    for i, c in enumerate(labels):
+        own = (labels == c).sum()
+        a = dist[i, labels == c].sum() / max(own - 1, 1)
+        b = min(dist[i, labels == o].mean() for o in set(labels) - {c})
+        want.append((b - a) / max(a, b) if own > 1 else 0.0)
+    got = cluster.silhouette(df, ["x", "y"], pair_chunk=chunk).first()
+    assert got.n == 41 and got.silhouette == pytest.approx(np.mean(want))
 
 
 def test_principal_components(spark):
