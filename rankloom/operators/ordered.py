@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from rankloom.session import block_count, cut_lineage
 
 BLOCK = "_block"
+KEY = "_key"
 
 
 def value_blocks(df: DataFrame, col: str, blocks: int | None = None) -> DataFrame:
@@ -53,17 +54,19 @@ def equal_width_bin(col: str, lo: float, hi: float, bins: int) -> Column:
 
 def step_blocks(df: DataFrame, col: str, width: int) -> DataFrame:
     """Add a block number for a whole-number position unique within its key: ``width`` positions each."""
-    return df.withColumn(BLOCK, F.floor(F.col(col) / F.lit(width)).cast("bigint"))
+    return df.withColumn(BLOCK, F.expr(f"`{col}` div {int(width)}"))
+
+
+def with_key(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """The key columns as one struct, which also groups and joins rows whose key is missing."""
+    return (df.withColumn(KEY, F.struct(*by)), [KEY]) if by else (df, [])
 
 
 def join_cells(df: DataFrame, cells: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Join the table of one row per (key, block) to the rows; a missing key is a key like any other."""
-    keys = [*by, BLOCK]
-    cells = cells.withColumnsRenamed({k: f"_on_{k}" for k in keys})
+    """Join the table of one row per (key, block) to the rows."""
     if not by:
-        cells = F.broadcast(cells)  # one row per block, at most MAX_BLOCKS + 1
-    match = [F.col(k).eqNullSafe(F.col(f"_on_{k}")) for k in by] + [F.col(BLOCK) == F.col(f"_on_{BLOCK}")]
-    return df.join(cells, match).drop(*[f"_on_{k}" for k in keys])
+        return df.join(F.broadcast(cells), BLOCK)  # one row per block, at most MAX_BLOCKS + 1
+    return df.join(cells, [KEY, BLOCK])
 
 
 def ordered_scan(
@@ -77,10 +80,13 @@ def ordered_scan(
     ``specs`` maps an output name to ``(kind, column)`` with kind one of ``row_number``,
     ``sum_before``, ``prev``, ``next``, ``first``, ``last`` and ``total`` (sum over the key).
     """
-    sort_key = F.struct(*order)
-    inner = Window.partitionBy(*by, BLOCK).orderBy(*order)
+    columns = [c for c in df.columns if c != BLOCK]
+    df, key = with_key(df, by)
+    # Plain columns where possible: then the partial aggregate below hashes instead of sorting.
+    sort_key = F.col(order[0]) if len(order) == 1 else F.struct(*order)
+    inner = Window.partitionBy(*key, BLOCK).orderBy(*order)
     before = inner.rowsBetween(Window.unboundedPreceding, -1)
-    over_cells = Window.partitionBy(*by).orderBy(BLOCK)
+    over_cells = Window.partitionBy(*key).orderBy(BLOCK)
     cells_before = over_cells.rowsBetween(Window.unboundedPreceding, -1)
     whole_key = over_cells.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
@@ -105,25 +111,26 @@ def ordered_scan(
             final[out] = F.col(carry)
         elif kind in ("first", "last"):
             pick = F.min_by if kind == "first" else F.max_by
-            cell_aggs.append(pick(F.struct(col), sort_key).alias(cell))
+            cell_aggs.append(pick(col, sort_key).alias(cell))
             take = F.first if kind == "first" else F.last
             carried.append(take(cell).over(whole_key).alias(carry))
-            final[out] = F.col(carry)[col]
+            final[out] = F.col(carry)
         elif kind in ("prev", "next"):
-            # Wrapped in a struct, so that a null value of the neighbour is told from no neighbour.
             pick = F.max_by if kind == "prev" else F.min_by
             shift = F.lag if kind == "prev" else F.lead
-            cell_aggs.append(pick(F.struct(col), sort_key).alias(cell))
+            cell_aggs.append(pick(col, sort_key).alias(cell))
             carried.append(shift(cell).over(over_cells).alias(carry))
-            local[part] = shift(F.struct(col)).over(inner)
-            final[out] = F.coalesce(F.col(part), F.col(carry))[col]
+            local[part] = shift(col).over(inner)
+            # Tells a neighbour without a value from the block's border.
+            local[f"_has_{kind}"] = shift(F.lit(1)).over(inner)
+            final[out] = F.when(F.col(f"_has_{kind}").isNotNull(), F.col(part)).otherwise(F.col(carry))
         else:
             raise ValueError(f"unknown kind {kind!r}")
 
-    keys = [*by, BLOCK]
+    keys = [*key, BLOCK]
     cells = df.groupBy(*keys).agg(*cell_aggs).select(*keys, *carried)
     joined = join_cells(df.withColumns(local) if local else df, cells, by)
-    return joined.select(*[c for c in df.columns if c != BLOCK], *[expr.alias(out) for out, expr in final.items()])
+    return joined.select(*columns, *[expr.alias(out) for out, expr in final.items()])
 
 
 def global_rank(df: DataFrame, order_col: str, out: str) -> DataFrame:

@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from rankloom.functions import fixed
 
 
+#: Most domains tested one by one against a text.
+MAX_LISTED_DOMAINS = 1_000
+
+
 def _group(text: Column, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
@@ -42,18 +46,27 @@ def domains_in_order(catalog: DataFrame, domain: str = "domain", id_col: str = "
     return catalog.groupBy(domain).agg(F.min(id_col).alias("first_id"))
 
 
-def detect_domain(df: DataFrame, catalog: DataFrame, text: str = "text") -> DataFrame:
+def detect_domain(df: DataFrame, catalog: DataFrame, text: str = "text", max_listed: int = MAX_LISTED_DOMAINS) -> DataFrame:
     """Add ``domain``: the first one, in catalog order, that the text contains.
 
-    The catalog's domain vocabulary is read once, as one ordered array.
+    A short vocabulary is tested as a list. A longer one is joined on equality: each text is cut into all
+    pieces as long as some domain, so that no text meets every domain.
     """
     firsts = domains_in_order(catalog.where(F.col("domain").isNotNull()))
-    names = firsts.agg(F.array_sort(F.collect_list(F.struct("first_id", "domain"))).alias("names")).scalar()
-    return (
-        df.withColumn("_names", names)
-        .withColumn("domain", F.get(F.filter("_names", lambda d: F.contains(F.lower(text), F.lower(d["domain"]))), F.lit(0))["domain"])
-        .drop("_names")
-    )
+    head = firsts.orderBy("first_id").limit(max_listed + 1).collect()
+    if not head:
+        return df.withColumn("domain", F.lit(None).cast("string"))
+    if len(head) <= max_listed:
+        names = F.array(*[F.lit(r["domain"]) for r in head])
+        return df.withColumn("domain", F.get(F.filter(names, lambda d: F.contains(F.lower(text), F.lower(d))), F.lit(0)))
+    known = firsts.withColumn("_piece", F.lower("domain"))
+    lengths = F.array(*[F.lit(r[0]) for r in known.select(F.length("_piece")).distinct().collect()])  # a few word lengths
+    texts = df.select(F.col(text).alias("_text")).distinct().withColumn("_low", F.lower("_text"))
+    fitting = F.filter(lengths, lambda n: n <= F.length("_low"))
+    places = texts.withColumn("_n", F.explode(fitting)).withColumn("_at", F.explode(F.expr("sequence(1, length(_low) - _n + 1)")))
+    pieces = places.select("_text", F.expr("substring(_low, _at, _n)").alias("_piece")).distinct()
+    found = pieces.join(known, "_piece").groupBy("_text").agg(F.min_by("domain", "first_id").alias("domain"))
+    return df.join(found, F.col(text) == F.col("_text"), "left").drop("_text")
 
 
 def normalise_aliases(text: Column, aliases: Mapping[str, str] = fixed.SPECIALTY_ALIASES) -> Column:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankloom.operators.ordered import BLOCK, equal_width_bin, join_cells, ordered_scan, value_blocks, value_range
+from rankloom.operators.ordered import BLOCK, equal_width_bin, join_cells, ordered_scan, value_blocks, value_range, with_key
 from rankloom.session import block_count, cut_lineage
 
 #: Most vectors one task compares against another chunk of the same size.
@@ -28,10 +28,11 @@ def objective_columns(df: DataFrame, minimise: Sequence[str] = (), maximise: Seq
 
 def _drop_below_earlier_blocks(df: DataFrame, by: Sequence[str], f2: str) -> DataFrame:
     """Drop points that some point of an earlier block (smaller first objective) dominates."""
-    earlier = Window.partitionBy(*by).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    keys = [*by, BLOCK]
+    df, key = with_key(df, by)
+    earlier = Window.partitionBy(*key).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    keys = [*key, BLOCK]
     cells = df.groupBy(*keys).agg(F.min(f2).alias("_m")).select(*keys, F.min("_m").over(earlier).alias("_floor"))
-    return join_cells(df, cells, by).where(F.col("_floor").isNull() | (F.col(f2) < F.col("_floor"))).drop("_floor")
+    return join_cells(df, cells, by).where(F.col("_floor").isNull() | (F.col(f2) < F.col("_floor"))).drop("_floor", *key)
 
 
 def front_values_2d(df: DataFrame, f1: str, f2: str, by: Sequence[str] = ()) -> DataFrame:

@@ -25,11 +25,17 @@ def test_digits_are_ascii(spark):
     assert parsed(spark, parse.parse_basic, "more than ٥ years")["exp_years"] is None
 
 
-def test_domain_in_catalog_order(spark):
+@pytest.mark.parametrize("listed", [1000, 1])
+def test_domain_in_catalog_order(spark, listed):
     catalog = spark.createDataFrame([(1, "Tax Law"), (0, "Civil Law"), (2, "Law")], "item_id bigint, domain string")
     texts = spark.createDataFrame([("tax law and civil law",), ("some LAW",), ("none",)], "text string")
-    got = [r.domain for r in parse.detect_domain(texts, catalog).collect()]
-    assert got == ["Civil Law", "Law", None]
+    got = {r.text: r.domain for r in parse.detect_domain(texts, catalog, max_listed=listed).collect()}
+    assert got == {"tax law and civil law": "Civil Law", "some LAW": "Law", "none": None}
+
+
+def test_domain_of_an_empty_catalog(spark):
+    catalog = spark.createDataFrame([], "item_id bigint, domain string")
+    assert parse.detect_domain(spark.createDataFrame([("x",)], "text string"), catalog).first().domain is None
 
 
 def test_bounds(spark):
