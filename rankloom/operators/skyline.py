@@ -138,20 +138,37 @@ def pareto_front(df: DataFrame, objectives: Sequence[str]) -> DataFrame:
     return df.join(front_values(df, objectives), list(objectives), "left_semi")
 
 
-def front_ranks_2d(df: DataFrame, f1: str, f2: str, fronts: int) -> DataFrame:
-    """Rows of fronts 0..fronts-1 with their ``front`` number, peeling one front per round.
+def front_ranks_2d(df: DataFrame, f1: str, f2: str, fronts: int | None = None, rows: int | None = None) -> DataFrame:
+    """Rows of the first fronts with their ``front`` number, peeling one front per round.
 
-    Only the few front values are written between rounds; the rows themselves are read once per front.
+    Stops after ``fronts`` rounds, or once ``rows`` rows are ranked, or when none are left. Only the few front
+    values are written between rounds; the rows themselves are read once per front.
     """
-    rest, found = df, []
-    for number in range(fronts):
+    if fronts is None and rows is None:
+        raise ValueError("give a number of fronts or of rows")
+    rest, found, ranked = df, [], 0
+    while (fronts is None or len(found) < fronts) and (rows is None or ranked < rows):
         values = cut_lineage(front_values_2d(rest, f1, f2))
-        found.append(values.withColumn("front", F.lit(number)))
+        if rows is not None:
+            more = rest.join(values, [f1, f2], "left_semi").count()
+            if not more and found:
+                break
+            ranked += more
+        found.append(values.withColumn("front", F.lit(len(found))))
+        if rows is not None and not more:
+            break
         rest = rest.join(values, [f1, f2], "left_anti")
     levels = reduce(DataFrame.unionByName, found)
     return df.join(levels, [f1, f2])
 
 
+def update_archive(archive: DataFrame, candidates: DataFrame, f1: str, f2: str, id_col: str, size: int) -> DataFrame:
+    """The best ``size`` rows of archive and candidates together: whole fronts, the last one by crowding."""
+    merged = archive.unionByName(candidates).distinct()
+    ranked = front_ranks_2d(merged, f1, f2, rows=size)
+    return truncate_archive(crowding_distance(ranked, "front", [f1, f2], id_col), size, id_col)
+
+
 def crowding_distance(df: DataFrame, front: str, objectives: Sequence[str], id_col: str) -> DataFrame:
     """Add ``crowding`` per front: sum of neighbour gaps over the objective's range, infinite at the ends.
 

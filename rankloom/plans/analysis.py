@@ -374,9 +374,9 @@ def j2(spark, sf):
 def ranks_cte(fronts: int) -> str:
     out, rest = ["pts AS (SELECT *, price AS f1, 10 - satisfaction AS f2 FROM catalog)"], "pts"
     for i in range(fronts):
-        out.append(f"""front{i} AS (SELECT *, {i} AS front FROM {rest} a WHERE NOT EXISTS (
+        out.append(f"""front{i} AS MATERIALIZED (SELECT *, {i} AS front FROM {rest} a WHERE NOT EXISTS (
   SELECT 1 FROM {rest} b WHERE b.f1 <= a.f1 AND b.f2 <= a.f2 AND (b.f1 < a.f1 OR b.f2 < a.f2)))""")
-        out.append(f"rest{i} AS (SELECT * FROM {rest} WHERE item_id NOT IN (SELECT item_id FROM front{i}))")
+        out.append(f"rest{i} AS MATERIALIZED (SELECT * FROM {rest} WHERE item_id NOT IN (SELECT item_id FROM front{i}))")
         rest = f"rest{i}"
     union = " UNION ALL ".join(f"SELECT item_id, f1, f2, front FROM front{i}" for i in range(fronts))
     return ", ".join(out) + f", ranked AS ({union})"
@@ -420,6 +420,14 @@ def j5(spark, sf):
     return skyline.truncate_archive(_crowded(spark, sf), 12, "item_id").select("front", "item_id")
 
 
+@query("j5_update_archive", oracle(["catalog"], "SELECT front, item_id FROM finite ORDER BY front, c DESC, item_id LIMIT 25",
+       CROWD_CTE.replace(ranks_cte(3), ranks_cte(8).replace("FROM catalog)", "FROM catalog WHERE price <= 980 OR satisfaction >= 5)"))))
+def j5_update(spark, sf):
+    pts = _points(spark, sf).select("item_id", "price", "f2", "satisfaction")
+    archive, fresh = pts.where("price <= 980"), pts.where("satisfaction >= 5")
+    return skyline.update_archive(archive, fresh, "price", "f2", "item_id", 25).select("front", "item_id")
+
+
 @query("j6_front_by_trade_off", oracle(["catalog"], """
 SELECT item_id, name, domain, price, satisfaction, ROUND(f1 * f2, 6) AS trade_off FROM front ORDER BY f1 * f2, item_id LIMIT 10""", FRONT_CTE))
 def j6(spark, sf):

@@ -274,6 +274,15 @@ def f2(spark, sf):
     return hit.orderBy(F.desc_nulls_last("years"), "id").limit(5).select("id", "years")
 
 
+@query("f2_place_or_specialty", oracle(["directory"], """
+SELECT id, name, array_to_string(list_transform(string_split(LOWER(location), ' '), lambda w: UPPER(w[1]) || w[2:]), ' ') AS location,
+  UPPER(specialization[1]) || LOWER(specialization[2:]) AS specialization, CAST(experience_years AS VARCHAR) || ' years' AS experience
+FROM prepared WHERE contains(LOWER(location), 'asia') OR contains(LOWER(specialization), 'asia') ORDER BY experience_years DESC, id LIMIT 5""", DIRECTORY_CTE))
+def f2_display(spark, sf):
+    directory = prepared_directory(spark, sf).drop("experience").withColumnRenamed("experience_years", "experience")
+    return recommend.recommend_by_term(directory, "Asia")
+
+
 @query("f4_first_per_name", oracle(["catalog"], """
 SELECT item_id, name, price FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY name ORDER BY price, item_id) AS rn FROM catalog) WHERE rn = 1"""))
 def f4(spark, sf):

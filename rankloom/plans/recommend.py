@@ -93,6 +93,16 @@ def recommend_by_preferences(directory: DataFrame, text: str, vector: Sequence[f
     return grouped.orderBy("cluster", F.desc("rank_score"), "id").limit(top_n)
 
 
+def recommend_by_term(directory: DataFrame, term: str, top_n: int = 5) -> DataFrame:
+    """Rows whose place or specialty contains the term, the most experienced first, ready for display."""
+    found = directory.where(filters.place_or_specialty(term)).orderBy(F.desc_nulls_last("experience"), "id").limit(top_n)
+    years = F.concat(F.col("experience").cast("string"), F.lit(" years"))
+    return found.select(
+        "id", "name", clean.title_case("location").alias("location"), clean.title_case("specialization").alias("specialization"),
+        F.coalesce(years, F.lit(fixed.UNKNOWN)).alias("experience"),
+    )
+
+
 def recommend_weighted(catalog: DataFrame, domain: str, budget: float) -> DataFrame:
     """Candidates of a domain within budget by weighted fitness; one row per name."""
     return score.weighted_candidates(catalog, domain, budget)

@@ -123,6 +123,22 @@ def test_front_ranks(spark):
     assert got == want
 
 
+def test_front_ranks_until_enough_rows(spark):
+    df = spark.createDataFrame([(i, float(i % 4), float(i // 4)) for i in range(16)], "id int, a double, b double")
+    got = skyline.front_ranks_2d(df, "a", "b", rows=4)
+    assert {r.front: r.n for r in got.groupBy("front").agg(F.count("*").alias("n")).collect()} == {0: 1, 1: 2, 2: 3}
+    assert skyline.front_ranks_2d(df, "a", "b", rows=99).count() == 16
+    assert skyline.front_ranks_2d(df.where("id < 0"), "a", "b", rows=5).count() == 0
+    with pytest.raises(ValueError):
+        skyline.front_ranks_2d(df, "a", "b")
+
+
+def test_update_archive(spark):
+    df = spark.createDataFrame([(0, 0.0, 4.0), (1, 1.0, 3.0), (2, 2.0, 2.0), (3, 4.0, 0.0), (4, 9.0, 9.0)], "id int, a double, b double")
+    got = skyline.update_archive(df.where("id < 3"), df.where("id > 0"), "a", "b", "id", 3)
+    assert sorted(r.id for r in got.collect()) == [0, 2, 3]
+
+
 def test_crowding(spark):
     rows = [(0, 0, 1.0, 9.0), (0, 1, 2.0, 5.0), (0, 2, 2.0, 5.0), (0, 3, 6.0, 1.0), (1, 4, 3.0, 3.0), (1, 5, 3.0, 3.0), (1, 6, 3.0, 3.0)]
     df = spark.createDataFrame(rows, "front int, id int, a double, b double")
