@@ -87,11 +87,11 @@ def slices(batch: pa.RecordBatch, column: str, step_bytes: int = STEP_BYTES) ->
         at = upto
 
 
-def words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, bounds: np.ndarray, separator: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of every word, and the number of the first word of each text (one more at the end)."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(bounds), np.int64)
-    inside = ~IS_SPACE[data]
+    inside = ~separator[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[bounds] = True
     before = np.empty(len(data), bool)
