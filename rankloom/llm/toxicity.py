@@ -1,20 +1,22 @@
 """Toxicity by class-conditional Kneser-Ney models of toxic and of ordinary text.
 
-From a bounded sample of labelled rows, ``per_class`` documents of each class chosen by a hash of the id,
-word bigrams are counted in Spark. Each class has an interpolated model with absolute discount ``D``:
-``P(w|v) = max(n(v,w) - D, 0) / n(v) + D * t(v) / n(v) * P(w)`` and ``P(w) = max(n(w) - D, 0) / N + D * T / N * S(w)``,
-where ``t`` and ``T`` count distinct continuations and words. ``S``, shared by the classes, is the
-Kneser-Ney backoff: the number of distinct words before ``w`` in the sample of both classes, so a rare
-expression seen in one class by chance is not evidence by itself. A text's figure is the mean over its words
-of ``log P_toxic - log P_ordinary``. A logistic curve, fitted on ``calibrate`` further documents per class
-weighed to the classes' shares among all labels, turns it into a score from 0 to 1.
-
-Words are runs of letters, digits and non-ASCII bytes, A-Z in lower case. The models hold at most what
-``2 * per_class`` documents contain and are sent to the tasks as one broadcast variable. Scoring is one
-narrow pass over whole texts, so no key can be hot.
+Texts are read as UTF-8 bytes in lower case, every run of ASCII characters that are neither letters nor
+digits as one blank. From a bounded sample of labelled rows, ``per_class`` documents of each class chosen by
+a hash of the id, equal texts once, the documents with each window of ``order`` bytes are counted in Spark
+(documents, not occurrences, so that no long text speaks for its class). Each class has an interpolated model with
+absolute discount ``D``: ``P(b|c) = max(n(c,b) - D, 0) / n(c) + D * t(c) / n(c) * S(b|c')``, where ``t`` counts distinct
+continuations. ``S``, shared by the classes, is the Kneser-Ney chain of all shorter windows over the counts of
+both classes together (numbers of distinct bytes in front), so an expression too rare to be known is no
+evidence for either class. A text's figure is the sum over its bytes of ``log P_toxic - log P_ordinary`` over the
+root of its length, by which the sum of many small chance differences grows. A
+logistic curve, fitted on the third of the sample that was not counted and weighed to the classes' shares
+among all labels, turns it into a score from 0 to 1.
+
+The models hold at most what ``2 * per_class`` documents contain and are sent to the tasks as one broadcast
+variable. Scoring is one narrow pass over whole texts, so no key can be hot.
 
 Defined cases: null and empty texts have figure 0; null labels are not learned from, labels without document
-neither; a class without examples gives every text the share of label 1 as its score; equal texts get equal
+neither; without examples of both classes every text scores the share of label 1; equal texts get equal
 scores; a table without rows gives none. Input columns are kept, the added ones replace those of equal name.
 """
 
@@ -31,38 +33,52 @@ from pyspark.sql import functions as F
 from rankloom.llm import arrays as A
 from rankloom.llm.common import map_batches
 
-DISCOUNT = 0.75
+#: Close to 1, so that a window of one document alone counts for little.
+DISCOUNT = 0.95
+#: Bytes of a window: the predicted one and those before it.
+ORDER = 5
 _U = np.uint64
-_FIRST = _U(0x5851F42D4C957F2D)
-#: Everything in ASCII that is neither letter nor digit separates words.
-SEPARATOR = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
-
-
-def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all words, of the word before each (a fixed number at a text's start), and the texts' bounds."""
-    data, bounds = A.utf8(column)
-    starts, ends, first = A.words(data, bounds, SEPARATOR)
-    words = A.span_hash(A.prefix_hash(data, A.FOLDED), starts, ends)
-    before = np.empty_like(words)
-    before[1:] = words[:-1]
-    before[first[:-1][first[:-1] < len(words)]] = _FIRST
-    return words, before, first
-
-
-def _pair(before: np.ndarray, words: np.ndarray) -> np.ndarray:
-    return A.mix(before * _U(0x2545F4914F6CDD1D) + words)
-
-
-def _bigrams():
+#: Lower case for A-Z, one blank for everything in ASCII that is neither letter nor digit.
+_FOLD = np.array([ord(chr(b).lower()) if b > 127 or chr(b).isalnum() else 32 for b in range(256)], np.uint8)
+_FOLD[128:] = np.arange(128, 256)
+
+
+def windows(column: pa.Array, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of ``order`` bytes as numbers, one for each byte of the folded texts, and the texts' bounds."""
+    raw, bounds = A.utf8(column)
+    data = _FOLD[raw]
+    # Latin capitals beyond ASCII: 0xC3 0x80..0x9E, the multiplication sign aside.
+    capital = np.zeros(len(raw), bool)
+    capital[1:] = (raw[:-1] == 0xC3) & (raw[1:] >= 0x80) & (raw[1:] <= 0x9E) & (raw[1:] != 0x97)
+    data[capital] += 0x20
+    keep = np.ones(len(data), bool)
+    keep[1:] = (data[1:] != 32) | (data[:-1] != 32)
+    kept_before = np.concatenate([[0], np.cumsum(keep)])
+    sizes = np.diff(kept_before[bounds])
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    # Every text begins after order - 1 blanks.
+    at = np.arange(first[-1]) + np.repeat(np.arange(1, len(sizes) + 1) * (order - 1), sizes)
+    line = np.full(first[-1] + len(sizes) * (order - 1), 32, np.uint8)
+    line[at] = data[keep]
+    found = np.zeros(len(at), np.uint64)
+    for k in range(order):
+        found = (found << _U(8)) | line[at - (order - 1 - k)]
+    return found, first
+
+
+def _counts():
     def step(batch):
         for part in A.slices(batch, "text"):
-            words, before, first = _tokens(part.column("text"))
-            label = np.repeat(np.asarray(part.column("label")), np.diff(first))
+            found, first = windows(part.column("text"))
+            of_text = np.repeat(np.arange(part.num_rows), np.diff(first))
+            order = np.lexsort((of_text, found))
+            found, of_text = found[order], of_text[order]
+            new = np.ones(len(found), bool)
+            new[1:] = (found[1:] != found[:-1]) | (of_text[1:] != of_text[:-1])
+            label = np.asarray(part.column("label"))[of_text]
             for value in (0, 1):
-                mine = label == value
-                keys = np.rec.fromarrays([before[mine], words[mine]], names="v,w")
-                found, n = np.unique(keys, return_counts=True)
-                yield {"label": np.full(len(n), value, np.int32), "v": found["v"].view(np.int64), "w": found["w"].view(np.int64), "n": n}
+                keys, n = np.unique(found[new & (label == value)], return_counts=True)
+                yield {"label": np.full(len(n), value, np.int32), "key": keys.view(np.int64), "n": n}
 
     return step
 
@@ -74,63 +90,81 @@ def choose(labels: DataFrame, learn_from: Column, per_class: int, id_col: str, l
     return pool.withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_class)
 
 
-def build(counted: pa.Table) -> dict[str, Any]:
-    """The arrays of both classes' models from (label, v, w, n) rows."""
-    label = counted["label"].to_numpy()
-    v, w = (counted[c].to_numpy().view(np.uint64) for c in ("v", "w"))
-    n = counted["n"].to_numpy().astype(np.float64)
-    pairs, of_pair = np.unique(_pair(v, w), return_inverse=True)
-    first_of = np.zeros(len(pairs), np.int64)
-    first_of[of_pair] = np.arange(len(v))
-    words, index = np.unique(np.concatenate([w, v]), return_inverse=True)
-    wi, vi = index[: len(w)], index[len(w) :]
-    kinds = len(words)
-    shared = np.bincount(wi[first_of], minlength=kinds) + 1.0
-    unseen = 1.0 / (shared.sum() + 1.0)
-    shared *= unseen
-    model: dict[str, Any] = {"pairs": pairs, "words": words}
+def _sums(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, the sum of their values, and the number of their rows."""
+    found, index, n = np.unique(keys, return_inverse=True, return_counts=True)
+    return found, np.bincount(index, values, len(found)), n
+
+
+def build(label: np.ndarray, keys: np.ndarray, n: np.ndarray, order: int = ORDER) -> dict[str, Any]:
+    """From counted windows: the log ratio of every known window, and of every known context for an unknown byte."""
+    every = np.unique(keys)
+    # The shared chain, from single bytes up: each window of k bytes counts by its distinct bytes in front.
+    longer = every
+    suffixes = []
+    for k in range(order - 1, 0, -1):
+        suffix = longer & _U((1 << 8 * k) - 1)
+        longer, fronts = np.unique(suffix, return_counts=True)
+        suffixes.append((longer, fronts.astype(float)))
+    lower_keys, lower = np.zeros(1, np.uint64), np.full(1, 1 / 257.0)
+    for k, (found, fronts) in zip(range(1, order), reversed(suffixes), strict=True):
+        context = found >> _U(8)
+        _, index = np.unique(context, return_inverse=True)
+        total, kinds = np.bincount(index, fronts)[index], np.bincount(index)[index]
+        below = lower[np.searchsorted(lower_keys, found & _U((1 << 8 * (k - 1)) - 1))] if k > 1 else lower[0]
+        lower_keys, lower = found, np.maximum(fronts - DISCOUNT, 0) / total + DISCOUNT * kinds / total * below
+    shared = lower[np.searchsorted(lower_keys, every & _U((1 << 8 * (order - 1)) - 1))]
+    contexts, of_context = np.unique(every >> _U(8), return_inverse=True)
+    logs, rest = [], []
     for c in (0, 1):
         mine = label == c
-        total = n[mine].sum()
-        of_word = np.bincount(wi[mine], n[mine], kinds)
-        after = np.bincount(vi[mine], n[mine], kinds)
-        different = np.bincount(vi[mine], minlength=kinds)
-        rest = DISCOUNT * (of_word > 0).sum() / total
-        known = after > 0
-        model[f"word{c}"] = np.append(np.maximum(of_word - DISCOUNT, 0) / total + rest * shared, rest * unseen)
-        model[f"back{c}"] = np.append(np.where(known, DISCOUNT * different / np.where(known, after, 1), 1.0), 1.0)
-        seen = np.zeros(len(pairs))
-        seen[of_pair[mine]] = (n[mine] - DISCOUNT) / after[vi[mine]]
-        model[f"pair{c}"] = np.append(np.maximum(seen, 0), 0.0)
-    return model
-
-
-def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Place of each key among the sorted ones, or their number where it is not there."""
-    at = np.searchsorted(sorted_keys, keys)
-    at[at == len(sorted_keys)] = 0
-    return np.where(sorted_keys[at] == keys, at, len(sorted_keys))
+        seen, counted, _ = _sums(keys[mine], n[mine])
+        counts = np.zeros(len(every))
+        counts[np.searchsorted(every, seen)] = counted
+        total = np.bincount(of_context, counts)
+        kinds = np.bincount(of_context, counts > 0)
+        back = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0)
+        logs.append(np.log(np.maximum(counts - DISCOUNT, 0) / np.maximum(total, 1)[of_context] + back[of_context] * shared))
+        rest.append(np.log(back))
+    return {"window": _Table(every, logs[1] - logs[0]), "context": _Table(contexts, rest[1] - rest[0])}
+
+
+class _Table:
+    """Values by key: a slot per hash where only one key has it, the sorted keys where more do."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.keys, self.values = keys, np.append(values, 0.0)
+        self.shift = _U(64 - max(10, min(23, len(keys).bit_length() + 2)))
+        slot = self._slot(keys)
+        self.slots = np.full(1 << (64 - int(self.shift)), -1, np.int32)
+        self.slots[slot] = np.arange(len(keys))
+        self.slots[np.bincount(slot, minlength=len(self.slots)) > 1] = -2
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * _U(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The value of each key, 0 without one, and which keys are known."""
+        if not len(self.keys):
+            return np.zeros(len(keys)), np.zeros(len(keys), bool)
+        at = self.slots[self._slot(keys)]
+        shared = np.flatnonzero(at == -2)
+        at[shared] = np.minimum(np.searchsorted(self.keys, keys[shared]), len(self.keys) - 1)
+        known = (at >= 0) & (self.keys[at] == keys)
+        return np.where(known, self.values[at], 0.0), known
 
 
 def figures(model: dict[str, Any], column: pa.Array) -> np.ndarray:
-    """Mean over each text's words of the difference of the two log-likelihoods."""
-    words, before, first = _tokens(column)
+    """Difference of each text's two log-likelihoods over the root of its length."""
+    found, first = windows(column)
     out = np.zeros(len(first) - 1)
-    if not len(words):
+    if not len(found):
         return out
-    kinds, of_word = np.unique(words, return_inverse=True)
-    wi = _find(model["words"], kinds)[of_word]
-    vi = np.empty_like(wi)
-    vi[1:] = wi[:-1]
-    begins = first[:-1][np.diff(first) > 0]
-    vi[begins] = _find(model["words"], np.array([_FIRST]))[0]
-    # Pairs of which a word is unknown cannot be known.
-    pi = np.full(len(words), len(model["pairs"]))
-    both = (wi < len(model["words"])) & (vi < len(model["words"]))
-    pi[both] = _find(model["pairs"], _pair(before[both], words[both]))
-    logs = [np.log(model[f"pair{c}"][pi] + model[f"back{c}"][vi] * model[f"word{c}"][wi]) for c in (0, 1)]
-    sums = np.add.reduceat(logs[1] - logs[0], begins)
-    out[np.diff(first) > 0] = sums / np.diff(first)[np.diff(first) > 0]
+    value, known = model["window"].find(found)
+    unknown = np.flatnonzero(~known)
+    value[unknown] = model["context"].find(found[unknown] >> _U(8))[0]
+    sizes = np.diff(first)
+    out[sizes > 0] = np.add.reduceat(value, first[:-1][sizes > 0]) / np.sqrt(sizes[sizes > 0])
     return out
 
 
@@ -154,45 +188,45 @@ def learn(
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "toxic",
-    per_class: int = 1500,
-    calibrate: int = 750,
+    per_class: int = 2400,
 ) -> dict[str, Any]:
-    """Both models and the curve. ``learn_from``: which rows of ``labels`` may be used (all if None)."""
+    """Both models and the curve. ``learn_from``: which rows of ``labels`` may be used (all if None).
+
+    The classes give equally many documents, ``per_class`` at most; every third is kept for the curve.
+    """
     learn_from = F.lit(True) if learn_from is None else learn_from
-    shares = {r[0]: r[1] for r in labels.where(learn_from & F.col(label_col).isin(0, 1)).groupBy(F.col(label_col).cast("int")).count().collect()}
-    total = sum(shares.values())
-    chosen = choose(labels, learn_from, per_class + calibrate, id_col, label_col)
-    # At most 2 * (per_class + calibrate) rows of three numbers.
-    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
+    pool = labels.where(learn_from & F.col(label_col).isin(0, 1))
+    shares = {r[0]: r[1] for r in pool.groupBy(F.col(label_col).cast("int")).agg(F.countDistinct(id_col)).collect()}
+    prior = (shares.get(1, 0) + 0.5) / (sum(shares.values()) + 1.0)
+    model: dict[str, Any] = {"slope": 0.0, "offset": math.log(prior / (1 - prior))}
+    if len(shares) < 2:
+        return model
+    chosen = choose(labels, learn_from, min(per_class, *shares.values()), id_col, label_col)
+    # At most 2 * per_class rows of three numbers.
+    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").dropDuplicates(["label", "text"])
+    for_curve = F.abs(F.xxhash64("text") % 3) == 0
     counted = (
-        map_batches(sample.where(F.col("place") <= per_class).select("label", "text"), _bigrams, "label int, v long, w long, n long")
-        .groupBy("label", "v", "w").agg(F.sum("n").alias("n")).toArrow()
+        map_batches(sample.where(~for_curve).select("label", "text"), _counts, "label int, key long, n long")
+        .groupBy("label", "key").agg(F.sum("n").alias("n")).toArrow()
     )
-    prior = (shares.get(1, 0) + 0.5) / (total + 1.0)
-    model: dict[str, Any] = {"slope": 0.0, "offset": math.log(prior / (1 - prior))}
-    if len(set(counted["label"].to_pylist())) < 2:
+    label, key, n = (counted[c].to_numpy() for c in ("label", "key", "n"))
+    if len(np.unique(label)) < 2:
         return model
-    model |= build(counted)
-    rows = []
+    model |= build(label, key.view(np.uint64), n.astype(float))
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    held = sample.where((F.col("place") > per_class) | (F.col("place") % 4 == 0)).select("label", "place", "text")
 
     def measure():
         def step(batch):
             for part in A.slices(batch, "text"):
-                yield {"label": part.column("label"), "place": part.column("place"), "x": figures(sent.value, part.column("text"))}
+                yield {"label": part.column("label"), "x": figures(sent.value, part.column("text"))}
 
         return step
 
-    rows = map_batches(held, measure, "label int, place int, x double").toArrow().to_pydict()
-    place, y, x = (np.array(rows[c], float) for c in ("place", "label", "x"))
-    # Documents the models were counted from serve only where a class has no further ones.
-    use = np.zeros(len(x), bool)
-    for c in (0, 1):
-        fresh = (y == c) & (place > per_class)
-        use |= fresh if fresh.sum() >= 20 else (y == c)
-    x, y = x[use], y[use]
-    weight = np.where(y == 1, prior / max(1, (y == 1).sum()), (1 - prior) / max(1, (y == 0).sum())) * len(y)
+    rows = map_batches(sample.where(for_curve).select("label", "text"), measure, "label int, x double").toArrow()
+    y, x = (rows[c].to_numpy().astype(float) for c in ("label", "x"))
+    if len(np.unique(y)) < 2:
+        return model
+    weight = np.where(y == 1, prior / (y == 1).sum(), (1 - prior) / (y == 0).sum()) * len(y)
     model["slope"], model["offset"] = logistic(x, y, weight)
     return model
 
@@ -207,7 +241,7 @@ def with_toxicity(docs: DataFrame, model: dict[str, Any], text_col: str = "text"
         known = sent.value
         for batch in batches:
             for part in A.slices(batch, text_col):
-                x = figures(known, part.column(text_col)) if "words" in known else np.zeros(part.num_rows)
+                x = figures(known, part.column(text_col)) if "window" in known else np.zeros(part.num_rows)
                 score = 1 / (1 + np.exp(-np.clip(known["slope"] * x + known["offset"], -700, 700)))
                 new = [pa.array(score), pa.array((score >= 0.5).astype(np.int32))]
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], *new], names=[*kept, "score", "predicted"])
