@@ -36,7 +36,7 @@ from rankloom.llm.common import map_batches
 #: Close to 1, so that a window of one document alone counts for little.
 DISCOUNT = 0.95
 #: Bytes of a window: the predicted one and those before it.
-ORDER = 5
+ORDER = 4
 _U = np.uint64
 #: Lower case for A-Z, one blank for everything in ASCII that is neither letter nor digit.
 _FOLD = np.array([ord(chr(b).lower()) if b > 127 or chr(b).isalnum() else 32 for b in range(256)], np.uint8)
@@ -192,7 +192,7 @@ def learn(
 ) -> dict[str, Any]:
     """Both models and the curve. ``learn_from``: which rows of ``labels`` may be used (all if None).
 
-    The classes give equally many documents, ``per_class`` at most; every third is kept for the curve.
+    Each class gives ``per_class`` documents at most; about a third of them, by a hash, is kept for the curve.
     """
     learn_from = F.lit(True) if learn_from is None else learn_from
     pool = labels.where(learn_from & F.col(label_col).isin(0, 1))
@@ -201,7 +201,7 @@ def learn(
     model: dict[str, Any] = {"slope": 0.0, "offset": math.log(prior / (1 - prior))}
     if len(shares) < 2:
         return model
-    chosen = choose(labels, learn_from, min(per_class, *shares.values()), id_col, label_col)
+    chosen = choose(labels, learn_from, per_class, id_col, label_col)
     # At most 2 * per_class rows of three numbers.
     sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").dropDuplicates(["label", "text"])
     for_curve = F.abs(F.xxhash64("text") % 3) == 0
