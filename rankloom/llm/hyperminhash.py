@@ -136,7 +136,7 @@ def _measure():
             sets = shingle_sets(part.column("text"))
             node = np.array([A.mix(s * _U(0xD6E8FEB86659FD93)).sum(dtype=np.uint64) ^ _U(len(s)) for s in sets], np.uint64)
             yield {
-                "id": part.column("id"), "n": np.array([len(s) for s in sets], np.int64),
+                "id": part.column("id"), "row": part.column("row"), "n": np.array([len(s) for s in sets], np.int64),
                 "node": pa.array(_signed(A.mix(node)), mask=np.array([not len(s) for s in sets])),
                 "registers": pa.array([sketch(s)[0].tobytes() if len(s) else None for s in sets], pa.binary()),
             }
@@ -218,13 +218,15 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
-    """Per document: ``id``, ``n_shingles`` and ``component`` (smallest id that links of at least ``percent`` % reach)."""
+    """Per document: ``id``, ``row`` (a hash of id and text), ``n_shingles``, ``component`` (smallest id that links of
+    at least ``percent`` % reach) and ``root`` (a number of the component; null for texts without shingles)."""
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     path = work_path(spark, "near-sketches")
-    map_batches(texts, _measure, "id long, n long, node long, registers binary").write.parquet(path)
+    hashed = texts.withColumn("row", F.xxhash64("id", "text"))
+    map_batches(hashed, _measure, "id long, row long, n long, node long, registers binary").write.parquet(path)
     sketches = spark.read.parquet(path)
-    members = sketches.select("id", "n", "node")
+    members = sketches.select("id", "row", "n", "node")
 
     # One row per distinct set; the registers of equal sets are equal.
     nodes = sketches.where(F.col("node").isNotNull()).groupBy("node").agg(F.first("registers").alias("registers"))
@@ -278,10 +280,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("id").alias("smallest"))
     return named.join(least, "root", "left").select(
-        "id", F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("smallest")).alias("component")
+        "id", "row", F.col("n").alias("n_shingles"),
+        F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("smallest")).alias("component"), "root",
     )
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
+    """The documents without near duplicates: of each component the row with the smallest id (of equal ids one), and
+    every text without shingles; repeated rows of one id and text stay once."""
+    found = near_duplicates(docs, id_col, text_col, percent)
+    order = F.struct(F.col("id").isNull(), "id", "row")
+    best = found.where(F.col("root").isNotNull()).groupBy("root").agg(F.min_by("row", order).alias("_row")).select("_row")
+    alone = found.where(F.col("root").isNull()).select(F.col("row").alias("_row"))
+    keyed = docs.withColumn("_row", F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)))
+    return keyed.join(best.unionByName(alone).distinct(), "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
+
+
 def _full_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """(node, n, shingles) for the wanted documents; where ids repeat, the row with the wanted set is taken."""
     rows = texts.join(wanted, texts["id"].eqNullSafe(wanted["id"])).select(wanted["node"], texts["text"])

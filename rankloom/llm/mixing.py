@@ -8,8 +8,8 @@ size, counted in words, is reached: the last document enters if that brings the
 
 Sizes meet in sums per (source, block of ``u``) first, so a source with a third of all rows costs one row per
 block. Only the block in which a source's sample closes is ordered row by row. What comes back to the
-documents is one row per source, so texts are never shuffled while the sources fit Spark's own broadcast
-limit, and beyond it the join is one that Spark can split.
+documents is one row per source, sent to every task while the counted sources are at most
+``MAX_SENT_SOURCES``, so that texts are not shuffled; beyond that it is a join that Spark can split.
 
 Defined cases: null text or size counts 0 words, and such a document is taken 0 times words; a null source
 is a source of its own, the last one; a null id hashes like an empty one; rows that are equal are separate
@@ -28,6 +28,8 @@ from rankloom.session import cut_lineage
 WORD = r"[^\x20\x09-\x0D]+"
 #: Blocks of the random number that sums are kept for.
 BLOCKS = 4096
+#: Sources up to which their limits (a name and ten numbers each) are sent to every task.
+MAX_SENT_SOURCES = 20_000
 
 
 def word_count(text: Column) -> Column:
@@ -127,7 +129,10 @@ def mix(
         .when(F.col("_block") != F.col("c_block"), F.col("_block") < F.col("c_block"))
         .otherwise(F.coalesce(key <= F.col("last"), F.lit(False)))
     )
-    found = rows.join(limits, F.col("_source").eqNullSafe(F.col("source"))).withColumn(
+    # One row per source. Sent to every task while they are few, so that no text is shuffled; beyond that Spark decides.
+    few = limits.limit(MAX_SENT_SOURCES + 1).count() <= MAX_SENT_SOURCES
+    sent = F.broadcast(limits) if few else limits
+    found = rows.join(sent, F.col("_source").eqNullSafe(F.col("source"))).withColumn(
         "_copies", F.col("certain") + chosen.cast("long")
     )
     added = {
