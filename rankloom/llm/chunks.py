@@ -135,8 +135,10 @@ def with_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     n = block_count(docs.sparkSession)
     # As many numbers as blocks, from a sketch; null ids form the last block.
     cuts = sorted(set(rows.agg(F.percentile_approx("id", [i / n for i in range(1, n)], 8 * n)).first()[0] or []))
-    above = Bucketizer(splits=[float("-inf"), *map(float, cuts), float("inf")], inputCol="at", outputCol="bucket", handleInvalid="keep")
-    placed = above.transform(rows.withColumn("at", F.col("id").cast("double")))
+    placed = rows.withColumn("at", F.col("id").cast("double")).withColumn("bucket", F.lit(0))
+    if cuts:
+        above = Bucketizer(splits=[float("-inf"), *map(float, cuts), float("inf")], inputCol="at", outputCol="bucket", handleInvalid="keep")
+        placed = above.transform(placed.drop("bucket"))
     # The bucketizer puts missing ids after the last bucket; blocks count from the highest ids down.
     block = F.when(F.col("id").isNull(), F.lit(len(cuts) + 1)).otherwise(len(cuts) - F.col("bucket").cast("int"))
     placed = placed.select("id", "text", "h", block.alias("block"))
