@@ -3,7 +3,7 @@
 Turns are laid along their conversation by prefix sums of their tokens (words plus a fixed cost per turn).
 The line is cut every ``fresh`` tokens. Turns that lie between two cuts form one window; a turn that lies
 across a cut is a window of its own. So a window is always a span of whole turns and keeps the budget, unless
-one turn alone is longer. ``fresh`` is the budget less what may be repeated: the system turn, which every
+one turn alone is longer than ``fresh``, or the system turn leaves less than a quarter of the budget. ``fresh`` is the budget less what may be repeated: the system turn, which every
 later window retains in front, and whole turns from the last ``history`` tokens before the window. Repeated
 turns carry no loss; the loss mask covers each assistant text in the one window it belongs to.
 
