@@ -82,14 +82,17 @@ def title_case(text: Column | str) -> Column:
     return F.initcap(_col(text))
 
 
-def display_format(df: DataFrame, currency: str = "₹", thousands: bool = False) -> DataFrame:
-    """Display texts for experience, price, satisfaction and domain; null gives ``Unknown``."""
+def display_format(df: DataFrame, currency: str = "₹", thousands: bool = False, titled: bool = False) -> DataFrame:
+    """Display texts for experience, price, satisfaction and domain; null gives ``Unknown``.
+
+    The domain stays as it is unless ``titled``, the form of the directory listing.
+    """
     amount = F.format_number(F.bround("price", 0), 0) if thousands else whole_number("price")
     shown = {
         "experience": F.concat(F.col("experience").cast("string"), F.lit(" years")),
         "price": F.concat(F.lit(currency), amount),
         "satisfaction": F.concat(F.col("satisfaction").cast("string"), F.lit("/10")),
-        "domain": title_case("domain"),
+        "domain": title_case("domain") if titled else F.col("domain"),
     }
     return df.withColumns({c: F.coalesce(v, F.lit(fixed.UNKNOWN)) for c, v in shown.items()})
 

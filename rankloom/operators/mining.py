@@ -17,12 +17,17 @@ def basket_matrix(baskets: DataFrame, items: Sequence[str] | None = None) -> Dat
         most = int(baskets.sparkSession.conf.get("spark.sql.pivotMaxValues"))
         rows = baskets.select("item").distinct().orderBy("item").limit(most + 1).collect()
         if len(rows) > most:
-            raise ValueError(f"more than {most} items; keep the long form")
+            raise ValueError(f"more than {most} items; use basket_cells")
         items = [r[0] for r in rows]
     wide = baskets.groupBy("basket_id").pivot("item", list(items)).agg(F.max(F.lit(1)))
     return wide.na.fill(0)
 
 
+def basket_cells(baskets: DataFrame) -> DataFrame:
+    """The same matrix in long form, (basket_id, item, present): any number of items, cells of 0 left out."""
+    return baskets.where(F.col("item").isNotNull()).select("basket_id", "item", F.lit(1).alias("present")).distinct()
+
+
 def frequent_itemsets(baskets: DataFrame, min_support: float = 0.1, n_baskets: int | None = None) -> DataFrame:
     """Itemsets of every size with support of at least ``min_support``, by parallel FP-growth.
 
@@ -39,7 +44,7 @@ def frequent_itemsets(baskets: DataFrame, min_support: float = 0.1, n_baskets: i
         F.size("items").alias("n_items"),
         F.col("freq").cast("bigint").alias("freq"),
         (F.col("freq") / F.lit(float(total))).alias("support"),
-    )
+    ).where(F.col("support") >= min_support - 1e-12)  # where the scaled threshold had to be cut at 1
 
 
 def itemset_curve(itemsets: DataFrame, thresholds: Sequence[float]) -> DataFrame:

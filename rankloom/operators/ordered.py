@@ -13,6 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from rankloom.session import block_count, cut_lineage
 
@@ -28,15 +29,46 @@ def value_blocks(df: DataFrame, col: str, blocks: int | None = None) -> DataFram
     Rows with equal values share a block, so callers with heavy ties group by value first.
     """
     n = blocks or block_count(df.sparkSession)
+    if isinstance(df.schema[col].dataType, StringType):
+        return _text_blocks(df, col, n)
     cuts = [i / n for i in range(1, n)]
-    found = df.agg(F.percentile_approx(F.col(col).cast("double"), cuts, 4 * n)).first()[0]
+    value = F.col(col).cast("double")
+    endless = value.isin(float("inf"), float("-inf"))
+    found = df.agg(F.percentile_approx(F.when(~F.isnan(value) & ~endless, value), cuts, 4 * n)).first()[0]
     bounds = sorted(set(found or []))
-    if not bounds:
-        return df.withColumn(BLOCK, F.lit(0))
-    splits = [float("-inf"), *bounds, float("inf")]
-    # Missing values form one more block after all others.
-    placed = Bucketizer(splits=splits, inputCol=col, outputCol=BLOCK, handleInvalid="keep").transform(df)
-    return placed.withColumn(BLOCK, F.coalesce(F.col(BLOCK).cast("int"), F.lit(len(splits))))
+    inner = F.lit(1)
+    if bounds:
+        splits = [float("-inf"), *bounds, float("inf")]
+        df = Bucketizer(splits=splits, inputCol="_at", outputCol="_bucket", handleInvalid="keep").transform(df.withColumn("_at", value))
+        inner = F.col("_bucket").cast("int") + 1
+    # Blocks in the order of values: minus infinity, the cut range, infinity, NaN, and missing values last.
+    last = len(bounds) + 2
+    block = (
+        F.when(value.isNull(), last + 2).when(F.isnan(value), last + 1).when(value == float("inf"), last)
+        .when(value == float("-inf"), 0).otherwise(inner)
+    )
+    return df.withColumn(BLOCK, block.cast("int")).drop("_at", "_bucket")
+
+
+def _text_blocks(df: DataFrame, col: str, n: int) -> DataFrame:
+    """Blocks along text values: cut at values of a bounded sample of the rows, chosen by hash."""
+    share = F.pmod(F.xxhash64(col), F.lit(1_000_003)) / 1_000_003.0
+    rows = df.where(F.col(col).isNotNull())
+    size = rows.count()
+    sample = rows.select(col).where(share < 64.0 * n / max(size, 1)).distinct().limit(256 * n)
+    found = sorted(r[0] for r in sample.collect())
+    bounds = sorted({found[i * len(found) // n] for i in range(1, n)}) if found else []
+    cells = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast("array<string>")
+    return df.withColumn(BLOCK, F.when(F.col(col).isNull(), len(bounds) + 1).otherwise(_places_below(cells, F.col(col), len(bounds))).cast("int"))
+
+
+def _places_below(cells: Column, value: Column, n: int) -> Column:
+    """How many of ``n`` sorted values are at most ``value``, by halving."""
+    at = F.lit(0)
+    for k in reversed(range(n.bit_length())):
+        ahead = at + (1 << k)
+        at = F.when((ahead <= n) & (F.get(cells, ahead - 1) <= value), ahead).otherwise(at)
+    return at
 
 
 def value_range(df: DataFrame, col: str) -> tuple[float, float]:

@@ -38,11 +38,10 @@ def representatives(weights: DataFrame, keys: Sequence[str] = ("sol_id",)) -> Da
 
 
 def select_portfolio(weights: DataFrame, catalog: DataFrame, keys: Sequence[str] = ("sol_id",)) -> DataFrame:
-    """Non-dominated solutions, each as its representative item; one row per name by price objective."""
+    """Non-dominated solutions, each as its representative item; the first solution of each name, by price objective."""
     front = pareto_front(solution_objectives(weights, catalog, keys), OBJECTIVES)
     chosen = front.join(representatives(weights, keys), list(keys)).join(catalog, "item_id")
-    order = [F.col("obj_price"), *[F.col(k) for k in keys]]
-    return first_per(chosen, ["name"], order).orderBy("obj_price", "item_id")
+    return first_per(chosen, ["name"], [F.col(k) for k in keys]).orderBy("obj_price", "item_id")
 
 
 def merge_solutions(weights: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -53,4 +52,4 @@ def merge_solutions(weights: DataFrame, catalog: DataFrame) -> DataFrame:
         "experience_score": -F.col("obj_experience"), "settlements_score": -F.col("obj_settlements"),
         "satisfaction_score": -F.col("obj_satisfaction"), "price_objective": F.col("obj_price"),
     }).drop(*OBJECTIVES)
-    return first_per(scored, ["name"], [F.col("seed"), F.col("sol_id")])
+    return first_per(scored, ["name"], [F.col("seed"), F.col("sol_id")]).orderBy("price_objective", "item_id")

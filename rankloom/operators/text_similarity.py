@@ -22,8 +22,8 @@ HELD_SCORES = 2_000_000
 
 
 def terms_of(text: Column | str) -> Column:
-    """Lower-cased runs of ASCII letters and digits of the whole text."""
-    return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
+    """Lower-cased runs of letters and digits, of any script, of the whole text."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
 def term_counts(df: DataFrame, id_col: str, text: str) -> DataFrame:

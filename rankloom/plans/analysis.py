@@ -300,8 +300,7 @@ REQUEST_CTE = DIRECTORY_CTE + f""",
 pool AS (SELECT id, experience_years AS experience, len(specs) AS spec_count, {cos_sql('embedding', 'q')} AS similarity
   FROM prepared JOIN embeddings ON vec_id = id % (SELECT COUNT(*) FROM embeddings), (SELECT embedding AS q FROM embeddings ORDER BY vec_id LIMIT 1)
   WHERE experience_years >= 6 AND city NOT IN ('nation_3', 'nation_7')
-    AND len(list_filter(specs, lambda s: contains(s, 'economy') OR contains('economy', s))) > 0
-    AND NOT len(list_filter(specs, lambda s: contains(s, 'promo') OR contains('promo', s))) > 0)
+    AND contains(LOWER(specialization), 'economy') AND NOT contains(LOWER(specialization), 'promo'))
 """
 
 
@@ -511,7 +510,7 @@ def j10(spark, sf):
 
 @query("j11_select_portfolio", oracle(["catalog"], """
 SELECT item_id, name, price, ROUND(d, 6) AS price_objective FROM (
-  SELECT *, ROW_NUMBER() OVER (PARTITION BY name ORDER BY d, sol_id) AS rn FROM best JOIN reps USING (sol_id) JOIN catalog USING (item_id))
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY name ORDER BY sol_id) AS rn FROM best JOIN reps USING (sol_id) JOIN catalog USING (item_id))
 WHERE rn = 1""", SOLUTIONS_CTE))
 def j11(spark, sf):
     chosen = recommend.recommend_portfolio(view(spark, sf, "catalog"), solutions(spark, sf), "ECONOMY", 950)

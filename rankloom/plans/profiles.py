@@ -161,7 +161,7 @@ def b7(spark, sf):
 
 
 @query("b8_display_format", oracle(["catalog"], """
-SELECT item_id, name, UPPER(domain[1]) || LOWER(domain[2:]) AS domain, CAST(experience AS VARCHAR) || ' years' AS experience,
+SELECT item_id, name, domain, CAST(experience AS VARCHAR) || ' years' AS experience,
   '₹' || format('{:,}', CAST(round_even(price, 0) AS BIGINT)) AS price, CAST(satisfaction AS VARCHAR) || '/10' AS satisfaction
 FROM catalog"""))
 def b8(spark, sf):

@@ -64,7 +64,9 @@ def recommend_by_request(directory: DataFrame, text: str, vector: Sequence[float
     spark = directory.sparkSession
     want = parse.parse_full(spark.createDataFrame([(text,)], "text string"), cities=cities).first()
     test = filters.experience_range(want.min_exp, want.max_exp, want.exact_exp)
-    test = test & filters.specialty_lists(want.include_specs, want.exclude_specs)
+    # The clustered form looks for the terms in the raw text, the plain one compares lists both ways.
+    specialties = filters.specialty_contains if clusters else filters.specialty_lists
+    test = test & specialties(want.include_specs, want.exclude_specs)
     if want.include_cities:
         test = test & F.col("city").isin(want.include_cities)
     if want.exclude_cities:

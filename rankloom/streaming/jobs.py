@@ -18,8 +18,11 @@ EVENTS = T.StructType([
 ])
 
 
-def stream_files(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int = 100) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+def stream_files(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int | None = None) -> DataFrame:
+    """A stream of files. Without a bound, all files present at a trigger are one batch, so that neither their number
+    nor their order decides which rows are late; set a bound only for files that come in time order."""
+    reader = spark.readStream.schema(schema)
+    return (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).parquet(path)
 
 
 def ingest_listings(pages: DataFrame, out: str, checkpoint: str, **layout) -> StreamingQuery:
@@ -31,7 +34,8 @@ def ingest_listings(pages: DataFrame, out: str, checkpoint: str, **layout) -> St
 
 
 def event_counts(events: DataFrame, window: str = "1 day", late: str = "1 hour") -> DataFrame:
-    """Counts per user, type and tumbling window; duplicates and rows later than ``late`` are dropped."""
+    """Counts per user, type and tumbling window; duplicates are dropped, and rows more than ``late`` older than the
+    newest row of any earlier batch."""
     # Read the zone-less time as UTC whatever the session's zone is.
     micros = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)")
     timed = events.withColumn("ts", F.timestamp_micros(micros)).withWatermark("ts", late)
