@@ -14,9 +14,11 @@ Equal sets are one node. The exact way from candidates to components:
 2. In each band key every node meets the key's hub, the node with the smallest share of such shingles. Pairs are
    compared once: by the collision-corrected estimate from the registers, and, unless that lies far below the
    threshold, on the full sets. Verified links give components.
-3. Pairs of one key that are still in different components, and that the bound allows, are compared the same
-   way, and the components are taken again. A group of near copies is one component by then, so only
-   what is truly apart is left; no pair is dropped.
+3. Pairs of one key that are still in different components are tested where they meet with two bounds, the one
+   above and one from parity bits: each node has ``PARITY`` bits, each the parity of its shingles that hash to it. Two
+   nodes differ in at least as many shingles as bits, and at the threshold they may differ in at most
+   ``(n1 + n2) * (100 - percent) / (100 + percent)``. What both bounds allow, which is little more than true links,
+   is compared like the others, and the components are taken again. Both bounds are exact: no link is lost.
 
 Sets are built from whole texts inside tasks; full sets are written for the remaining candidates only. Equal
 texts, however many, are one node from the first sum on.
@@ -51,6 +53,8 @@ _ORDER = np.stack([np.random.Generator(np.random.PCG64([7, j])).permutation(BUCK
 _BAND_SALT = np.random.Generator(np.random.PCG64(11)).integers(1, 2**63, (BANDS, ROWS), dtype=np.uint64) | _U(1)
 #: Standard errors that an estimate may fall short of the threshold before a pair is given up.
 SLACK = 6.0
+#: Words of 64 parity bits of a set.
+PARITY = 16
 #: Shingles in a block that asks for counts.
 BLOCK_SHINGLES = 1 << 20
 
@@ -175,16 +179,26 @@ def _request_sets(parts: int):
     return run
 
 
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """Parity of the number of shingles at each of ``64 * PARITY`` hash places, as ``PARITY`` numbers."""
+    place = (A.mix(shingles) >> _U(64 - (64 * PARITY).bit_length() + 1)).astype(np.int64)
+    return np.packbits((np.bincount(place, minlength=64 * PARITY) & 1).astype(np.uint8)).view(np.int64)
+
+
 def _unshared(_: tuple, members: pa.Table, answers: pa.Table) -> pa.Table:
-    """Per member of a block: its shingles that no other candidate holds."""
+    """Per member of a block: its shingles that no other candidate holds, and its parity bits."""
     if not members.num_rows:
-        return arrow_schema("node long, n long, u long").empty_table()
+        return arrow_schema(_BOUNDS).empty_table()
     sets = [X.unpack_sorted(x) for x in members["keys"].to_pylist()]
     keys = np.unique(np.concatenate(sets))
     total = X.collected(answers, 0, "total")
     u = [int((total[np.searchsorted(keys, s)] == 1).sum()) for s in sets]
     nodes = [int.from_bytes(x, "little", signed=True) for x in members["counts"].to_pylist()]
-    return pa.table({"node": pa.array(nodes, pa.int64()), "n": pa.array([len(s) for s in sets], pa.int64()), "u": pa.array(u, pa.int64())})
+    bits = pa.array([parity(s).tolist() for s in sets], pa.list_(pa.int64()))
+    return pa.table({"node": pa.array(nodes, pa.int64()), "n": pa.array([len(s) for s in sets], pa.int64()), "u": pa.array(u, pa.int64()), "bits": bits})
+
+
+_BOUNDS = "node long, n long, u long, bits array<long>"
 
 
 def _compare(percent: int):
@@ -248,10 +262,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets.mapInArrow(_request_sets(X.parts_for(entries)), X.REQUEST).write.parquet(path)
     asked = spark.read.parquet(path)
     answers = X.answer(asked.where(F.col("space") == 0)).where(F.col("block") != X.SUMMARY)
-    bounds = asked.where(F.col("space") == -1).groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_unshared, "node long, n long, u long")
+    bounds = asked.where(F.col("space") == -1).groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_unshared, _BOUNDS)
     able = cut_lineage(bounds.where(100 * (F.col("n") - F.col("u")) >= percent * F.col("n")))
     able_sets = cut_lineage(sets.select("node", "shingles").join(able.select("node"), "node"))
-    groups = cut_lineage(groups.join(able, "node"))
+    groups = cut_lineage(groups.join(able.drop("bits"), "node"))
 
     def allowed(left: str, right: str):
         n1, u1, n2, u2 = (F.col(f"{t}{c}") for t in (left, right) for c in ("n", "u"))
@@ -266,10 +280,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # What shares a key and is still apart.
     rooted = groups.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     apart = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where(F.col("lo") != F.col("hi")).select("key")
-    rooted = cut_lineage(rooted.join(apart, "key"))
-    left = rooted.select("key", F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("n").alias("l_n"), F.col("u").alias("l_u"))
-    right = rooted.select("key", F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("n").alias("r_n"), F.col("u").alias("r_u"))
-    rest = left.join(right, "key").where((F.col("root_a") < F.col("root_b")) & allowed("l_", "r_"))
+    rooted = cut_lineage(rooted.join(apart, "key").join(able.select("node", "bits"), "node"))
+
+    def side(tag: str, node: str):
+        bits = [F.col("bits")[i].alias(f"{tag}b{i}") for i in range(PARITY)]
+        return rooted.select("key", F.col("node").alias(node), F.col("root").alias(f"{tag}root"), F.col("n").alias(f"{tag}n"), F.col("u").alias(f"{tag}u"), *bits)
+
+    differing = sum((F.bit_count(F.col(f"l_b{i}").bitwiseXOR(F.col(f"r_b{i}"))) for i in range(PARITY)), F.lit(0))
+    close = differing * (100 + percent) <= (F.col("l_n") + F.col("r_n")) * (100 - percent)
+    rest = side("l_", "a").join(side("r_", "b"), "key").where((F.col("l_root") < F.col("r_root")) & allowed("l_", "r_") & close)
     rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     # The hub's pairs were compared already.
     done = meets.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
