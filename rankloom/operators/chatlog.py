@@ -32,14 +32,25 @@ def tail_messages(messages: DataFrame, n: int = 80) -> DataFrame:
 def append_messages(messages: DataFrame, incoming: DataFrame) -> DataFrame:
     """Add ``incoming(msg_id, conv_id, role, text, ts)`` after the last turn of known conversations.
 
-    Messages for unknown conversations are ignored; ``ts`` is a number, ties go by ``msg_id``.
+    Messages for unknown conversations are ignored; ``ts`` is a number and kept where ``messages`` has it, ties go by
+    ``msg_id``. Rows are cut into blocks by time and, as a bulk load may bear one time, by the message's id within it.
     """
     last = messages.groupBy("conv_id").agg(F.max("turn").alias("_last"))
-    known = value_blocks(incoming, "ts").join(last, "conv_id")
+    known = _time_blocks(incoming).join(last, "conv_id")
     placed = ordered_scan(known, ["conv_id"], ["ts", "msg_id"], {"_n": ("row_number", None)})
-    return messages.unionByName(
-        placed.select("conv_id", (F.col("_last") + F.col("_n")).alias("turn"), "role", "text")
-    )
+    kept = ["role", "text", *(["ts"] if "ts" in messages.columns else [])]
+    return messages.unionByName(placed.select("conv_id", (F.col("_last") + F.col("_n")).alias("turn"), *kept))
+
+
+def _time_blocks(incoming: DataFrame) -> DataFrame:
+    """Blocks in the order of (ts, msg_id): blocks of times, each cut by blocks of ids where it holds one time only."""
+    by_time = value_blocks(incoming, "ts").withColumnRenamed(BLOCK, "_t")
+    both = value_blocks(by_time, "msg_id").withColumnRenamed(BLOCK, "_m")
+    # At most one row per block of times.
+    single = by_time.groupBy("_t").agg(F.min("ts").eqNullSafe(F.max("ts")).alias("_one"))
+    wide = F.col("_t").cast("bigint") * F.lit(1 << 20)
+    joined = both.join(F.broadcast(single), "_t")
+    return joined.withColumn(BLOCK, wide + F.when(F.col("_one"), F.col("_m")).otherwise(0)).drop("_t", "_m", "_one")
 
 
 def ensure_conversations(conversations: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -135,9 +146,12 @@ def folder_titles(folders: DataFrame, conversations: DataFrame) -> DataFrame:
     return folders.join(conversations.select("conv_id", "title"), "conv_id").select("folder", "conv_id", "title")
 
 
-def folder_counts(folders: DataFrame) -> DataFrame:
-    """Ids per folder, dangling ones included."""
-    return folders.groupBy("folder").agg(F.count("conv_id").alias("n_ids"))
+def folder_counts(folders: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """Ids per folder, dangling ones included; with ``names(folder)``, 0 for folders without any."""
+    counted = folders.groupBy("folder").agg(F.count("conv_id").alias("n_ids"))
+    if names is None:
+        return counted
+    return names.select("folder").distinct().join(counted, "folder", "left").select("folder", F.coalesce("n_ids", F.lit(0)).cast("bigint").alias("n_ids"))
 
 
 def delete_conversations(table: DataFrame, doomed: DataFrame) -> DataFrame:
@@ -145,6 +159,13 @@ def delete_conversations(table: DataFrame, doomed: DataFrame) -> DataFrame:
     return table.join(doomed.select("conv_id"), "conv_id", "left_anti")
 
 
+def create_folders(names: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The table of folder names, ``names(folder)``, with those of ``wanted(folder)`` that are absent; blank ones are
+    ignored. It stands beside the memberships, so a folder without any id is kept."""
+    trimmed = wanted.select(F.nullif(F.trim("folder"), F.lit("")).alias("folder")).where(F.col("folder").isNotNull())
+    return names.select("folder").unionByName(trimmed).distinct()
+
+
 def rename_folders(folders: DataFrame, changes: DataFrame) -> DataFrame:
     """Apply ``changes(folder, new_name)``; an existing target is merged, blank names change nothing."""
     named = changes.select("folder", F.nullif(F.trim("new_name"), F.lit("")).alias("_new"))
@@ -152,10 +173,14 @@ def rename_folders(folders: DataFrame, changes: DataFrame) -> DataFrame:
     return renamed.distinct()
 
 
-def assign_folders(folders: DataFrame, flags: DataFrame) -> DataFrame:
-    """Apply ``flags(folder, conv_id, member)``: add where true, remove where false; unknown folders ignored."""
+def assign_folders(folders: DataFrame, flags: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """Apply ``flags(folder, conv_id, member)``: add where true, remove where false; unknown folders ignored.
+
+    A folder is known if it has an id, or stands in ``names(folder)`` where that is given.
+    """
     kept = folders.join(flags.select("folder", "conv_id"), ["folder", "conv_id"], "left_anti")
-    added = flags.where("member").join(folders.select("folder").distinct(), "folder", "left_semi")
+    known = (folders if names is None else names).select("folder").distinct()
+    added = flags.where("member").join(known, "folder", "left_semi")
     return kept.unionByName(added.select("folder", "conv_id")).distinct()
 
 

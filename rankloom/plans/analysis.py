@@ -469,16 +469,17 @@ N_SOLUTIONS = 20
 
 
 def solutions(spark: SparkSession, sf: str) -> DataFrame:
-    """Weight vectors of 20 solutions from 4 seeds over the items of one domain within budget."""
-    pool = view(spark, sf, "catalog").where("domain = 'ECONOMY' AND price <= 950").select("item_id")
+    """Weight vectors of 20 solutions from 4 seeds over the whole catalog."""
+    pool = view(spark, sf, "catalog").select("item_id")
     rows = pool.withColumn("sol_id", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(N_SOLUTIONS).cast("bigint"))))
     w = ((F.col("item_id") * 7919 + F.col("sol_id") * 104729) % 1000).cast("double") / 1000
     return rows.select("sol_id", (F.col("sol_id") % 4).alias("seed"), "item_id", w.alias("w"))
 
 
-SOLUTIONS_CTE = f"""
+def solutions_cte(where: str = "TRUE") -> str:
+    return f"""
 solutions AS (SELECT sol_id, sol_id % 4 AS seed, item_id, CAST((item_id * 7919 + sol_id * 104729) % 1000 AS DOUBLE) / 1000 AS w
-  FROM (SELECT item_id, UNNEST(range(1, {N_SOLUTIONS + 1})) AS sol_id FROM catalog WHERE domain = 'ECONOMY' AND price <= 950)),
+  FROM (SELECT item_id, UNNEST(range(1, {N_SOLUTIONS + 1})) AS sol_id FROM catalog WHERE {where})),
 objs AS (SELECT seed, sol_id, -SUM(w * experience) / (SUM(w) + 1e-6) AS a, -SUM(w * settlements) / (SUM(w) + 1e-6) AS b,
   -SUM(w * satisfaction) / (SUM(w) + 1e-6) AS c, SUM(w * price) / (SUM(w) + 1e-6) AS d
   FROM solutions JOIN catalog USING (item_id) GROUP BY seed, sol_id),
@@ -486,6 +487,9 @@ reps AS (SELECT sol_id, arg_max(item_id, (w, -item_id)) AS item_id FROM solution
 best AS (SELECT * FROM objs p WHERE NOT EXISTS (SELECT 1 FROM objs q WHERE q.a <= p.a AND q.b <= p.b AND q.c <= p.c AND q.d <= p.d
   AND (q.a < p.a OR q.b < p.b OR q.c < p.c OR q.d < p.d)))
 """
+
+
+SOLUTIONS_CTE = solutions_cte()
 _OBJ_SQL = "ROUND(a, 6) AS obj_experience, ROUND(b, 6) AS obj_settlements, ROUND(c, 6) AS obj_satisfaction, ROUND(d, 6) AS obj_price"
 
 
@@ -511,7 +515,7 @@ def j10(spark, sf):
 @query("j11_select_portfolio", oracle(["catalog"], """
 SELECT item_id, name, price, ROUND(d, 6) AS price_objective FROM (
   SELECT *, ROW_NUMBER() OVER (PARTITION BY name ORDER BY sol_id) AS rn FROM best JOIN reps USING (sol_id) JOIN catalog USING (item_id))
-WHERE rn = 1""", SOLUTIONS_CTE))
+WHERE rn = 1""", solutions_cte("domain = 'ECONOMY' AND price <= 950")))
 def j11(spark, sf):
     chosen = recommend.recommend_portfolio(view(spark, sf, "catalog"), solutions(spark, sf), "ECONOMY", 950)
     return chosen.select("item_id", "name", "price", r6("obj_price", "price_objective"))

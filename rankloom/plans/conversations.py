@@ -47,7 +47,34 @@ def a7(spark, sf):
     """Stored documents read back, among malformed ones that count as empty stores."""
     good = documents.conversations_to_json(messages(spark, sf)).select("document")
     broken = table(spark, sf, "benchmark").select(F.concat(F.lit('[{"id": '), F.col("text")).alias("document"))
-    return documents.conversations_from_json(good.unionByName(broken)).select("conv_id", "turn", "role", "text")
+    read = documents.conversations_from_json(good.unionByName(broken))
+    return read.select(F.col("conv_id").cast("bigint").alias("conv_id"), "turn", "role", "text")
+
+
+STORED_SQL = f"""
+WITH {TITLED} SELECT 'c' || CAST(conv_id AS VARCHAR) AS conv_id, title, turn, role, text, turn * 1000 AS ts FROM conversations JOIN titled USING (conv_id)
+UNION ALL SELECT DISTINCT 'new' || CAST(item_id AS VARCHAR), 'New Chat', NULL, NULL, NULL, NULL FROM benchmark"""
+
+
+@query("a8_store_round_trip", STORED_SQL)
+def a8_round_trip(spark, sf):
+    """Text ids, titles, times and conversations without a message, written as documents and read back."""
+    as_text = F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("conv_id")
+    log = messages(spark, sf).select(as_text, "turn", "role", "text", (F.col("turn") * 1000).alias("ts"))
+    fresh = table(spark, sf, "benchmark").select(F.concat(F.lit("new"), F.col("item_id").cast("string")).alias("conv_id"), F.lit("New Chat").alias("title"))
+    docs = documents.conversations_to_json(log, titled(spark, sf).select(as_text, "title").unionByName(fresh.distinct()), turns=2).select("document")
+    read = documents.conversations_from_json(docs).select("conv_id", "turn", "role", "text", "ts")
+    return documents.titles_from_json(docs).join(read, "conv_id", "left")
+
+
+@query("a8_folders_round_trip", oracle(["folders"], """
+SELECT folder, CAST(conv_id AS VARCHAR) AS conv_id FROM folders UNION ALL SELECT DISTINCT 'empty ' || role, NULL FROM conversations"""))
+def a8_folders(spark, sf):
+    """Folders with and without ids, written as documents and read back."""
+    members = view(spark, sf, "folders")
+    empty = messages(spark, sf).select(F.concat(F.lit("empty "), "role").alias("folder")).distinct()
+    docs = documents.folders_to_json(chatlog.create_folders(members.select("folder").distinct(), empty), members).select("document")
+    return documents.folder_names_from_json(docs).join(documents.folders_from_json(docs), "folder", "left")
 
 
 @query("a8_conversations_to_json", """
@@ -175,6 +202,16 @@ def g5_folders(spark, sf):
     return chatlog.delete_conversations(view(spark, sf, "folders"), _doomed(spark, sf)).select("folder", "conv_id")
 
 
+@query("h11_folder_counts_named", oracle(["folders"], """
+SELECT folder, COUNT(conv_id) AS n_ids FROM (SELECT folder, conv_id FROM folders WHERE conv_id NOT IN (SELECT conv_id FROM folders WHERE folder = 'folder_1'))
+RIGHT JOIN (SELECT DISTINCT folder FROM folders) USING (folder) GROUP BY folder"""))
+def h11_named(spark, sf):
+    """Counts after all conversations of one folder are deleted: the folder stays, with 0."""
+    folders = view(spark, sf, "folders")
+    left = chatlog.delete_conversations(folders, folders.where("folder = 'folder_1'").select("conv_id"))
+    return chatlog.folder_counts(left, folders.select("folder"))
+
+
 @query("h11_folder_counts", oracle(["folders"], "SELECT folder, COUNT(*) AS n_ids FROM folders GROUP BY folder"))
 def h11(spark, sf):
     return chatlog.folder_counts(view(spark, sf, "folders"))
@@ -323,7 +360,9 @@ def t1(spark, sf):
 @query("t2_stream_event_counts", """
 SELECT epoch_us(ts) // 86400000000 AS day, user_id, event_type, COUNT(*) AS n_events FROM events GROUP BY ALL""")
 def t2(spark, sf):
-    out, checkpoint = work_path(spark, "events"), work_path(spark, "events-state")
-    counts = jobs.run_event_counts(jobs.stream_files(spark, f"{sf}/event[s].parquet", jobs.EVENTS), out, checkpoint)
+    out, checkpoint, files = work_path(spark, "events"), work_path(spark, "events-state"), work_path(spark, "event-files")
+    # Several files that are in no order of time: the counts do not depend on their number.
+    table(spark, sf, "events").repartition(7, "event_id").write.parquet(files)
+    counts = jobs.run_event_counts(jobs.stream_files(spark, files, jobs.EVENTS), out, checkpoint)
     day = F.floor(F.unix_micros("window_start") / F.lit(86_400_000_000)).cast("bigint")
     return counts.select(day.alias("day"), "user_id", "event_type", "n_events")
