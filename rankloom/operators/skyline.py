@@ -10,11 +10,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankloom.operators.ordered import BLOCK, equal_width_bin, join_cells, ordered_scan, value_blocks, value_range, with_key
-from rankloom.session import block_count, cut_lineage
+from rankloom.operators.ordered import BLOCK, join_cells, ordered_scan, value_blocks, with_key
+from rankloom.session import cut_lineage
 
 #: Most vectors one task compares against another chunk of the same size.
 PAIR_CHUNK = 20_000
+#: Bytes of front values (and, below, few rows of any kind) sent to every task; more are joined by shuffle.
+MAX_SENT_BYTES = 8 << 20
 
 
 def objective_columns(df: DataFrame, minimise: Sequence[str] = (), maximise: Sequence[str] = (),
@@ -38,14 +40,13 @@ def _drop_below_earlier_blocks(df: DataFrame, by: Sequence[str], f2: str) -> Dat
 def front_values_2d(df: DataFrame, f1: str, f2: str, by: Sequence[str] = ()) -> DataFrame:
     """The distinct (f1, f2) pairs no other pair of the same ``by`` key dominates.
 
-    Equal-width blocks of f1 discard nearly all points with codegen arithmetic and one small join;
-    what is left is reduced to one row per f1, cut at quantiles, and swept by a running minimum
+    Blocks of f1, cut at quantiles, discard nearly all points with codegen arithmetic and one small join;
+    what is left is reduced to one row per f1, cut at quantiles again, and swept by a running minimum
     inside each block. No step holds a whole key in one task.
     """
     pts = df.select(*by, f1, f2).where(F.col(f1).isNotNull() & F.col(f2).isNotNull())
-    n = block_count(df.sparkSession)
-    coarse = pts.withColumn(BLOCK, equal_width_bin(f1, *value_range(pts, f1), n))
-    left = _drop_below_earlier_blocks(coarse, by, f2).groupBy(*by, f1).agg(F.min(f2).alias(f2))
+    # Cut at quantiles, so that a few outliers cannot put all other points into one block.
+    left = _drop_below_earlier_blocks(value_blocks(pts, f1), by, f2).groupBy(*by, f1).agg(F.min(f2).alias(f2))
     left = cut_lineage(left)  # few rows; the steps below read them three times
     fine = _drop_below_earlier_blocks(value_blocks(left, f1), by, f2)
     sweep = Window.partitionBy(*by, BLOCK).orderBy(f1).rowsBetween(Window.unboundedPreceding, -1)
@@ -58,12 +59,18 @@ def front_values_2d(df: DataFrame, f1: str, f2: str, by: Sequence[str] = ()) ->
 
 def pareto_front_2d(df: DataFrame, f1: str, f2: str, by: Sequence[str] = ()) -> DataFrame:
     """All rows of ``df`` on the front, duplicates of a front point included."""
-    return df.join(front_values_2d(df, f1, f2, by), [*by, f1, f2], "left_semi")
+    return df.join(_small(front_values_2d(df, f1, f2, by)), [*by, f1, f2], "left_semi")
+
+
+def _small(values: DataFrame) -> DataFrame:
+    """A table of values, written and counted: sent to every task if it is small, so that the rows it meets stay put."""
+    written = cut_lineage(values)
+    return F.broadcast(written) if written.count() * 16 * len(written.columns) <= MAX_SENT_BYTES else written
 
 
 def dominated_flag_2d(df: DataFrame, f1: str, f2: str) -> DataFrame:
     """Every row with a flag telling whether another row dominates it."""
-    front = front_values_2d(df, f1, f2).withColumn("_on_front", F.lit(True))
+    front = _small(front_values_2d(df, f1, f2).withColumn("_on_front", F.lit(True)))
     return df.join(front, [f1, f2], "left").select(
         *df.columns, F.col("_on_front").isNull().alias("dominated")
     )
@@ -135,31 +142,33 @@ def front_values(df: DataFrame, objectives: Sequence[str], pair_chunk: int = PAI
 
 def pareto_front(df: DataFrame, objectives: Sequence[str]) -> DataFrame:
     """All rows of ``df`` whose objective vector no other vector dominates."""
-    return df.join(front_values(df, objectives), list(objectives), "left_semi")
+    return df.join(_small(front_values(df, objectives)), list(objectives), "left_semi")
 
 
 def front_ranks_2d(df: DataFrame, f1: str, f2: str, fronts: int | None = None, rows: int | None = None) -> DataFrame:
     """Rows of the first fronts with their ``front`` number, peeling one front per round.
 
-    Stops after ``fronts`` rounds, or once ``rows`` rows are ranked, or when none are left. Only the few front
-    values are written between rounds; the rows themselves are read once per front.
+    Stops after ``fronts`` rounds, or once ``rows`` rows are ranked, or when none are left. The rows are read once
+    and reduced to distinct pairs with their counts; the rounds peel what is left of that table, and the
+    ranks meet the rows in one join.
     """
     if fronts is None and rows is None:
         raise ValueError("give a number of fronts or of rows")
-    rest, found, ranked = df, [], 0
+    pairs = df.where(F.col(f1).isNotNull() & F.col(f2).isNotNull()).groupBy(f1, f2).agg(F.count(F.lit(1)).alias("_n"))
+    rest, found, ranked = cut_lineage(pairs), [], 0
     while (fronts is None or len(found) < fronts) and (rows is None or ranked < rows):
-        values = cut_lineage(front_values_2d(rest, f1, f2))
+        values = _small(front_values_2d(rest, f1, f2))
         if rows is not None:
-            more = rest.join(values, [f1, f2], "left_semi").count()
+            more = rest.join(values, [f1, f2], "left_semi").agg(F.sum("_n")).first()[0] or 0
             if not more and found:
                 break
             ranked += more
         found.append(values.withColumn("front", F.lit(len(found))))
         if rows is not None and not more:
             break
-        rest = rest.join(values, [f1, f2], "left_anti")
+        rest = cut_lineage(rest.join(values, [f1, f2], "left_anti"))
     levels = reduce(DataFrame.unionByName, found)
-    return df.join(levels, [f1, f2])
+    return df.join(_small(levels), [f1, f2])
 
 
 def update_archive(archive: DataFrame, candidates: DataFrame, f1: str, f2: str, id_col: str, size: int) -> DataFrame:
@@ -230,8 +239,10 @@ def front_progress(df: DataFrame, batch: str, id_col: str, f1: str, f2: str, bat
     per_batch = front_values_2d(df, f1, f2, [batch])
     upto = per_batch.withColumn("step", F.explode(F.sequence(F.col(batch), F.lit(batches - 1).cast("bigint"))))
     upto = cut_lineage(upto.select("step", f1, f2).distinct())
-    values = front_values_2d(upto, f1, f2, ["step"])
-    counts = df.groupBy(batch, f1, f2).agg(F.count(id_col).alias("copies"))
+    values = cut_lineage(front_values_2d(upto, f1, f2, ["step"]))
+    # Copies are counted of front points only.
+    on_front = df.join(_small(values.select(f1, f2).distinct()), [f1, f2], "left_semi")
+    counts = on_front.groupBy(batch, f1, f2).agg(F.count(id_col).alias("copies"))
     archive = (
         values.join(counts, [f1, f2]).where(F.col(batch) <= F.col("step"))
         .groupBy("step").agg(F.sum("copies").alias("archive_size"))
