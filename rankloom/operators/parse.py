@@ -107,7 +107,8 @@ def parse_full(df: DataFrame, text: str = "text", cities: Sequence[str] = fixed.
     only where these stand as words.
     """
     t = F.lower(text)
-    names = "|".join(cities)
+    # Longer names first, so that a name that begins another one does not cut it.
+    names = "|".join(sorted(cities, key=len, reverse=True))
     block = rf"(?:in|from|not in|not) (?:{names})(?:\s*(?:and|,)\s*(?:{names}))*"
     blocks = _all(t, block, 0)
 

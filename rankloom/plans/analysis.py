@@ -296,6 +296,50 @@ def f3_plain(spark, sf):
     return found.select("id", r6("rank_experience", "rank"))
 
 
+# Requests over the directory's own words: years, places and specialties by the number of the request.
+_LISTED_REQUESTS = """
+SELECT p_partkey AS request_id, p_partkey % (SELECT COUNT(*) FROM {embeddings}) AS vec_id,
+  CONCAT(CASE p_partkey % 4 WHEN 0 THEN 'more than ' WHEN 1 THEN 'less than ' WHEN 2 THEN 'only ' ELSE 'about ' END, CAST(p_size % 31 AS STRING), ' years',
+    CASE p_partkey % 3 WHEN 0 THEN ', not in nation_3 and nation_7' WHEN 1 THEN ', in nation_1, nation_12 and nation_20' ELSE '' END,
+    CASE p_partkey % 5 WHEN 0 THEN ', handles economy or small' WHEN 1 THEN ', without promo' WHEN 2 THEN ', handles large, without medium' ELSE '' END) AS text
+FROM {part}
+"""
+
+
+def _listed_sql() -> str:
+    years = "CAST(p_size % 31 AS BIGINT)"
+    return f"""
+asked AS (SELECT p_partkey AS request_id, p_partkey % (SELECT COUNT(*) FROM embeddings) AS vec_id,
+  CASE p_partkey % 4 WHEN 0 THEN {years} + 1 END AS lo, CASE p_partkey % 4 WHEN 1 THEN {years} - 1 END AS hi, CASE p_partkey % 4 WHEN 2 THEN {years} END AS eq,
+  CASE p_partkey % 3 WHEN 1 THEN ['nation_1', 'nation_12', 'nation_20'] ELSE []::VARCHAR[] END AS inc,
+  CASE p_partkey % 3 WHEN 0 THEN ['nation_3', 'nation_7'] ELSE []::VARCHAR[] END AS exc,
+  CASE p_partkey % 5 WHEN 0 THEN ['economy', 'small'] WHEN 2 THEN ['large'] ELSE []::VARCHAR[] END AS want,
+  CASE p_partkey % 5 WHEN 1 THEN ['promo'] WHEN 2 THEN ['medium'] ELSE []::VARCHAR[] END AS avoid FROM part),
+vecs AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings)"""
+
+
+@query("f3_plain_requests", oracle(["directory"], """
+SELECT request_id, id, rank FROM (
+  SELECT request_id, id, ROW_NUMBER() OVER (PARTITION BY request_id ORDER BY ROUND(list_cosine_similarity(a.v, b.v) + experience_years / 50.0::DOUBLE, 9) DESC, id) AS rank
+  FROM prepared JOIN vecs b ON b.vec_id = id % (SELECT COUNT(*) FROM embeddings), asked JOIN vecs a ON a.vec_id = asked.vec_id
+  WHERE CASE WHEN eq IS NOT NULL THEN experience_years = eq ELSE COALESCE(experience_years >= lo, TRUE) AND COALESCE(experience_years <= hi, TRUE) END
+    AND (len(inc) = 0 OR list_contains(inc, city)) AND NOT list_contains(exc, city)
+    AND (len(want) = 0 OR len(list_filter(specs, lambda s: len(list_filter(want, lambda t: contains(s, t) OR contains(t, s))) > 0)) > 0)
+    AND len(list_filter(specs, lambda s: len(list_filter(avoid, lambda t: contains(s, t) OR contains(t, s))) > 0)) = 0)
+WHERE rank <= 5""", DIRECTORY_CTE + "," + _listed_sql()))
+def f3_plain_requests(spark, sf):
+    """Every request of a table, parsed, matched with the whole directory and ranked in one plan."""
+    asked = spark.sql(_LISTED_REQUESTS, embeddings=table(spark, sf, "embeddings"), part=table(spark, sf, "part"))
+    requests = asked.join(table(spark, sf, "embeddings").select("vec_id", "embedding"), "vec_id")
+    return recommend.recommend_by_requests(_directory(spark, sf), requests, _cities(spark, sf)).select("request_id", "id", "rank")
+
+
+@query("h2_basket_cells", oracle(["baskets"], "SELECT basket_id, item, 1 AS present FROM baskets"))
+def h2_cells(spark, sf):
+    """The basket matrix in long form, for any number of items."""
+    return mining.basket_cells(view(spark, sf, "baskets"))
+
+
 REQUEST_CTE = DIRECTORY_CTE + f""",
 pool AS (SELECT id, experience_years AS experience, len(specs) AS spec_count, {cos_sql('embedding', 'q')} AS similarity
   FROM prepared JOIN embeddings ON vec_id = id % (SELECT COUNT(*) FROM embeddings), (SELECT embedding AS q FROM embeddings ORDER BY vec_id LIMIT 1)

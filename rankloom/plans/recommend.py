@@ -79,6 +79,12 @@ def recommend_by_request(directory: DataFrame, text: str, vector: Sequence[float
     return _clustered(pool, method).orderBy("cluster", F.desc("rank_specs"), "id").limit(top_n)
 
 
+def recommend_by_requests(directory: DataFrame, requests: DataFrame, cities: Sequence[str] = fixed.CITIES, top_n: int = 5) -> DataFrame:
+    """The plain query form for a table ``requests(request_id, text, embedding)``: each request's full parse filters,
+    similarity and years rank, the first ``top_n`` rows of every request in one plan."""
+    return match.top_k_listed(parse.parse_full(requests, cities=cities), directory, top_n)
+
+
 def recommend_by_preferences(directory: DataFrame, text: str, vector: Sequence[float], top_n: int = 3, method: str = "kmeans") -> DataFrame:
     """Bounds form: years and place filter, preferences move the similarity, score decides inside clusters."""
     spark = directory.sparkSession
