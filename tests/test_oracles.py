@@ -14,8 +14,9 @@ def test_every_oracle_has_a_query():
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_oracle(spark, sf, name):
+    # Both sides empty would prove nothing, so it fails as well.
     note = compare(QUERIES[name](spark, sf), ORACLES[name], sf)
-    assert note in (None, "both empty"), note
+    assert note is None, note
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
