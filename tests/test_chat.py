@@ -67,9 +67,9 @@ def test_folders(spark):
 def test_store_documents(spark):
     docs = spark.createDataFrame([('[{"id":1,"title":"t","msgs":[{"role":"user","text":"x","ts":5}]}]',), ("{broken",), ("",), ("[]",), (None,)], "document string")
     got = [tuple(r) for r in documents.conversations_from_json(docs).collect()]
-    assert got == [(1, "t", 0, "user", "x", 5)]
+    assert got == [("1", "t", 0, "user", "x", 5)]  # ids are texts
     folders = spark.createDataFrame([('{"a":[1,2],"b":[]}',), ("nope",)], "document string")
-    assert sorted(map(tuple, documents.folders_from_json(folders).collect())) == [("a", 1), ("a", 2)]
+    assert sorted(map(tuple, documents.folders_from_json(folders).collect())) == [("a", "1"), ("a", "2")]
 
 
 def one(spark, expr, text):
