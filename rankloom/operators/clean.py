@@ -102,6 +102,12 @@ def spec_score(df: DataFrame, experience: str = "experience", specs: str = "spec
     return df.withColumn("spec_count", F.size(specs)).withColumn("score", F.col(experience) + F.col("spec_count"))
 
 
+def item_sentence(name: str, years: str, specs: str, place: str) -> Column:
+    """The profile as one sentence for an encoder; missing parts are left empty."""
+    part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    return F.concat(part(name), F.lit(" "), part(years), F.lit(" years experience in "), part(specs), F.lit(" at "), part(place))
+
+
 def item_text(*cols: str) -> Column:
     """Profile text for an encoder: name, years, specialties, place."""
     name, years, specs, place = cols

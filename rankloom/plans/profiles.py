@@ -189,6 +189,13 @@ def b11(spark, sf):
     return df.select("id", clean.item_text("name", "experience_years", "specialization", "location").alias("text"))
 
 
+@query("b11_item_sentence", oracle(["directory"], """
+SELECT id, name || ' ' || CAST(experience_years AS VARCHAR) || ' years experience in ' || specialization || ' at ' || location AS text FROM prepared""", DIRECTORY_CTE))
+def b11_sentence(spark, sf):
+    df = prepared_directory(spark, sf)
+    return df.select("id", clean.item_sentence("name", "experience_years", "specialization", "location").alias("text"))
+
+
 # --- request parsing -------------------------------------------------------------------------
 
 BASIC_CTE = r"""
