@@ -25,16 +25,19 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import map_batches
+from rankloom.session import cut_lineage
 
 UNKNOWN = "und"
+#: Most rows (a language and a hash) of the sample's list that are sent to every task.
+MAX_SENT_ROWS = 100_000
 _NO_LETTERS = re.compile(r"[\W\d_]+")
 
 
 def letters(text: str | None) -> bytes:
     """The text's runs of letters in lower case with a blank around each; empty without any letter."""
     found = _NO_LETTERS.sub(" ", (text or "").lower()).strip()
-    return f" {found} ".encode() if found else b""
+    # What is left may still be numerals of other kinds only.
+    return f" {found} ".encode() if any(c.isalpha() for c in found) else b""
 
 
 def learn_dictionaries(
@@ -53,7 +56,10 @@ def learn_dictionaries(
     # First the hashes alone: the group limit keeps ``per_language`` of them before and after the shuffle.
     rank = Window.partitionBy("lang").orderBy("h")
     chosen = pool.select("lang", order.alias("h")).distinct().withColumn("r", F.row_number().over(rank)).where(F.col("r") <= per_language)
-    sample = pool.withColumn("h", order).join(chosen.drop("r"), ["lang", "h"]).select("lang", "h", F.substring("text", 1, dictionary_bytes).alias("text"))
+    chosen = cut_lineage(chosen.drop("r"))
+    # At most per_language rows of each language: sent to every task unless there are very many languages.
+    sent = F.broadcast(chosen) if chosen.count() <= MAX_SENT_ROWS else chosen
+    sample = pool.withColumn("h", order).join(sent, ["lang", "h"]).select("lang", "h", F.substring("text", 1, dictionary_bytes).alias("text"))
     # Equal texts once; a text longer than a whole dictionary cannot add more than the dictionary holds.
     found: dict[str, list[str]] = {}
     for row in sorted(sample.groupBy("lang", "h").agg(F.max("text").alias("text")).collect()):
