@@ -83,11 +83,19 @@ def _counts():
     return step
 
 
-def choose(labels: DataFrame, learn_from: Column, per_class: int, id_col: str, label_col: str) -> DataFrame:
-    """At most ``per_class`` labelled ids of each class, by a hash of the id: (id, label, place)."""
+def choose(labels: DataFrame, learn_from: Column, per_class: int, id_col: str, label_col: str, counts: dict[int, int]) -> DataFrame:
+    """At most ``per_class`` labelled ids of each class, those with the smallest hashes of the id: (id, label, place).
+
+    With the classes' ``counts`` of ids only hashes that can be among the smallest are ordered, so no class fills a task.
+    """
     pool = labels.where(learn_from & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col)).cast("int").alias("label"))
-    order = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
-    return pool.withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_class)
+    share = F.lit(1.0)
+    for label, n in counts.items():
+        # A quarter more than wanted, and some for small numbers; ids in this share of the hashes are far above per_class.
+        share = F.when(F.col("label") == label, min(1.0, (1.25 * per_class + 100) / max(n, 1))).otherwise(share)
+    near = pool.withColumn("at", F.pmod(F.xxhash64("id"), F.lit(1 << 40)) / float(1 << 40)).where(F.col("at") <= share)
+    order = Window.partitionBy("label").orderBy("at", "id")
+    return near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_class).select("id", "label", "place")
 
 
 def _sums(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -201,7 +209,7 @@ def learn(
     model: dict[str, Any] = {"slope": 0.0, "offset": math.log(prior / (1 - prior))}
     if len(shares) < 2:
         return model
-    chosen = choose(labels, learn_from, per_class, id_col, label_col)
+    chosen = choose(labels, learn_from, per_class, id_col, label_col, shares)
     # At most 2 * per_class rows of three numbers.
     sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").dropDuplicates(["label", "text"])
     for_curve = F.abs(F.xxhash64("text") % 3) == 0
