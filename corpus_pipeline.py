@@ -19,7 +19,10 @@ from rankloom.llm.hyperminhash import one_of_each
 from rankloom.llm.language import learn_dictionaries, with_language
 from rankloom.llm.mixing import mix
 from rankloom.llm.toxicity import learn, with_toxicity
-from rankloom.session import work_path
+from rankloom.session import cut_lineage, work_path
+
+#: Jaccard similarity of five-word shingles, in percent, from which the near-dedup stage links documents.
+NEAR_PERCENT = 80
 
 
 def _kept(docs: DataFrame, judge: Callable[[DataFrame, dict[str, str]], DataFrame]) -> DataFrame:
@@ -52,8 +55,9 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id."""
-    return _kept(docs, lambda rows, c: one_of_each(rows, c["doc_id"], c["text"]))
+    """One document of each group of near duplicates: the one with the smallest id. A link takes a similarity of
+    ``NEAR_PERCENT`` % or more."""
+    return _kept(docs, lambda rows, c: one_of_each(rows, c["doc_id"], c["text"], NEAR_PERCENT))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -214,6 +214,21 @@ def test_stages_do_what_they_say(spark, corpus):
         assert stage(spark, docs.limit(0), folder).count() == 0, name
 
 
+def test_stage_links_near_copies_from_four_fifths(spark, tmp_path):
+    words = [f"w{i}" for i in range(104)]
+    near, far = list(words), list(words)
+    for i in (20, 60):
+        near[i] = "x"  # ten of 100 shingles: 90 of 110
+    for i in (20, 50, 80):
+        far[i] = "y"  # fifteen of 100: 85 of 115
+    rows = [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(far))]
+    a, b, c = (shingles(t) for _, t in rows)
+    assert 0.80 <= len(a & b) / len(a | b) < 0.85 and max(len(a & c) / len(a | c), len(b & c) / len(b | c)) < 0.80
+    docs = spark.createDataFrame(rows, DOCS)
+    assert sorted(r.doc_id for r in P.near_dedup(spark, docs, str(tmp_path)).collect()) == [1, 3]
+    assert {r.component for r in H.near_duplicates(docs).collect()} == {1, 2, 3}
+
+
 def test_run_chains_the_stages(spark, corpus):
     folder, rows = corpus
     out = P.run(spark, folder).collect()
