@@ -1,14 +1,16 @@
 """Benchmark decontamination by q-gram lemma filtering and banded alignment.
 
 Texts are folded: lower case, every run of characters that are neither letters nor digits as one blank. A
-benchmark item is searched whole if it is short, else by windows of ``window`` characters that overlap by half.
+benchmark item is searched whole if it has at most ``window`` characters, else by windows of that size. They begin
+every ``quote - window + 1`` characters, so that every stretch of ``quote`` characters of the item holds a whole one:
+a quote of that length is found wherever in the item it begins; shorter quotes are found only if they hold a window.
 A window of ``w`` characters occurs in a document if some stretch of it is within ``k = floor(error * w)`` edits.
 
 By the q-gram lemma such a stretch shares at least ``w - q + 1 - k * q`` q-grams with the window, on diagonals
 (document place less window place) at most ``k`` apart. The filter counts shared q-grams per window in
 diagonal bands of ``2 * (k + 1)`` that overlap by half, so every range of ``k + 1`` diagonals lies inside one band, and
 keeps the bands that reach the bound. Kept regions are verified by an alignment restricted to the band, free at
-both ends of the document. The filter loses nothing; the alignment decides.
+both ends of the document. The filter loses no window; the alignment decides.
 
 Documents are read in one narrow pass per benchmark block. The benchmark is cut into blocks of at most about
 ``BLOCK_BYTES`` of text by a hash; each block's index travels to the tasks as one broadcast variable. No document
@@ -32,8 +34,8 @@ from pyspark.sql import types as T
 
 from rankloom.llm import arrays as A
 
-#: Bytes of benchmark text that are searched in one pass.
-BLOCK_BYTES = 16 << 20
+#: Bytes of benchmark text that are searched in one pass. Each has about three q-grams in the index.
+BLOCK_BYTES = 8 << 20
 _FOLD = re.compile(r"[\W_]+")
 _U = np.uint64
 MATCHES = T.ArrayType(T.StructType([
@@ -63,18 +65,21 @@ def qgrams(points: np.ndarray, q: int) -> np.ndarray:
 class Index:
     """The windows of a benchmark block, and where each of their q-grams stands."""
 
-    def __init__(self, items: list[tuple[int, str]], q: int, window: int, error: float):
+    def __init__(self, items: list[tuple[int, str]], q: int, window: int, error: float, quote: int | None = None):
         self.q, self.window = q, window
+        # Without a shortest quote, windows overlap by half.
+        step = max(1, quote - window + 1) if quote is not None else window // 2
         windows, owner = [], []
         for item, text in items:
             points = fold(text)
             if len(points) < q:
                 continue
             last = max(0, len(points) - window)
-            for at in sorted({*range(0, last, window // 2), last}):
+            for at in sorted({*range(0, last, step), last}):
                 windows.append(points[at : at + window])
                 owner.append(item)
         self.windows, self.owner = windows, np.array(owner, np.int64)
+        self.of_item = dict(zip(*(x.tolist() for x in np.unique(self.owner, return_counts=True)), strict=True))
         self.size = np.array([len(w) for w in windows], np.int64)
         # The bound stays positive: fewer edits where a window is too short for the error rate.
         self.edits = np.minimum((self.size * error).astype(np.int64), (self.size - q) // q)
@@ -135,7 +140,7 @@ class Index:
         for (d, item), (e, p) in sorted(best.items()):
             found[d].append({
                 "item_id": item, "edits": e, "windows": len(parts[d, item]),
-                "of_windows": int((self.owner == item).sum()), "at": max(0, p - int(begins[d])),
+                "of_windows": self.of_item[item], "at": max(0, p - int(begins[d])),
             })
         return found
 
@@ -178,15 +183,19 @@ def with_matches(
     item_col: str = "item_id",
     item_text_col: str = "text",
     q: int = 12,
-    window: int = 96,
+    window: int = 64,
     error: float = 0.06,
+    quote: int = 80,
 ) -> DataFrame:
-    """All documents with ``matches``: the benchmark items found in each (empty if none)."""
+    """All documents with ``matches``: the benchmark items found in each (empty if none). ``quote``: the shortest part
+    of an item, in folded characters, that is found wherever it begins."""
+    if quote < window:
+        raise ValueError("a quote must be able to hold a window")
     kept = [c for c in docs.columns if c != "matches"]
     schema = docs.select(*kept).schema.add("matches", MATCHES)
     found = docs.select(*kept).withColumn("matches", F.array().cast(MATCHES))
     for items in blocks(benchmark, item_col, item_text_col):
-        sent = docs.sparkSession.sparkContext.broadcast((items, q, window, error))
+        sent = docs.sparkSession.sparkContext.broadcast((items, q, window, error, quote))
         found = found.mapInArrow(_scan(sent, kept, text_col), schema)
     return found
 

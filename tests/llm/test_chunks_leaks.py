@@ -100,6 +100,16 @@ def test_filter_and_alignment_lose_no_window():
             assert found[0]["edits"] == 0 and found[0]["windows"] == found[0]["of_windows"]
 
 
+def test_quotes_are_found_wherever_they_begin(spark):
+    rng = random.Random(12)
+    passage = prose(rng, 60)
+    whole = "".join(map(chr, D.fold(passage)))
+    quotes = [(k, f"{prose(rng, 8)} {whole[k : k + 80]} {prose(rng, 8)}") for k in range(len(whole) - 79)]
+    docs = spark.createDataFrame([*quotes, (-1, prose(rng, 60))], DOCS)
+    got = D.with_matches(docs, spark.createDataFrame([(1, passage)], "item_id long, text string")).where(F.size("matches") > 0)
+    assert {r.doc_id for r in got.collect()} == {k for k, text in quotes if whole[k : k + 80] in text} and len(quotes) > 200
+
+
 def test_decontamination_of_odd_rows(spark, monkeypatch):
     rng = random.Random(9)
     passage = prose(rng, 40)
