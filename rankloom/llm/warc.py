@@ -8,7 +8,8 @@ one attempt only; the list of archives is a table that Spark commits, so files o
 
 ``read_archives`` cuts the archives into byte ranges. A task looks for the gzip magic inside its range, decodes the
 head of each candidate, and accepts it if it is a WARC record of that very archive; it owns the records that
-start inside its range and reads beyond the end to finish the last one. So one large archive is read by many
+start inside its range and reads beyond the end to finish the last one. What was read is counted against the
+table of archives, so that no record is lost unseen. So one large archive is read by many
 tasks, whatever the sizes of its records, and bytes that look like a member's start do no harm.
 
 Defined cases: null html is an empty payload, a null url a record without target, a null id a record without
@@ -165,22 +166,26 @@ def _head(raw: bytes) -> dict[str, str] | None:
 
 
 def _decode_head(window: _Window, at: int, archive: str) -> dict[str, str] | None:
-    """The headers of the candidate member at ``at``, if it is a record of this archive."""
-    reader, raw, upto = zlib.decompressobj(31), b"", at
+    """The headers of the candidate member at ``at``, however long, if it is a record of this archive."""
+    reader, raw, upto = zlib.decompressobj(31), bytearray(), at
     while True:
-        piece = window.get(upto, upto + HEAD_BYTES)
+        # First what the last piece still holds beyond the output limit.
+        piece = reader.unconsumed_tail
         if not piece:
-            return None
+            piece = window.get(upto, upto + HEAD_BYTES)
+            upto += len(piece)
+        seen = len(raw)
         try:
             raw += reader.decompress(piece, 1 << 20)
         except zlib.error:
             return None
         if not b"WARC/1.1\r\n".startswith(raw[:10]):
             return None
-        if b"\r\n\r\n" in raw or reader.eof or len(raw) > 1 << 24:
-            head = _head(raw)
+        if raw.find(b"\r\n\r\n", max(0, seen - 3)) >= 0 or reader.eof:
+            head = _head(bytes(raw))
             return head if head and head.get("WARC-Warcinfo-ID") == f"<urn:uuid:{archive}>" else None
-        upto += len(piece)
+        if not piece and len(raw) == seen:
+            return None
 
 
 def _whole_member(window: _Window, at: int) -> tuple[bytes, int]:
@@ -221,11 +226,13 @@ def records_in(file: Any, size: int, start: int, end: int, archive: str) -> Iter
 
 def read_archives(archives: DataFrame, range_bytes: int = 8 << 20) -> DataFrame:
     """One row per record but the archives' own: (page_id, url, payload_bytes, payload_digest, record_type,
-    refers_to, sound). ``sound``: a response's payload has the length and digest its headers say."""
+    refers_to, sound). ``sound``: a response's payload has the length and digest its headers say. The rows are
+    written and counted first; an archive with other than its listed number of records is an error."""
     ranges = archives.select(
         "path", "archive", F.col("bytes").alias("size"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(int(range_bytes)).cast("long"))).alias("start")
     )
     tasks = max(1, min(ranges.count(), 20_000))
+    found = f"archive string, {RECORD}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -245,12 +252,20 @@ def read_archives(archives: DataFrame, range_bytes: int = 8 << 20) -> DataFrame:
                             digest, length = payload_digest(payload), len(payload)
                         page, refers, url = (head.get(k) for k in ("X-Page-ID", "WARC-Refers-To", "WARC-Target-URI"))
                         rows.append({
-                            "page_id": int(page) if page else None, "url": None if url is None else unquote(url), "payload_bytes": length, "payload_digest": digest,
+                            "archive": archive, "page_id": int(page) if page else None, "url": None if url is None else unquote(url), "payload_bytes": length, "payload_digest": digest,
                             "record_type": kind, "refers_to": int(refers[10:-1]) if refers else None, "sound": sound,
                         })
                         if len(rows) >= 4096:
-                            yield pa.RecordBatch.from_pylist(rows, schema=arrow_schema(RECORD))
+                            yield pa.RecordBatch.from_pylist(rows, schema=arrow_schema(found))
                             rows = []
-                yield pa.RecordBatch.from_pylist(rows, schema=arrow_schema(RECORD))
-
-    return ranges.repartition(tasks, "path", "start").mapInArrow(run, RECORD)
+                yield pa.RecordBatch.from_pylist(rows, schema=arrow_schema(found))
+
+    spark, path = archives.sparkSession, work_path(archives.sparkSession, "warc-read")
+    ranges.repartition(tasks, "path", "start").mapInArrow(run, found).write.parquet(path)
+    records = spark.read.schema(found).parquet(path)
+    read = records.groupBy("archive").agg(F.count(F.lit(1)).alias("n"))
+    n = F.coalesce("n", F.lit(0))
+    wrong = archives.select("path", "archive", "records").join(read, "archive", "left").where(n != F.col("records")).select("path", "records", n.alias("n")).first()
+    if wrong:
+        raise ValueError(f"{wrong.path} lists {wrong.records} records, {wrong.n} were read")
+    return records.drop("archive")

@@ -160,6 +160,19 @@ def test_stored_member_inside_a_payload_is_no_record(tmp_path):
         assert found == ["2", "3"]
 
 
+def test_long_headers_are_read(spark):
+    urls = {1: "http://x.org/" + "a" * (2 << 20), 2: "http://x.org/" + "ab/" * (6 << 20), 3: "http://x.org/3"}
+    df = spark.createDataFrame([(i, u, f"p{i}") for i, u in urls.items()], "page_id long, url string, html string")
+    got = R.read_archives(R.write_archives(df.coalesce(1)), 4000).collect()
+    assert {r.page_id: r.url for r in got} == urls and len(got) == 3 and all(r.sound for r in got)
+
+
+def test_lost_records_are_an_error(spark):
+    listed = R.write_archives(spark.createDataFrame([(i, "u", f"p{i}") for i in range(5)], "page_id long, url string, html string").coalesce(1))
+    with pytest.raises(ValueError, match="lists 6 records, 5 were read"):
+        R.read_archives(listed.withColumn("records", F.col("records") + 1))
+
+
 @pytest.fixture
 def corpus(spark, tmp_path):
     rng = random.Random(7)
