@@ -68,13 +68,21 @@ def host_edges(pages: DataFrame, host: str, html: str) -> DataFrame:
     return links.unionByName(both).where(F.col("src") != F.col("dst")).groupBy("src", "dst").agg(F.sum("w").alias("w"))
 
 
+def round_bits(x: Column) -> Column:
+    """``x`` rounded to its 40 leading bits (about 12 digits), however small it is."""
+    wide = x * F.lit(float(2**13 + 1))
+    return wide - (wide - x)
+
+
 def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 10) -> DataFrame:
-    """(host, trust, distrust) after ``rounds`` steps. ``seeds``: (host, allowed, blocked) page counts."""
+    """(host, trust, distrust) after ``rounds`` steps. ``seeds``: (host, allowed, blocked) page counts.
+
+    Scores are kept in pages until the end, and rounded relatively, so they do not vanish in a large table."""
     totals = seeds.agg(F.sum("allowed"), F.sum("blocked")).first()
-    share = lambda c, n: F.coalesce(F.col(c), F.lit(0)) / F.lit(float(n or 1))
+    count = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("double")
     nodes = edges.select(F.col("src").alias("host")).union(edges.select("dst")).union(seeds.select("host")).distinct()
     nodes = nodes.join(seeds, "host", "left").select(
-        "host", F.explode(F.create_map(F.lit("trust"), share("allowed", totals[0]), F.lit("distrust"), share("blocked", totals[1]))).alias("kind", "seed")
+        "host", F.explode(F.create_map(F.lit("trust"), count("allowed"), F.lit("distrust"), count("blocked"))).alias("kind", "seed")
     )
     scores = cut_lineage(nodes.withColumn("score", F.col("seed")))
     out = edges.join(edges.groupBy("src").agg(F.sum("w").alias("all")), "src")
@@ -89,10 +97,10 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds:
             .groupBy("kind", F.col("to").alias("host")).agg(F.sum(F.col("score") * F.col("p")).alias("inflow"))
         )
         # Rounded, so that the order of summation cannot change a verdict.
-        score = F.round((1 - damping) * F.col("seed") + damping * F.coalesce("inflow", F.lit(0.0)), 12)
+        score = round_bits((1 - damping) * F.col("seed") + damping * F.coalesce("inflow", F.lit(0.0)))
         scores = cut_lineage(scores.drop("score").join(inflow, ["kind", "host"], "left").select("host", "kind", "seed", score.alias("score")))
-    pick = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("score"))).alias(kind)
-    return scores.groupBy("host").agg(pick("trust"), pick("distrust"))
+    pick = lambda kind, n: round_bits(F.max(F.when(F.col("kind") == kind, F.col("score"))) / F.lit(float(n or 1))).alias(kind)
+    return scores.groupBy("host").agg(pick("trust", totals[0]), pick("distrust", totals[1]))
 
 
 def judge_urls(

@@ -72,6 +72,20 @@ def test_links_carry_distrust_back(spark):
     assert got == {1: "block", 2: "allow", 3: "allow", 4: "block", 5: "allow"}
 
 
+def test_verdicts_do_not_depend_on_other_pages(spark):
+    edges = [("good", "mid", 1.0), ("far", "linker", 1.0), ("linker", "bad", 1.0), ("linker", "mid", 1.0), ("mid", "last", 1.0)]
+    edges += [(f"in{i}", "bad", 10.0) for i in range(1000)]
+    edges = spark.createDataFrame(edges, "src string, dst string, w double")
+    seeds = [("good", 1, 0), ("bad", 0, 1)]
+    found = {}
+    for others in (0, 10**7, 3 * 10**12):
+        more = [("other", others, others)] if others else []
+        rows = G.propagate(edges, spark.createDataFrame(seeds + more, "host string, allowed long, blocked long")).collect()
+        assert all(0 < r.distrust for r in rows if r.host in ("far", "linker", "bad")) and all(0 < r.trust for r in rows if r.host in ("mid", "last"))
+        found[others] = {r.host: (r.distrust > r.trust, round(r.trust * (1 + others), 9), round(r.distrust * (1 + others), 9)) for r in rows if r.host != "other"}
+    assert found[0] == found[10**7] == found[3 * 10**12]
+
+
 def turns_of(conv, n, rng, system):
     rows = [(conv, -1, "system", "be good " * system)] if system else []
     for t in range(n):
