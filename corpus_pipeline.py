@@ -47,7 +47,9 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
 
     def judge(rows: DataFrame, c: dict[str, str]) -> DataFrame:
-        renamed = labels.select(F.col("doc_id").alias(c["doc_id"]), "toxic")
+        # Labels of documents that are here: others would use up places among those the models learn from.
+        here = labels.join(rows.select(F.col(c["doc_id"]).alias("doc_id")), "doc_id", "left_semi")
+        renamed = cut_lineage(here.select(F.col("doc_id").alias(c["doc_id"]), "toxic"))
         model = learn(rows, renamed, None, c["doc_id"], c["text"], "toxic")
         return with_toxicity(rows, model, c["text"]).where(F.col("predicted") == 0)
 

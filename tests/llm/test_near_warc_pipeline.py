@@ -242,6 +242,18 @@ def test_stage_links_near_copies_from_four_fifths(spark, tmp_path):
     assert {r.component for r in H.near_duplicates(docs).collect()} == {1, 2, 3}
 
 
+def test_toxicity_stage_learns_from_documents_it_has(spark, corpus):
+    folder, rows = corpus
+    docs = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id < 300")
+    # Most labelled ids belong to documents that no earlier stage kept.
+    labels = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "quality", "toxic")
+    absent = spark.range(10_000, 40_000).select(F.col("id").alias("doc_id"), F.lit(0).alias("quality"), (F.col("id") % 2).cast("int").alias("toxic"))
+    labels.union(absent).write.parquet(f"{folder}/more/labels.parquet")
+    kept = {r.doc_id for r in P.toxicity(spark, docs, f"{folder}/more").collect()}
+    toxic = {r[0] for r in rows if r[0] < 300 and r[0] % 4 == 0}
+    assert len(toxic & kept) <= 3 and len({r[0] for r in rows if r[0] < 300} - toxic - kept) <= 3
+
+
 def test_run_chains_the_stages(spark, corpus):
     folder, rows = corpus
     out = P.run(spark, folder).collect()
