@@ -3,7 +3,8 @@
 Every source gets a target number of words. A document of a source with target ``T`` and size ``S`` is
 wanted ``T / S`` times: the whole part is allocated as certain copies, the fraction is its inclusion
 probability ``p`` in a Pareto sample. Documents are ranked by ``(u / (1 - u)) / (p / (1 - p))``, random odds
-over inclusion odds, where ``u`` comes from a hash of the document's id; the sample is closed when its fixed
+over inclusion odds, where ``u`` comes from a hash of the document's id; as all documents of a source have
+the same ``p``, that is the order of ``u``, not sampling with unequal probabilities. The sample is closed when its fixed
 size, counted in words, is reached: the last document enters if that brings the sum nearer to the target.
 
 Sizes meet in sums per (source, block of ``u``) first, so a source with a third of all rows costs one row per
