@@ -1,7 +1,8 @@
 """Language identification by compression with per-language zstandard raw-content dictionaries.
 
 From a bounded sample of labelled rows (``per_language`` whole texts per language, chosen by a hash of the
-text) the texts of a language become one raw-content dictionary. Texts are reduced to runs of letters in
+text) the texts of a language become one raw-content dictionary, each by the middle of all its letters: its share of
+``dictionary_bytes``, or more where other texts are shorter. Texts are reduced to runs of letters in
 lower case, one blank between them. A text is cut into pieces of ``piece`` bytes, each piece is compressed with every dictionary, and the language with the smallest sum wins; pieces
 keep the dictionary near, so that a long text cannot serve as its own. Every byte of every text counts. The
 margin is the share of bytes that the best language saves against the second best; below ``min_margin`` the
@@ -25,6 +26,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankloom.llm import arrays as A
 from rankloom.session import cut_lineage
 
 UNKNOWN = "und"
@@ -59,16 +61,29 @@ def learn_dictionaries(
     chosen = cut_lineage(chosen.drop("r"))
     # At most per_language rows of each language: sent to every task unless there are very many languages.
     sent = F.broadcast(chosen) if chosen.count() <= MAX_SENT_ROWS else chosen
-    sample = pool.withColumn("h", order).join(sent, ["lang", "h"]).select("lang", "h", F.substring("text", 1, dictionary_bytes).alias("text"))
-    # Equal texts once; a text longer than a whole dictionary cannot add more than the dictionary holds.
-    found: dict[str, list[str]] = {}
-    for row in sorted(sample.groupBy("lang", "h").agg(F.max("text").alias("text")).collect()):
-        found.setdefault(row.lang, []).append(row.text)
+
+    def middles(batches):
+        seen = set()
+        for part in (part for batch in batches for part in A.slices(batch, "text")):
+            rows = []
+            for lang, h, text in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
+                if (lang, h) not in seen:
+                    seen.add((lang, h))
+                    raw = letters(text)
+                    size = min(len(raw), dictionary_bytes)
+                    rows.append({"lang": lang, "h": h, "raw": raw[(len(raw) - size) // 2 :][:size]})
+            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("lang", pa.string()), ("h", pa.int64()), ("raw", pa.binary())]))
+
+    # Whole texts are read in the task; of their letters the middle comes back, no more than a dictionary holds.
+    sample = pool.withColumn("h", order).join(sent, ["lang", "h"]).select("lang", "h", "text").mapInArrow(middles, "lang string, h long, raw binary")
+    # Equal texts once.
+    found: dict[str, list[bytes]] = {}
+    for row in sorted(sample.groupBy("lang", "h").agg(F.max("raw").alias("raw")).collect()):
+        found.setdefault(row.lang, []).append(bytes(row.raw))
     share = max(1, dictionary_bytes // per_language)
     out = {}
-    for lang, texts in sorted(found.items()):
+    for lang, raw in sorted(found.items()):
         # Each text gives its share from its middle first, so that no long text fills the dictionary alone.
-        raw = [letters(t) for t in texts]
         room = dictionary_bytes
         parts = []
         for i, text in enumerate(sorted(raw, key=len)):

@@ -166,6 +166,13 @@ def test_language_of_odd_rows(spark):
     assert {r.lang_pred for r in nothing.collect()} == {"und"}
 
 
+def test_dictionaries_learn_from_the_middle_of_whole_texts(spark):
+    text = "12 34 " * 50_000 + "opening " * 20_000 + "middle " * 60_000 + "closing " * 20_000
+    docs = spark.createDataFrame([(text, "aa"), (text, "aa")], "text string, lang string")
+    (learned,) = learn_dictionaries(docs, F.lit(True)).values()
+    assert len(learned) == 112 << 10 and set(learned.decode().split()[1:-1]) == {"middle"}
+
+
 def test_language_held_out_accuracy(spark):
     from rankloom.llm.queries_language import op7_language
 
