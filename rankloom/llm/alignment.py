@@ -8,9 +8,9 @@ are compressed rows of plain integer arrays, built here.
 
 Texts are cut before a single blank between two visible characters. No token of either tokenizer reaches over
 such a place (A's pattern starts a piece there; B's vocabulary is searched for a piece with a blank behind another
-character, and if it has one texts stay whole), so a text's tokens are those of its parts one after the other. Each
-different part of a block of texts is encoded and aligned once, which is exact and costs a small part of encoding all;
-two parts count as one with a chance of 2**-64 per pair.
+character, and if it has one texts stay whole), so a text's tokens are those of its parts one after the other. A task
+encodes and aligns each different part once, many of them strung together with blanks, while they fit a bounded memory
+that starts anew when it is full; two parts count as one with a chance of 2**-64 per pair.
 
 Corpus-wide counts: a block has one row per different pair of ids. Sums go back to the blocks by a join on the
 pair, so what is shuffled grows with the blocks and a pair that every text holds is one row per block.
@@ -40,7 +40,11 @@ from rankloom.llm.common import arrow_schema, map_batches
 from rankloom.session import work_path
 
 #: Bytes of text in a block; a longer text is a block of its own.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 2 << 20
+#: Characters that are encoded at once and bytes that one matrix product covers, about; parts that a task remembers.
+STRING, SPAN, MEMORY = 1 << 16, 1 << 17, 400_000
+#: Parts that are aligned at once.
+STEP = 1 << 14
 #: A pair of ids as one number: A's id times this plus B's.
 PAIR = 1 << 24
 
@@ -107,16 +111,26 @@ def overlap_links(ends_a: np.ndarray, ends_b: np.ndarray) -> Csr:
 
 def group_links(ends_a: np.ndarray, ends_b: np.ndarray) -> Csr:
     """Tokens of A by tokens of B: one where they share a group."""
-    common = np.intersect1d(ends_a, ends_b)
+    common = np.intersect1d(ends_a, ends_b, assume_unique=True)
     return product(group_incidence(ends_a, common), transposed(group_incidence(ends_b, common)))
 
 
 def end_links(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The overlap links whose two tokens end at the same byte."""
-    links = overlap_links(ends_a, ends_b)
-    row = links.row
-    same = ends_a[row] == ends_b[links.column]
-    return row[same], links.column[same]
+    """The overlap links whose two tokens end at the same byte. No link reaches over an end that both have, so the
+    product is taken between such ends, about ``SPAN`` bytes at a time."""
+    common = np.intersect1d(ends_a, ends_b, assume_unique=True)
+    stops = common[np.unique(np.searchsorted(common, np.arange(SPAN, int(common[-1]) + SPAN, SPAN)).clip(max=len(common) - 1))] if len(common) else common
+    rows, columns, low, i, j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0, 0, 0
+    for stop in stops.tolist():
+        upto_a, upto_b = int(np.searchsorted(ends_a, stop, "right")), int(np.searchsorted(ends_b, stop, "right"))
+        own_a, own_b = ends_a[i:upto_a] - low, ends_b[j:upto_b] - low
+        links = overlap_links(own_a, own_b)
+        row = links.row
+        same = own_a[row] == own_b[links.column]
+        rows.append(row[same] + i)
+        columns.append(links.column[same] + j)
+        low, i, j = stop, upto_a, upto_b
+    return np.concatenate(rows), np.concatenate(columns)
 
 
 class Vocabularies(NamedTuple):
@@ -137,6 +151,16 @@ def _byte_of_character() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class Tokens(NamedTuple):
+    """Tokens of parts one after the other; parts that are not sound have none."""
+
+    sound: np.ndarray
+    n_a: np.ndarray
+    n_b: np.ndarray
+    a: np.ndarray
+    b: np.ndarray
+
+
 class Encoders:
     """Both tokenizers in a task: encode parts of texts, each with a blank before it, to ids and token bytes."""
 
@@ -152,33 +176,67 @@ class Encoders:
         self.bytes_a = {i: t.encode() if t in special else bytes(byte[c] for c in t) for t, i in self.a.get_vocab().items()}
         names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(names)]
+        self.length_a = np.array([len(self.bytes_a.get(i, b"")) for i in range(max(self.bytes_a) + 1)])
+        self.length_b = np.array(list(map(len, self.bytes_b)))
         #: Whether texts may be cut at blanks: no piece has a blank behind another character.
         self.cuts = not any("▁" in p.lstrip("▁") for p in names)
 
-    def encode(self, parts: list[str]) -> Iterator[tuple[list[int], list[int], np.ndarray, np.ndarray, bool]]:
-        """Per part A's and B's ids, their tokens' lengths, and whether both spell a blank and the part."""
-        coded = self.a.encode_batch([" " + p for p in parts], add_special_tokens=False)
-        for part, one, b in zip(parts, coded, self.b.encode(parts, num_threads=1), strict=True):
-            a, want = one.ids, b" " + part.encode()
-            spelt_a, spelt_b = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
-            sound = b"".join(spelt_a) == want and b"".join(spelt_b) == want
-            yield a, b, np.array([len(x) for x in spelt_a], np.int64), np.array([len(x) for x in spelt_b], np.int64), sound
+    def spell(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
+        """A's and B's ids of a blank and the text; nothing if they do not spell it."""
+        want = b" " + text.encode()
+        a, b = self.a.encode(" " + text, add_special_tokens=False).ids, self.b.encode(text)
+        if b"".join([self.bytes_a[i] for i in a]) != want or b"".join([self.bytes_b[i] for i in b]) != want:
+            return None
+        return np.array(a, np.int64), np.array(b, np.int64)
+
+    def encode(self, parts: list[str], plain: np.ndarray) -> Tokens:
+        """Both tokenizers over parts, each with a blank before it. ``plain`` parts begin and end with visible characters,
+        so that they can be strung together."""
+        n_a, n_b = np.zeros(len(parts), np.int64), np.zeros(len(parts), np.int64)
+        sound, all_a, all_b = np.zeros(len(parts), bool), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+        def take(i: int, j: int) -> None:
+            coded = self.spell(" ".join(parts[i:j]))
+            if coded is None:
+                for k in range(i, j) if j - i > 1 else ():
+                    take(k, k + 1)
+                return
+            bounds = np.cumsum([len(p.encode()) + 1 for p in parts[i:j]])
+            for ids, length, n, out in ((coded[0], self.length_a, n_a, all_a), (coded[1], self.length_b, n_b, all_b)):
+                n[i:j] = np.diff(np.searchsorted(np.cumsum(length[ids]), bounds, "right"), prepend=0)
+                out.append(ids)
+            sound[i:j] = True
+
+        i = 0
+        while i < len(parts):
+            j, size = i + 1, len(parts[i])
+            while plain[i] and j < len(parts) and plain[j] and size < STRING:
+                j, size = j + 1, size + len(parts[j])
+            take(i, j)
+            i = j
+        return Tokens(sound, n_a, n_b, np.concatenate(all_a), np.concatenate(all_b))
+
+
+def visible(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each byte begins, and whether it ends, a visible character: ASCII, or a Latin letter of two bytes."""
+    plain = (data > 0x20) & (data < 0x7F)
+    lead = (data >= 0xC3) & (data <= 0xC9)
+    ends = plain.copy()
+    ends[1:] |= lead[:-1]
+    return plain | lead, ends
 
 
 def part_starts(data: np.ndarray, bounds: np.ndarray, cut: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of each text's parts, and the number of each text's first part (one more at the end).
 
-    A part begins after a blank that stands between two visible characters: ASCII ones, or Latin letters of two bytes.
+    A part begins after a blank that stands between two visible characters.
     """
     n = len(data)
     texts = np.flatnonzero(np.diff(bounds))
     starts, ends = bounds[:-1][texts], bounds[1:][texts]
     if cut and n > 2:
-        visible = (data > 0x20) & (data < 0x7F)
-        lead = (data >= 0xC3) & (data <= 0xC9)
-        before = visible.copy()
-        before[1:] |= lead[:-1]  # the second byte of a letter
-        blank = np.flatnonzero((data[1:-1] == 0x20) & before[:-2] & (visible | lead)[2:]) + 1
+        begins, ends_one = visible(data)
+        blank = np.flatnonzero((data[1:-1] == 0x20) & ends_one[:-2] & begins[2:]) + 1
         edge = np.zeros(n + 1, bool)
         edge[bounds] = True
         # The blank and both neighbours belong to one text.
@@ -188,27 +246,22 @@ def part_starts(data: np.ndarray, bounds: np.ndarray, cut: bool) -> tuple[np.nda
 
 
 class Parts(NamedTuple):
-    """The different parts of a block, aligned: counts, spelt groups, and the links by part."""
+    """Different parts, aligned: counts, spelt groups, and the links by part."""
 
     sound: np.ndarray
     n_a: np.ndarray
     n_b: np.ndarray
     n_groups: np.ndarray
     groups: list[str]
-    links: Csr  # parts by numbers of pairs
-    pairs: np.ndarray  # sorted
-
-
-def align_parts(encoders: Encoders, parts: list[str]) -> Parts:
-    """All parts laid end to end, so that each matrix product covers them all."""
-    coded = list(encoders.encode(parts))
-    sound = np.array([c[4] for c in coded], bool)
-    used = [c for c in coded if c[4]]
-    count = lambda k: np.array([len(c[k]) if c[4] else 0 for c in coded], np.int64)
-    n_a, n_b = count(0), count(1)
-    join = lambda k: np.concatenate([np.asarray(c[k], np.int64) for c in used]) if used else np.zeros(0, np.int64)
-    ids_a, ids_b, ends_a, ends_b = join(0), join(1), np.cumsum(join(2)), np.cumsum(join(3))
-    common = np.intersect1d(ends_a, ends_b)
+    n_links: np.ndarray
+    links: np.ndarray  # pairs of ids, part by part
+
+
+def align_parts(encoders: Encoders, parts: list[str], plain: np.ndarray) -> Parts:
+    """All parts laid end to end, so that matrix products cover many at once."""
+    sound, n_a, n_b, a, b = encoders.encode(parts, plain)
+    ends_a, ends_b = np.cumsum(encoders.length_a[a]), np.cumsum(encoders.length_b[b])
+    common = np.intersect1d(ends_a, ends_b, assume_unique=True)
     group_a, group_b = group_incidence(ends_a, common), group_incidence(ends_b, common)
     of_part = np.repeat(np.arange(len(parts)), n_a)
     per_group = np.zeros(len(common), np.int64)
@@ -216,57 +269,103 @@ def align_parts(encoders: Encoders, parts: list[str]) -> Parts:
     n_groups = np.bincount(per_group, minlength=len(parts))
     # The spelt groups: ids of A and of B by the group's column.
     spelt = []
-    for m, ids in ((transposed(group_a), ids_a), (transposed(group_b), ids_b)):
+    for m, ids in ((transposed(group_a), a), (transposed(group_b), b)):
         names = list(map(str, ids[m.column].tolist()))
-        spelt.append([",".join(names[i:j]) for i, j in zip(m.start[:-1].tolist(), m.start[1:].tolist(), strict=True)])
+        spelt.append([names[i] if j == i + 1 else ",".join(names[i:j]) for i, j in zip(m.start[:-1].tolist(), m.start[1:].tolist(), strict=True)])
     both = [f"{x}|{y}" for x, y in zip(*spelt, strict=True)]
     upto = np.concatenate([[0], np.cumsum(n_groups)]).tolist()
     row, column = end_links(ends_a, ends_b)
-    pairs, number = np.unique(ids_a[row] * PAIR + ids_b[column], return_inverse=True)
-    links = from_entries(of_part[row], number, np.ones(len(row), np.int64), len(parts), len(pairs))
-    return Parts(sound, n_a, n_b, n_groups, [";".join(both[i:j]) for i, j in zip(upto, upto[1:], strict=False)], links, pairs)
-
-
-def different_parts(batch: pa.RecordBatch, column: str, cut: bool) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """The number of each text's first part, each part's number among the different ones, and these."""
-    data, bounds = A.utf8(batch.column(column))
-    starts, ends, first = part_starts(data, bounds, cut)
-    _, where, number = np.unique(A.span_hash(A.prefix_hash(data, A.EXACT), starts, ends), return_index=True, return_inverse=True)
-    raw = data.tobytes()
-    return first, number, [raw[i:j].decode() for i, j in zip(starts[where].tolist(), ends[where].tolist(), strict=True)]
+    n_links = np.bincount(of_part[row], minlength=len(parts))
+    return Parts(sound, n_a, n_b, n_groups, [";".join(both[i:j]) for i, j in zip(upto, upto[1:], strict=False)], n_links, a[row] * PAIR + b[column])
+
+
+def different_parts(batch: pa.RecordBatch, column: str, cut: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str], np.ndarray]:
+    """The number of each text's first part, each part's number among the different ones, and of these the hashes, the
+    texts, and whether they begin and end with visible characters."""
+    firsts, starts, ends, hashes, plain, at = [np.zeros(1, np.int64)], [], [], [], [], 0
+    for piece in A.slices(batch, column):
+        data, bounds = A.utf8(piece.column(column))
+        start, end, first = part_starts(data, bounds, cut)
+        firsts.append(first[1:] + firsts[-1][-1])
+        hashes.append(A.span_hash(A.prefix_hash(data, A.EXACT), start, end))
+        begins, ends_one = visible(data)
+        plain.append(begins[start] & ends_one[end - 1] & cut)
+        starts.append(start + at)
+        ends.append(end + at)
+        at += len(data)
+    join = lambda arrays, kind: np.concatenate(arrays) if arrays else np.zeros(0, kind)
+    every, where, number = np.unique(join(hashes, np.uint64), return_index=True, return_inverse=True)
+    raw, bounds = A.utf8(batch.column(column))[0].tobytes(), zip(join(starts, np.int64)[where].tolist(), join(ends, np.int64)[where].tolist(), strict=True)
+    return np.concatenate(firsts), number, every, [raw[i:j].decode() for i, j in bounds], join(plain, bool)[where]
+
+
+class Memory:
+    """What a task has aligned, by the parts' hashes."""
+
+    def __init__(self, encoders: Encoders) -> None:
+        self.encoders = encoders
+        self.forget()
+
+    def forget(self) -> None:
+        self.hashes = np.zeros(0, np.uint64)
+        self.place = np.zeros(0, np.int64)
+        zero = np.zeros(0, np.int64)
+        self.known = Parts(np.zeros(0, bool), zero, zero, zero, [], zero, zero)
+
+    def look_up(self, hashes: np.ndarray, parts: list[str], plain: np.ndarray) -> tuple[np.ndarray, Parts]:
+        """Where each part stands among the known ones."""
+        if len(self.hashes) + len(hashes) > MEMORY:
+            self.forget()
+        new = np.flatnonzero(~np.isin(hashes, self.hashes, assume_unique=True))
+        new = new[np.argsort(~plain[new], kind="stable")]  # those that can be strung together side by side
+        found = [self.known]
+        for i in range(0, len(new), STEP):
+            own = new[i : i + STEP]
+            found.append(align_parts(self.encoders, [parts[k] for k in own.tolist()], plain[own]))
+        if len(new):
+            self.known = Parts(*[[y for x in column for y in x] if isinstance(column[0], list) else np.concatenate(column) for column in zip(*found, strict=True)])
+            self.place = np.concatenate([self.place, len(self.place) + np.arange(len(new))])
+            self.hashes = np.concatenate([self.hashes, hashes[new]])
+            order = np.argsort(self.hashes)
+            self.hashes, self.place = self.hashes[order], self.place[order]
+        return self.place[np.searchsorted(self.hashes, hashes)], self.known
 
 
 _DOC = "block long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, links binary, times binary"
 _BLOCK = f"{_DOC}, pairs array<long>, counts array<long>"
 
 
-def _block_rows(encoders: Encoders, block: int, batch: pa.RecordBatch) -> dict:
+def _block_rows(memory: Memory, block: int, batch: pa.RecordBatch) -> dict:
     """A row per text and one for the block with its pairs and their counts."""
-    first, number, parts = different_parts(batch, "text", encoders.cuts)
-    known = align_parts(encoders, parts)
+    first, number, *found = different_parts(batch, "text", memory.encoders.cuts)
+    place, known = memory.look_up(*found)
     n = batch.num_rows
     of_text = np.repeat(np.arange(n), np.diff(first))
-    unsound = np.bincount(of_text, ~known.sound[number], n) > 0
-    sound = (np.diff(first) > 0) & ~unsound
-    total = lambda per_part: np.where(sound, np.bincount(of_text, per_part[number], n), 0).astype(np.int64)
-    picked = sound[of_text]
-    held = from_entries(of_text[picked], number[picked], np.ones(int(picked.sum()), np.int64), n, len(parts))
-    links = product(held, known.links)
+    at = place[number]
+    sound = (np.diff(first) > 0) & (np.bincount(of_text, ~known.sound[at], n) == 0)
+    total = lambda per_part: np.where(sound, np.bincount(of_text, per_part[at], n), 0).astype(np.int64)
+    # Texts by parts times parts by pairs of ids: the pairs that each sound text links.
+    n_links = known.n_links[place]
+    picked = runs((np.cumsum(known.n_links) - known.n_links)[place], n_links)
+    pairs, pair = np.unique(known.links[picked], return_inverse=True)
+    linked = from_entries(np.repeat(np.arange(len(place)), n_links), pair, np.ones(len(pair), np.int64), len(place), len(pairs))
+    own = sound[of_text]
+    held = from_entries(of_text[own], number[own], np.ones(int(own.sum()), np.int64), n, len(place))
+    links = product(held, linked)
     digests = []
     for ok, i, j in zip(sound.tolist(), first[:-1].tolist(), first[1:].tolist(), strict=True):
-        spelt = ";".join([known.groups[k] for k in number[i:j].tolist()]) if ok else ""
-        digests.append(hashlib.sha256(spelt.encode()).hexdigest() if ok else "")
+        digests.append(hashlib.sha256(";".join([known.groups[k] for k in at[i:j].tolist()]).encode()).hexdigest() if ok else "")
     cuts = list(zip(links.start[:-1].tolist(), links.start[1:].tolist(), strict=True))
-    counts = np.bincount(links.column, links.value, len(known.pairs)).astype(np.int64)
+    counts = np.bincount(links.column, links.value, len(pairs)).astype(np.int64)
     seen = counts > 0  # pairs of texts that turned out unsound count nowhere
-    place = np.cumsum(seen) - 1
-    zeros = [0]
+    column = (np.cumsum(seen) - 1)[links.column]
+    row = lambda per_text: [*per_text.tolist(), 0]
     return {
         "block": [block] * (n + 1), "doc_id": [*batch.column("doc_id").to_pylist(), None],
-        "n_a": [*total(known.n_a).tolist(), 0], "n_b": [*total(known.n_b).tolist(), 0], "n_groups": [*total(known.n_groups).tolist(), 0],
-        "n_links": np.bincount(links.row, links.value, n).astype(np.int64).tolist() + zeros, "groups_sha256": [*digests, ""],
-        "links": [A.pack(place[links.column[i:j]]) for i, j in cuts] + [b""], "times": [A.pack(links.value[i:j]) for i, j in cuts] + [b""],
-        "pairs": [None] * n + [known.pairs[seen]], "counts": [None] * n + [counts[seen]],
+        "n_a": row(total(known.n_a)), "n_b": row(total(known.n_b)), "n_groups": row(total(known.n_groups)),
+        "n_links": row(total(known.n_links)), "groups_sha256": [*digests, ""],
+        "links": [A.pack(column[i:j]) for i, j in cuts] + [b""], "times": [A.pack(links.value[i:j]) for i, j in cuts] + [b""],
+        "pairs": [None] * n + [pairs[seen]], "counts": [None] * n + [counts[seen]],
     }
 
 
@@ -295,13 +394,13 @@ def align_documents(docs: DataFrame, vocabularies: Vocabularies, id_col: str = "
     sent = spark.sparkContext.broadcast(vocabularies)  # two vocabulary files, 3 MB
 
     def make() -> Callable[[pa.RecordBatch], Iterator[dict]]:
-        encoders = Encoders(sent.value)
+        memory = Memory(Encoders(sent.value))
         numbers = iter(range(1 << 31))
         task = TaskContext.get().partitionId() << 31
 
         def step(batch: pa.RecordBatch) -> Iterator[dict]:
             for piece in A.slices(batch, "text", BLOCK_BYTES):
-                yield _block_rows(encoders, task + next(numbers), piece)
+                yield _block_rows(memory, task + next(numbers), piece)
 
         return step
 
@@ -334,16 +433,16 @@ def token_links(docs: DataFrame, vocabularies: Vocabularies, kind: str = "overla
 
         def step(batch: pa.RecordBatch) -> Iterator[dict]:
             for piece in A.slices(batch, "text"):
-                first, number, parts = different_parts(piece, "text", encoders.cuts)
-                coded = list(encoders.encode(parts))
+                first, number, _, parts, plain = different_parts(piece, "text", encoders.cuts)
+                sound, n_a, n_b, a, b = encoders.encode(parts, plain)
+                begin_a, begin_b = np.cumsum(n_a) - n_a, np.cumsum(n_b) - n_b
                 rows: dict[str, list] = {f.name: [] for f in arrow_schema(schema)}
                 rows["doc_id"] = piece.column("doc_id").to_pylist()
                 for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-                    own = [coded[k] for k in number[i:j].tolist()]
-                    own = own if all(c[4] for c in own) else []
-                    join = lambda k, own=own: np.concatenate([np.asarray(c[k], np.int64) for c in own] or [np.zeros(0, np.int64)])
-                    links = LINKS[kind](np.cumsum(join(2)), np.cumsum(join(3)))
-                    for name, values in (("a", join(0)), ("b", join(1)), ("a_place", links.row), ("b_place", links.column), ("weight", links.value)):
+                    own = number[i:j] if sound[number[i:j]].all() else number[:0]
+                    own_a, own_b = a[runs(begin_a[own], n_a[own])], b[runs(begin_b[own], n_b[own])]
+                    links = LINKS[kind](np.cumsum(encoders.length_a[own_a]), np.cumsum(encoders.length_b[own_b]))
+                    for name, values in (("a", own_a), ("b", own_b), ("a_place", links.row), ("b_place", links.column), ("weight", links.value)):
                         rows[name].append(values.astype(np.int32))
                 yield rows
 

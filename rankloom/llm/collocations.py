@@ -34,7 +34,7 @@ from rankloom.llm.common import arrow_schema, map_batches
 from rankloom.session import work_path
 
 #: Words of a block.
-BLOCK_WORDS = 1_000_000
+BLOCK_WORDS = 1 << 19
 #: N-gram occurrences that a partition of the hash space should hold at most, and bits of a key within it.
 PART_MASS, PART_BITS = 1 << 25, 28
 #: Counters of a summary, as a multiple of mass / threshold.
@@ -90,10 +90,15 @@ class _Block:
         self.n_words += len(hashes)
 
     def row(self, block: int, longest: int) -> dict:
-        ids, lengths, lang_of = np.concatenate(self.ids), np.concatenate(self.lengths), np.array(self.lang_of, np.int64)
+        ids, lengths = np.concatenate(self.ids), np.concatenate(self.lengths)
+        # Frequent words get small numbers, which pack well.
+        order = np.argsort(-np.bincount(ids, minlength=len(self.texts)), kind="stable")
+        number = np.empty_like(order)
+        number[order] = np.arange(len(order))
+        ids, lang_of = number[ids], np.array(self.lang_of, np.int64)[order]
         return {
             "block": [block], "n_words": [len(ids)], "mass": [mass_of(lengths, longest)], "langs": [list(self.langs)],
-            "texts": [b"\n".join(self.texts)], "hashes": [np.array(self.hashes, np.uint64).tobytes()], "lang_of": [A.pack(lang_of)],
+            "texts": [b"\n".join([self.texts[i] for i in order.tolist()])], "hashes": [np.array(self.hashes, np.uint64)[order].tobytes()], "lang_of": [A.pack(lang_of)],
             "ids": [A.pack(ids)], "lengths": [A.pack(lengths)], "lang_words": [np.bincount(lang_of[ids], minlength=len(self.langs)).tolist()],
         }
 
@@ -218,7 +223,7 @@ def block_keys(blocks: DataFrame, longest: int, bits: int, min_count: int) -> Da
                 words = Words(row)
                 keys = np.concatenate([h >> _U(64 - bits) for _, _, h in words.grams(longest)])
                 keys.sort()
-                first = np.flatnonzero(np.diff(keys, prepend=keys[:1] ^ _U(1)))
+                first = np.append(0, np.flatnonzero(keys[1:] != keys[:-1]) + 1)
                 counts = np.diff(np.append(first, len(keys))).clip(max=min_count)
                 keys = keys[first]
                 present, begin = np.unique(keys >> _U(PART_BITS), return_index=True)

@@ -108,11 +108,25 @@ def encoded_whole(encoders, text):
     """Both tokenizers over the whole text: ids and byte ends; nothing if they do not spell it."""
     if not text:
         return None
-    (a, b, la, lb, sound), = encoders.encode([text])
-    return (a, b, np.cumsum(la).tolist(), np.cumsum(lb).tolist()) if sound else None
+    coded = encoders.spell(text)
+    return coded and (coded[0].tolist(), coded[1].tolist(), np.cumsum(encoders.length_a[coded[0]]).tolist(), np.cumsum(encoders.length_b[coded[1]]).tolist())
 
 
-def test_alignment_equals_brute_force(spark, sf, monkeypatch):
+def test_small_memory_and_strings_change_nothing(monkeypatch):
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(TEXTS))), "text": pa.array(TEXTS, pa.string())})
+    encoders, found = T.Encoders(vocabularies()), []
+    for memory, string, span in ((300_000, 1 << 16, 1 << 17), (3, 5, 7), (50, 1, 1)):
+        for name, value in zip(("MEMORY", "STRING", "SPAN"), (memory, string, span), strict=True):
+            monkeypatch.setattr(T, name, value)
+        kept = T.Memory(encoders)
+        for _ in range(2):
+            found.append({k: [x.tolist() if isinstance(x, np.ndarray) else x for x in v] for k, v in T._block_rows(kept, 1, batch).items()})
+    assert all(f == found[0] for f in found)
+
+
+def test_alignment_equals_brute_force(spark, sf):
     rows = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").limit(60).collect()] + TEXTS + TEXTS[:3]
     encoders = T.Encoders(vocabularies())
     assert encoders.cuts
