@@ -25,6 +25,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,7 +37,7 @@ from rankloom.session import work_path
 #: Words of a block.
 BLOCK_WORDS = 1 << 19
 #: N-gram occurrences that a partition of the hash space should hold at most, and bits of a key within it.
-PART_MASS, PART_BITS = 1 << 25, 28
+PART_MASS, PART_BITS = 1 << 23, 26
 #: Counters of a summary, as a multiple of mass / threshold.
 SLACK = 8
 _U = np.uint64
@@ -48,7 +49,7 @@ _SEPARATES[[0x20, 0x09]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
-_BLOCK = "block long, n_words long, mass long, langs array<string>, texts binary, hashes binary, lang_of binary, ids binary, lengths binary, lang_words array<long>"
+_BLOCK = "block long, n_words long, mass long, langs array<string>, texts binary, lang_of binary, ids binary, lengths binary, lang_words array<long>"
 _PIECE = "part long, block long, wide boolean, ones binary, more binary, counts binary"
 _ANSWER = "part long, block long, keys binary, taken long"
 
@@ -65,7 +66,6 @@ class _Block:
         self.langs: dict[str, int] = {}
         self.table: dict[int, int] = {}
         self.texts: list[bytes] = []
-        self.hashes: list[int] = []
         self.lang_of: list[int] = []
         self.ids: list[np.ndarray] = []
         self.lengths: list[np.ndarray] = []
@@ -82,7 +82,6 @@ class _Block:
             if key not in self.table:
                 self.table[key] = len(self.table)
                 self.texts.append(word(at))
-                self.hashes.append(key[1])
                 self.lang_of.append(code)
             own[k] = self.table[key]
         self.ids.append(own[number])
@@ -98,7 +97,7 @@ class _Block:
         ids, lang_of = number[ids], np.array(self.lang_of, np.int64)[order]
         return {
             "block": [block], "n_words": [len(ids)], "mass": [mass_of(lengths, longest)], "langs": [list(self.langs)],
-            "texts": [b"\n".join([self.texts[i] for i in order.tolist()])], "hashes": [np.array(self.hashes, np.uint64)[order].tobytes()], "lang_of": [A.pack(lang_of)],
+            "texts": [zstandard.compress(b"\n".join([self.texts[i] for i in order.tolist()]))], "lang_of": [A.pack(lang_of)],
             "ids": [A.pack(ids)], "lengths": [A.pack(lengths)], "lang_words": [np.bincount(lang_of[ids], minlength=len(self.langs)).tolist()],
         }
 
@@ -148,10 +147,14 @@ class Words:
     """A block read back."""
 
     def __init__(self, row: dict) -> None:
-        self.block, self.langs, self.texts = row["block"], row["langs"], row["texts"].split(b"\n")
+        joined = zstandard.decompress(row["texts"])
+        self.block, self.langs, self.texts = row["block"], row["langs"], joined.split(b"\n")
         self.lang_of, self.ids, lengths = (A.unpack(row[c]).astype(np.int64) for c in ("lang_of", "ids", "lengths"))
         salt = np.array([_hash64(x) for x in self.langs], np.uint64)
-        self.hash = A.mix(np.frombuffer(row["hashes"], np.uint64) ^ salt[self.lang_of])[self.ids]
+        data = np.frombuffer(joined, np.uint8)
+        ends = np.append(np.flatnonzero(data == 0x0A), len(data))
+        hashes = A.span_hash(A.prefix_hash(data, A.FOLDED), np.append(0, ends[:-1] + 1), ends)
+        self.hash = A.mix(hashes ^ salt[self.lang_of])[self.ids]
         #: Words from each one to the end of its piece, itself included.
         self.left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(self.ids))
 
@@ -219,8 +222,8 @@ def block_keys(blocks: DataFrame, longest: int, bits: int, min_count: int) -> Da
 
     def make() -> Callable[[pa.RecordBatch], Iterator[dict]]:
         def step(batch: pa.RecordBatch) -> Iterator[dict]:
-            for row in batch.to_pylist():
-                words = Words(row)
+            for i in range(batch.num_rows):
+                words = Words(batch.slice(i, 1).to_pylist()[0])
                 keys = np.concatenate([h >> _U(64 - bits) for _, _, h in words.grams(longest)])
                 keys.sort()
                 first = np.append(0, np.flatnonzero(keys[1:] != keys[:-1]) + 1)
