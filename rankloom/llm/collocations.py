@@ -8,7 +8,8 @@ Finding the frequent n-grams takes two passes over blocks of texts held as packe
   key whose counter plus what was taken off stays below the threshold is infrequent for sure. Keys that reach the
   threshold within one block are set aside as frequent. So every n-gram that occurs often enough survives; a partition
   answers each block with the surviving keys among those that the block sent.
-* Second pass: blocks count the n-grams behind surviving keys exactly, by their words; Spark adds the counts up.
+* Second pass: blocks count the n-grams behind surviving keys exactly, by their words, and send each partition one row
+  of phrases and counts per language; a partition adds them up, about a million phrases at a time.
 
 A very common n-gram is one counter per block. What is sent is two to six bytes per different n-gram of a block.
 
@@ -22,9 +23,11 @@ between two punctuation marks is held as a whole.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
@@ -304,10 +307,19 @@ def surviving_keys(sent: DataFrame, min_count: int) -> DataFrame:
     return sent.repartition("part").sortWithinPartitions("part", "block").mapInArrow(run, _ANSWER)
 
 
-def count_block(words: Words, keys: np.ndarray, longest: int, bits: int) -> Iterator[tuple[str, str, int, int]]:
-    """(language, phrase, words, count) of the block's n-grams whose key survived, counted by their words.
+class Counted(NamedTuple):
+    """A block's surviving n-grams: number of the language, partition, phrase and count of each."""
 
-    An n-gram goes on from one of n - 1 words that survived, as a frequent one does.
+    lang: np.ndarray
+    part: np.ndarray
+    phrases: list[bytes]
+    counts: np.ndarray
+
+
+def count_block(words: Words, keys: np.ndarray, longest: int, bits: int) -> Iterator[Counted]:
+    """For n = 1, 2, ...: the block's n-grams whose key survived, counted by their words.
+
+    An n-gram goes on from two of n - 1 words that survived, as a frequent one does.
     """
     number = np.full(len(words.ids) + 1, -1)  # of the (n-1)-gram that begins at a word
     spelt: list[bytes] = []
@@ -318,37 +330,91 @@ def count_block(words: Words, keys: np.ndarray, longest: int, bits: int) -> Iter
         key = h >> _U(64 - bits)
         place = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
         hit = keys[place] == key if len(keys) else np.zeros(len(key), bool)
-        at = at[hit]
+        at, key = at[hit], key[hit]
         whole = words.ids[at] if n == 1 else number[at] * len(words.texts) + words.ids[at + n - 1]
         _, first, of, counts = np.unique(whole, return_index=True, return_inverse=True, return_counts=True)
         before = spelt
-        if n == 1:
-            spelt = [words.texts[i] for i in words.ids[at[first]].tolist()]
-        else:
-            spelt = [before[i] + b" " + words.texts[j] for i, j in zip(number[at[first]].tolist(), words.ids[at[first] + n - 1].tolist(), strict=True)]
-        langs = words.lang_of[words.ids[at[first]]].tolist()
-        for phrase, lang, count in zip(spelt, langs, counts.tolist(), strict=True):
-            yield words.langs[lang], phrase.decode(), n, count
+        last = [words.texts[i] for i in words.ids[at[first] + n - 1].tolist()]
+        spelt = last if n == 1 else [before[i] + b" " + w for i, w in zip(number[at[first]].tolist(), last, strict=True)]
+        yield Counted(words.lang_of[words.ids[at[first]]], (key[first] >> _U(PART_BITS)).astype(np.int64), spelt, counts)
         number = np.full(len(words.ids) + 1, -1)
         number[at] = of
 
 
+_COUNTED = "part long, lang string, phrases array<string>, counts array<long>"
+_SUMMED = "lang string, phrase string, f long"
+#: Phrases that wait to be added up.
+WAITING = 1 << 20
+
+
+def packed_counts(words: Words, keys: np.ndarray, longest: int, bits: int) -> Iterator[dict]:
+    """A row per language and partition with all of the block's phrases there."""
+    orders = list(count_block(words, keys, longest, bits))
+    lang, part, counts = (np.concatenate([getattr(o, f) for o in orders]) for f in ("lang", "part", "counts"))
+    phrases = [p for o in orders for p in o.phrases]
+    order = np.lexsort((part, lang))
+    if not len(order):
+        return
+    cell = np.stack([lang[order], part[order]])
+    begin = np.flatnonzero(np.append(True, (cell[:, 1:] != cell[:, :-1]).any(0)))
+    for i, j in zip(begin.tolist(), [*begin[1:].tolist(), len(order)], strict=True):
+        own = order[i:j]
+        yield {"part": int(part[own[0]]), "lang": words.langs[lang[own[0]]], "phrases": [phrases[k].decode() for k in own.tolist()], "counts": counts[own]}
+
+
+def add_phrases(rows: DataFrame, min_count: int) -> DataFrame:
+    """(lang, phrase, f): the counts of each partition's phrases added up, those of ``min_count`` at least."""
+    out = arrow_schema(_SUMMED)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, waiting, size = None, [], 0
+
+        def added() -> pa.Table:
+            total = pa.concat_tables(waiting).group_by(["lang", "phrase"]).aggregate([("f", "sum")])
+            return total.select(["lang", "phrase", "f_sum"]).rename_columns(["lang", "phrase", "f"])
+
+        def finished() -> list[pa.RecordBatch]:
+            total = added()
+            return total.filter(pc.greater_equal(total["f"], min_count)).cast(out).to_batches(1 << 16)
+
+        for batch in batches:
+            parts = batch.column("part").to_numpy()
+            if not len(parts):
+                continue
+            begin = np.flatnonzero(np.append(True, parts[1:] != parts[:-1]))
+            for i, j in zip(begin.tolist(), [*begin[1:].tolist(), len(parts)], strict=True):
+                if part != parts[i] and waiting:
+                    yield from finished()
+                    waiting, size = [], 0
+                part, own = parts[i], batch.slice(i, j - i)
+                phrases = own.column("phrases")
+                lang = own.column("lang").take(pc.list_parent_indices(phrases))
+                waiting.append(pa.table([lang, phrases.flatten(), own.column("counts").flatten()], ["lang", "phrase", "f"]))
+                size += len(lang)
+                if size >= WAITING:
+                    waiting = [added()]
+                    size = 0
+        if waiting:
+            yield from finished()
+
+    return rows.repartition("part").sortWithinPartitions("part").mapInArrow(run, _SUMMED)
+
+
 def exact_counts(blocks: DataFrame, answers: DataFrame, longest: int, bits: int, min_count: int) -> DataFrame:
     """(lang, phrase, n_words, f): all phrases of up to ``longest`` words that occur ``min_count`` times, counted exactly."""
-    schema = "lang string, phrase string, n_words int, f long"
-    out = arrow_schema(schema)
+    schema = arrow_schema(_COUNTED)
 
     def count(block: pa.Table, answered: pa.Table) -> pa.Table:
         rows = sorted(zip(answered["part"].to_pylist(), answered["keys"].to_pylist(), strict=True))
         # A partition's keys come as steps from one to the next.
         keys = [np.cumsum(A.unpack(k), dtype=np.uint64) + (_U(p) << _U(PART_BITS)) for p, k in rows]
-        found = [x for row in block.to_pylist() for x in count_block(Words(row), np.concatenate([np.zeros(0, np.uint64), *keys]), longest, bits)]
-        columns = zip(*found, strict=True) if found else [[]] * 4
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out, strict=True)], schema=out)
+        keys = np.concatenate([np.zeros(0, np.uint64), *keys])
+        return pa.Table.from_pylist([x for row in block.to_pylist() for x in packed_counts(Words(row), keys, longest, bits)], schema=schema)
 
     asked = answers.select(F.col("block").alias("of_block"), "part", "keys")
-    counted = blocks.groupBy("block").cogroup(asked.groupBy("of_block")).applyInArrow(count, schema)
-    return counted.groupBy("lang", "phrase").agg(F.first("n_words").alias("n_words"), F.sum("f").alias("f")).where(F.col("f") >= min_count)
+    counted = blocks.groupBy("block").cogroup(asked.groupBy("of_block")).applyInArrow(count, _COUNTED)
+    n_words = F.size(F.split("phrase", " "))
+    return add_phrases(counted, min_count).select("lang", "phrase", n_words.alias("n_words"), "f")
 
 
 def frequent_phrases(

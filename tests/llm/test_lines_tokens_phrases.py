@@ -208,7 +208,8 @@ def phrases_by_hand(rows, min_count, longest, top, inside):
 
 
 @pytest.mark.parametrize(("min_count", "block_words", "inside"), [(3, 40, 100), (5, 1, 80), (4, 100_000, 100), (300, 500, 100)])
-def test_collocations_equal_brute_force(spark, min_count, block_words, inside):
+def test_collocations_equal_brute_force(spark, min_count, block_words, inside, monkeypatch):
+    monkeypatch.setattr(C, "PART_MASS", 1000)  # in the driver: several partitions
     rng = random.Random(min_count)
     words = ["New", "york", "City", "der", "the", "of", "Ähre", "a", "b", "cc"]
     text = lambda: "".join(rng.choice(words) + rng.choice(["  ", " ", " ", "\t", ". ", "\n", ",", " new york city "]) for _ in range(rng.randrange(40)))
