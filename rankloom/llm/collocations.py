@@ -341,7 +341,7 @@ def count_block(words: Words, keys: np.ndarray, longest: int, bits: int) -> Iter
         number[at] = of
 
 
-_COUNTED = "part long, lang string, phrases array<string>, counts array<long>"
+_COUNTED = "part long, lang string, phrases binary, counts binary"
 _SUMMED = "lang string, phrase string, f long"
 #: Phrases that wait to be added up.
 WAITING = 1 << 20
@@ -352,14 +352,16 @@ def packed_counts(words: Words, keys: np.ndarray, longest: int, bits: int) -> It
     orders = list(count_block(words, keys, longest, bits))
     lang, part, counts = (np.concatenate([getattr(o, f) for o in orders]) for f in ("lang", "part", "counts"))
     phrases = [p for o in orders for p in o.phrases]
-    order = np.lexsort((part, lang))
-    if not len(order):
+    by_text = np.array(sorted(range(len(phrases)), key=phrases.__getitem__), np.int64)
+    if not len(by_text):
         return
+    # Phrases in order within their row: most begin like the one before, which packs well.
+    order = by_text[np.lexsort((part[by_text], lang[by_text]))]
     cell = np.stack([lang[order], part[order]])
     begin = np.flatnonzero(np.append(True, (cell[:, 1:] != cell[:, :-1]).any(0)))
     for i, j in zip(begin.tolist(), [*begin[1:].tolist(), len(order)], strict=True):
         own = order[i:j]
-        yield {"part": int(part[own[0]]), "lang": words.langs[lang[own[0]]], "phrases": [phrases[k].decode() for k in own.tolist()], "counts": counts[own]}
+        yield {"part": int(part[own[0]]), "lang": words.langs[lang[own[0]]], "phrases": zstandard.compress(b"\n".join([phrases[k] for k in own.tolist()])), "counts": A.pack(counts[own])}
 
 
 def add_phrases(rows: DataFrame, min_count: int) -> DataFrame:
@@ -387,10 +389,11 @@ def add_phrases(rows: DataFrame, min_count: int) -> DataFrame:
                     yield from finished()
                     waiting, size = [], 0
                 part, own = parts[i], batch.slice(i, j - i)
-                phrases = own.column("phrases")
-                lang = own.column("lang").take(pc.list_parent_indices(phrases))
-                waiting.append(pa.table([lang, phrases.flatten(), own.column("counts").flatten()], ["lang", "phrase", "f"]))
-                size += len(lang)
+                for lang, phrases, counts in zip(*(own.column(c).to_pylist() for c in ("lang", "phrases", "counts")), strict=True):
+                    phrases = pa.array(zstandard.decompress(phrases).split(b"\n"), pa.binary()).cast(pa.string())
+                    counts = pa.array(A.unpack(counts).astype(np.int64))
+                    waiting.append(pa.table([pa.array([lang] * len(phrases), pa.string()), phrases, counts], ["lang", "phrase", "f"]))
+                    size += len(phrases)
                 if size >= WAITING:
                     waiting = [added()]
                     size = 0
