@@ -334,6 +334,84 @@ def f3_plain_requests(spark, sf):
     return recommend.recommend_by_requests(_directory(spark, sf), requests, _cities(spark, sf)).select("request_id", "id", "rank")
 
 
+def keyed_lloyd_cte(rounds: int) -> str:
+    """k-means rounds of every request's pool, over the distinct feature rows of ``pool``; ends in centres and assignments."""
+    out = ["""
+st AS (SELECT request_id, AVG(experience) AS me, stddev_pop(experience) AS se, AVG(spec_count) AS ms, stddev_pop(spec_count) AS ss FROM pool GROUP BY request_id),
+z AS (SELECT request_id, experience, spec_count, COUNT(*) AS n, ANY_VALUE((experience - me) / CASE WHEN se = 0 THEN 1 ELSE se END) AS zx,
+    ANY_VALUE((spec_count - ms) / CASE WHEN ss = 0 THEN 1 ELSE ss END) AS zy
+  FROM pool JOIN st USING (request_id) GROUP BY request_id, experience, spec_count),
+m0 AS (SELECT request_id, j AS c, x0 + (j + 0.5) / 3 * (x1 - x0) AS cx, y0 + (j + 0.5) / 3 * (y1 - y0) AS cy
+  FROM (SELECT UNNEST(range(0, 3)) AS j), (SELECT request_id, MIN(zx) AS x0, MAX(zx) AS x1, MIN(zy) AS y0, MAX(zy) AS y1 FROM z GROUP BY request_id))"""]
+    for i in range(rounds + 1):
+        out.append(f"""
+a{i} AS MATERIALIZED (SELECT request_id, experience, spec_count, ANY_VALUE(n) AS n, ANY_VALUE(zx) AS zx, ANY_VALUE(zy) AS zy,
+    arg_min(c, (ROUND((zx - cx) * (zx - cx) + (zy - cy) * (zy - cy), 9), c)) AS c FROM z JOIN m{i} USING (request_id) GROUP BY request_id, experience, spec_count)""")
+        if i < rounds:
+            out.append(f"""
+m{i + 1} AS (SELECT request_id, row_number() OVER (PARTITION BY request_id ORDER BY {'ROUND(cx, 9) + 0, ROUND(cy, 9) + 0, cx, cy' if i == rounds - 1 else 'c'}) - 1 AS c, cx, cy FROM (
+  SELECT m{i}.request_id, m{i}.c, COALESCE(SUM(zx * n) / SUM(n), ANY_VALUE(m{i}.cx)) AS cx, COALESCE(SUM(zy * n) / SUM(n), ANY_VALUE(m{i}.cy)) AS cy
+  FROM m{i} LEFT JOIN a{i} USING (request_id, c) GROUP BY m{i}.request_id, m{i}.c))""")
+    return ",".join(out)
+
+
+@query("f3_hybrid_requests", oracle(["directory"], """
+SELECT request_id, id, cluster, ROUND(score, 6) AS score, rank FROM (
+  SELECT request_id, id, c AS cluster, score, ROW_NUMBER() OVER (PARTITION BY request_id ORDER BY c, score DESC, id) AS rank FROM (
+    SELECT request_id, id, c, ROUND(list_cosine_similarity(a.v, b.v) + experience / 50.0::DOUBLE + spec_count / 10.0::DOUBLE, 9) AS score
+    FROM pool JOIN a3 USING (request_id, experience, spec_count) JOIN vecs a ON a.vec_id = asked_vec
+      JOIN vecs b ON b.vec_id = id % (SELECT COUNT(*) FROM embeddings)))
+WHERE rank <= 5""", DIRECTORY_CTE + "," + _listed_sql() + """,
+pool AS MATERIALIZED (SELECT request_id, asked.vec_id AS asked_vec, id, experience_years AS experience, len(specs) AS spec_count FROM prepared, asked
+  WHERE CASE WHEN eq IS NOT NULL THEN experience_years = eq ELSE COALESCE(experience_years >= lo, TRUE) AND COALESCE(experience_years <= hi, TRUE) END
+    AND (len(inc) = 0 OR list_contains(inc, city)) AND NOT list_contains(exc, city)
+    AND (len(want) = 0 OR len(list_filter(want, lambda t: contains(LOWER(specialization), t))) > 0)
+    AND len(list_filter(avoid, lambda t: contains(LOWER(specialization), t))) = 0),""" + keyed_lloyd_cte(3)))
+def f3_hybrid_requests(spark, sf):
+    """Every request of a table through the clustered query form: its own pool, its own clusters, one plan for all."""
+    found = recommend.recommend_hybrid_requests(_directory(spark, sf), _listed_requests(spark, sf, _LISTED_REQUESTS), _cities(spark, sf))
+    return found.select("request_id", "id", "cluster", r6("score"), "rank")
+
+
+# Requests of the bounds form: years, a place, specialties and wishes by the number of the request.
+_PREFERENCE_REQUESTS = """
+SELECT p_partkey AS request_id, p_partkey % (SELECT COUNT(*) FROM {embeddings}) AS vec_id,
+  CONCAT(CASE p_partkey % 4 WHEN 0 THEN 'more than ' WHEN 1 THEN 'less than ' WHEN 2 THEN 'at least ' ELSE 'about ' END, CAST(p_size % 31 AS STRING), ' years',
+    CASE p_partkey % 3 WHEN 0 THEN ', located in asia' WHEN 1 THEN ', located in america' ELSE '' END,
+    CASE p_partkey % 5 WHEN 0 THEN ', handling economy law' WHEN 1 THEN ', avoid promo law' WHEN 2 THEN ', handling large law, avoid medium law' ELSE '' END) AS text
+FROM {part}
+"""
+
+
+def _listed_requests(spark: SparkSession, sf: str, text: str) -> DataFrame:
+    asked = spark.sql(text, embeddings=table(spark, sf, "embeddings"), part=table(spark, sf, "part"))
+    return asked.join(table(spark, sf, "embeddings").select("vec_id", "embedding"), "vec_id")
+
+
+@query("f3_preferences_requests", oracle(["directory"], """
+SELECT request_id, id, cluster, ROUND(score, 6) AS score, rank FROM (
+  SELECT request_id, id, c AS cluster, score, ROW_NUMBER() OVER (PARTITION BY request_id ORDER BY c, score DESC, id) AS rank FROM (
+    SELECT request_id, id, c, ROUND(list_cosine_similarity(a.v, b.v) + bonus + (experience + spec_count) / 10.0::DOUBLE, 9) AS score
+    FROM pool JOIN a3 USING (request_id, experience, spec_count) JOIN vecs a ON a.vec_id = asked_vec
+      JOIN vecs b ON b.vec_id = id % (SELECT COUNT(*) FROM embeddings)))
+WHERE rank <= 3""", DIRECTORY_CTE + "," + """
+asked AS (SELECT p_partkey AS request_id, p_partkey % (SELECT COUNT(*) FROM embeddings) AS vec_id,
+  CASE WHEN p_partkey % 4 IN (0, 2) THEN CAST(p_size % 31 AS BIGINT) + 1 END AS lo, CASE p_partkey % 4 WHEN 1 THEN CAST(p_size % 31 AS BIGINT) - 1 END AS hi,
+  CASE p_partkey % 3 WHEN 0 THEN 'asia' WHEN 1 THEN 'america' END AS spot,
+  CASE p_partkey % 5 WHEN 0 THEN 'economy law' WHEN 2 THEN 'large law' END AS required,
+  CASE p_partkey % 5 WHEN 1 THEN 'promo' WHEN 2 THEN 'medium' END AS bad FROM part),
+vecs AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+pool AS MATERIALIZED (SELECT request_id, asked.vec_id AS asked_vec, id, experience_years AS experience, len(specs) AS spec_count,
+    (CASE WHEN contains(LOWER(specialization), required) THEN 0.2 ELSE 0 END - CASE WHEN contains(LOWER(location), bad) THEN 0.2 ELSE 0 END
+      - CASE WHEN contains(LOWER(specialization), bad || ' law') THEN 0.2 ELSE 0 END)::DOUBLE AS bonus
+  FROM prepared, asked WHERE COALESCE(experience_years >= lo, TRUE) AND COALESCE(experience_years <= hi, TRUE)
+    AND (spot IS NULL OR contains(LOWER(location), spot))),""" + keyed_lloyd_cte(3)))
+def f3_preferences_requests(spark, sf):
+    """Every request of a table through the bounds form."""
+    found = recommend.recommend_preferences_requests(_directory(spark, sf), _listed_requests(spark, sf, _PREFERENCE_REQUESTS))
+    return found.select("request_id", "id", "cluster", r6("score"), "rank")
+
+
 @query("h2_basket_cells", oracle(["baskets"], "SELECT basket_id, item, 1 AS present FROM baskets"))
 def h2_cells(spark, sf):
     """The basket matrix in long form, for any number of items."""

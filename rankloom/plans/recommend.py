@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from rankloom.functions import fixed
 from rankloom.functions.vectors import cosine
-from rankloom.operators import clean, cluster, filters, match, parse, portfolio, score, skyline
+from rankloom.operators import clean, cluster, filters, hybrid, match, parse, portfolio, score, skyline
 
 FEATURES = ["experience", "spec_count"]
 SCALED = ["z_experience", "z_spec_count"]
@@ -85,6 +85,17 @@ def recommend_by_requests(directory: DataFrame, requests: DataFrame, cities: Seq
     return match.top_k_listed(parse.parse_full(requests, cities=cities), directory, top_n)
 
 
+def recommend_hybrid_requests(directory: DataFrame, requests: DataFrame, cities: Sequence[str] = fixed.CITIES, top_n: int = 5) -> DataFrame:
+    """The clustered query form for a table ``requests(request_id, text, embedding)``: every request's pool is clustered
+    on its own, all of them in one plan. Gives (request_id, id, cluster, score, rank)."""
+    return hybrid.top_k_clustered(parse.parse_full(requests, cities=cities), clean.spec_score(directory), hybrid.QueryFilters, top_n)
+
+
+def recommend_preferences_requests(directory: DataFrame, requests: DataFrame, top_n: int = 3) -> DataFrame:
+    """The bounds form for a table ``requests(request_id, text, embedding)``, clustered like the query form."""
+    return hybrid.top_k_clustered(parse.parse_bounds(requests), clean.spec_score(directory), hybrid.PreferenceFilters, top_n)
+
+
 def recommend_by_preferences(directory: DataFrame, text: str, vector: Sequence[float], top_n: int = 3, method: str = "kmeans") -> DataFrame:
     """Bounds form: years and place filter, preferences move the similarity, score decides inside clusters."""
     spark = directory.sparkSession
