@@ -142,7 +142,8 @@ def with_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # The bucketizer puts missing ids after the last bucket; blocks count from the highest ids down.
     block = F.when(F.col("id").isNull(), F.lit(len(cuts) + 1)).otherwise(len(cuts) - F.col("bucket").cast("int"))
     placed = placed.select("id", "text", "h", block.alias("block"))
-    order = F.struct(F.col("id").isNull().alias("last"), (-F.col("id")).alias("down"), "h")
+    # The complement of an id falls as the id rises, for every whole number.
+    order = F.struct(F.col("id").isNull().alias("last"), F.bitwise_not("id").alias("down"), "h")
     # One row per block: which row comes first in it. The block before takes that row as its border.
     firsts = [r[0] for r in placed.groupBy("block").agg(F.min(order).alias("first")).orderBy("block").select(F.struct("block", "first.down", "first.h")).collect()]
     if not firsts:
@@ -154,7 +155,7 @@ def with_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # At most one row per block, so at most MAX_BLOCKS rows.
     border = (
         placed.withColumnRenamed("block", "of").join(F.broadcast(into), "of")
-        .where(F.col("h").eqNullSafe(F.col("first_h")) & (-F.col("id")).eqNullSafe(F.col("down")))
+        .where(F.col("h").eqNullSafe(F.col("first_h")) & F.bitwise_not("id").eqNullSafe(F.col("down")))
         .select("block", F.lit(1).alias("place"), "id", "text", "h")
     )
     every = placed.select("block", F.lit(0).alias("place"), "id", "text", "h").unionByName(border)

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from rankloom.llm import arrays as A
 from rankloom.llm import chunks as C
 from rankloom.llm import decontaminate as D
 
@@ -41,12 +42,31 @@ def test_a_text_has_one_fingerprint_whatever_stands_beside_it():
     assert together == [C.as_text(next(C.fingerprints([t]))) for t in texts]
 
 
+def test_chunks_equal_a_byte_by_byte_chunker():
+    rng = random.Random(6)
+    for size in (0, 1, 11, 12, 13, 700, 5000):
+        text = bytes(rng.choice([rng.randrange(256), 32, 101]) for _ in range(size))
+        h, cuts, start = 0, [], 0
+        for b in bytes(32):
+            h = ((h << 1) + int(C._GEAR[b])) % 2**32
+        for i, b in enumerate(text, 1):
+            h = ((h << 1) + int(C._GEAR[b])) % 2**32
+            n = i - start
+            if n == C.MOST or i == size or (n >= C.NORMAL and h >> 28 == 0) or (C.LEAST <= n < C.NORMAL and h >> 26 == 0):
+                cuts.append((start, i))
+                start = i
+        digests = {int(A.span_hash(A.prefix_hash(np.frombuffer(text[a:b], np.uint8), A.EXACT), np.array([0]), np.array([b - a]))[0]): b - a for a, b in cuts}
+        found = next(C.fingerprints([text]))
+        assert dict(zip(found[0].tolist(), found[1].tolist(), strict=True)) == digests
+
+
 @pytest.mark.parametrize("rows", [0, 1, 60])
 def test_edits_equal_brute_force(spark, rows):
     rng = random.Random(rows)
     data = [(i * 7 if i % 9 else -i, prose(rng, rng.choice([0, 1, 30, 120]))) for i in range(rows)]
     if rows > 1:
         data += [(None, "no id é"), (5000, None), (5001, "日本語テキスト" * 4000), (5001, "日本語テキスト" * 4000)]
+        data += [(-(2**63), "the least id"), (2**63 - 1, "the greatest id")]
     df = spark.createDataFrame(data, DOCS).withColumn("block", F.lit("clash")).withColumn("h", F.lit(0))
     got = C.fingerprint_edits(df).collect()
     assert len(got) == len(data)
