@@ -14,7 +14,8 @@ tasks, whatever the sizes of its records, and bytes that look like a member's st
 
 Defined cases: null html is an empty payload, a null url a record without target, a null id a record without
 page id (response if no page with the same payload has an id, else a revisit); repeated rows of the smallest id
-are responses each; an empty table gives no archives and no rows. Further columns are not stored.
+are responses each, of one record id; a url with characters that a header line cannot hold is escaped there and kept in a
+header of its own; an empty table gives no archives and no rows. Further columns are not stored.
 """
 
 from __future__ import annotations
@@ -49,10 +50,22 @@ def payload_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def _record(archive: str, page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool) -> bytes:
+def response_id(page_id: int, payload: bytes) -> str:
+    """The record id of a page's response: any task can tell it, so revisits name a record that is there."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}/{payload_digest(payload)}')}>"
+
+
+def _target(header: str, url: str) -> dict[str, str]:
+    """The url as it is but for characters that a header line cannot hold, which are escaped."""
+    return {header: "".join(c if c.isprintable() and not c.isspace() else quote(c) for c in url)}
+
+
+def _record(
+    archive: str, page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, refers_url: str | None, revisit: bool
+) -> bytes:
     head = {
         "WARC-Type": "revisit" if revisit else "response",
-        "WARC-Record-ID": f"<urn:uuid:{uuid.uuid4()}>",
+        "WARC-Record-ID": f"<urn:uuid:{uuid.uuid4()}>" if revisit or page_id is None else response_id(page_id, payload),
         "WARC-Warcinfo-ID": f"<urn:uuid:{archive}>",
         "WARC-Date": "2024-01-01T00:00:00Z",
         "WARC-Payload-Digest": f"sha1:{payload_digest(payload)}",
@@ -61,11 +74,15 @@ def _record(archive: str, page_id: int | None, url: str | None, payload: bytes,
     if page_id is not None:
         head["X-Page-ID"] = str(page_id)
     if url is not None:
-        # Control characters, blanks and percent signs would not survive in a header line.
-        head["WARC-Target-URI"] = quote(url, safe="!#$&'()*+,/:;=?@[]~")
+        head |= _target("WARC-Target-URI", url)
+        if head["WARC-Target-URI"] != url:
+            head["X-Target-URI"] = quote(url, safe="")
     if revisit:
         head["WARC-Profile"] = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-        head["WARC-Refers-To"] = f"<urn:page:{refers_to}>"
+        head["WARC-Refers-To"] = response_id(refers_to, payload)
+        head["X-Refers-To-Page"] = str(refers_to)
+        if refers_url is not None:
+            head |= _target("WARC-Refers-To-Target-URI", refers_url)
         block = b""
     else:
         head["Content-Type"] = "application/http; msgtype=response"
@@ -92,7 +109,7 @@ def write_archives(
     rows = rows.withColumn("digest", F.sha1("payload"))
     shared = (
         rows.where(F.length("payload") >= least_bytes).groupBy("digest")
-        .agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).drop("n")
+        .agg(F.min("id").alias("first"), F.min_by("url", "id").alias("first_url"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).drop("n")
     )
     told = rows.join(shared, "digest", "left").withColumn(
         "revisit", F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
@@ -110,8 +127,8 @@ def write_archives(
                 out.clear()
 
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("id", "url", "payload", "first", "revisit")]
-            for page_id, url, payload, first, revisit in zip(*columns, strict=True):
+            columns = [batch.column(c).to_pylist() for c in ("id", "url", "payload", "first", "first_url", "revisit")]
+            for page_id, url, payload, first, first_url, revisit in zip(*columns, strict=True):
                 if not out:
                     archive = str(uuid.uuid4())
                     name = f"{archive}.warc.gz"
@@ -120,7 +137,7 @@ def write_archives(
                     member = _member(info.encode())
                     out["to"].write(member)
                     out["bytes"] += len(member)
-                member = _member(_record(out["archive"], page_id, url, payload, first, revisit))
+                member = _member(_record(out["archive"], page_id, url, payload, first, first_url, revisit))
                 out["to"].write(member)
                 out["bytes"] += len(member)
                 out["records"] += 1
@@ -128,7 +145,7 @@ def write_archives(
                     yield from close()
         yield from close()
 
-    told.select("id", "url", "payload", "first", "revisit").mapInArrow(run, MANIFEST).write.parquet(listed)
+    told.select("id", "url", "payload", "first", "first_url", "revisit").mapInArrow(run, MANIFEST).write.parquet(listed)
     return spark.read.parquet(listed)
 
 
@@ -250,10 +267,11 @@ def read_archives(archives: DataFrame, range_bytes: int = 8 << 20) -> DataFrame:
                             payload = block[block.find(b"\r\n\r\n") + 4 :]
                             sound = (len(payload), payload_digest(payload)) == (length, digest)
                             digest, length = payload_digest(payload), len(payload)
-                        page, refers, url = (head.get(k) for k in ("X-Page-ID", "WARC-Refers-To", "WARC-Target-URI"))
+                        page, refers, url, escaped = (head.get(k) for k in ("X-Page-ID", "X-Refers-To-Page", "WARC-Target-URI", "X-Target-URI"))
+                        url = url if escaped is None else unquote(escaped)
                         rows.append({
-                            "archive": archive, "page_id": int(page) if page else None, "url": None if url is None else unquote(url), "payload_bytes": length, "payload_digest": digest,
-                            "record_type": kind, "refers_to": int(refers[10:-1]) if refers else None, "sound": sound,
+                            "archive": archive, "page_id": int(page) if page else None, "url": url, "payload_bytes": length, "payload_digest": digest,
+                            "record_type": kind, "refers_to": int(refers) if refers else None, "sound": sound,
                         })
                         if len(rows) >= 4096:
                             yield pa.RecordBatch.from_pylist(rows, schema=arrow_schema(found))

@@ -146,11 +146,11 @@ def test_small_payloads_are_all_responses(spark):
 
 
 def test_stored_member_inside_a_payload_is_no_record(tmp_path):
-    inner = R._member(R._record("other", 1, None, b"inner", None, False))
+    inner = R._member(R._record("other", 1, None, b"inner", None, None, False))
     # Level 0 keeps the payload's bytes as they are, magic number included.
-    outer = gzip.compress(R._record("own", 2, None, inner * 20, None, False), 0)
+    outer = gzip.compress(R._record("own", 2, None, inner * 20, None, None, False), 0)
     path = tmp_path / "a.warc.gz"
-    path.write_bytes(outer + R._member(R._record("own", 3, None, b"x", None, False)))
+    path.write_bytes(outer + R._member(R._record("own", 3, None, b"x", None, None, False)))
     size = path.stat().st_size
     for step in (50, 333, size):
         found = []
@@ -167,6 +167,18 @@ def test_long_headers_are_read(spark):
     assert {r.page_id: r.url for r in got} == urls and len(got) == 3 and all(r.sound for r in got)
 
 
+def test_headers_name_what_is_there(spark):
+    """Other readers see the url as it is, and a revisit names its response's record."""
+    rows = [(1, "http://x.org/a%20b?ü=%C3%BC", "same"), (2, "http://x.org/two words\u2028\n", "same"), (3, None, "other")]
+    listed = R.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1))
+    raw = gzip.decompress(open(listed.first().path.removeprefix("file:"), "rb").read()).decode()
+    heads = {h["X-Page-ID"]: h for h in ({k: v for k, v in (x.split(": ", 1) for x in part.split("\r\n\r\n")[0].split("\r\n") if ": " in x)} for part in raw.split("WARC/1.1\r\n")) if "X-Page-ID" in h}
+    assert heads["1"]["WARC-Target-URI"] == rows[0][1] and "X-Target-URI" not in heads["1"]
+    assert heads["2"]["WARC-Target-URI"] == "http://x.org/two%20words%E2%80%A8%0A"
+    assert heads["2"]["WARC-Refers-To"] == heads["1"]["WARC-Record-ID"] and heads["2"]["WARC-Refers-To-Target-URI"] == rows[0][1]
+    assert {(r.page_id, r.url, r.refers_to) for r in R.read_archives(listed).collect()} == {(1, rows[0][1], None), (2, rows[1][1], 1), (3, None, None)}
+
+
 def test_lost_records_are_an_error(spark):
     listed = R.write_archives(spark.createDataFrame([(i, "u", f"p{i}") for i in range(5)], "page_id long, url string, html string").coalesce(1))
     with pytest.raises(ValueError, match="lists 6 records, 5 were read"):
