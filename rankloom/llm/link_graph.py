@@ -1,14 +1,15 @@
 """URL filters by link-graph propagation: trust from allowed hosts, reversed distrust from blocked ones.
 
-Hosts are nodes. A link in a page is an edge to another host, weighted by the number of such links; a host
-and the host one label up (of two labels at least) vouch for each other with weight ``KIN``, since relative
-links, which name no host, say nothing across hosts. Trust is a personalised PageRank along the edges,
+Hosts are nodes. A link in a page is an edge to another host, weighted by the number of such links. Relative links
+name no host, so a host also vouches, with weight ``KIN``, for the hosts one label below it: only if it has pages or is
+linked itself, is no address of numbers, and has at most ``MOST_KIN`` such hosts, since a name that many hosts
+share is a provider's suffix and no site. These edges lead down only, so nothing passes between two hosts below one. Trust is a personalised PageRank along the edges,
 restarted at hosts with pages that a rule allows; distrust one against the edges, restarted at hosts with
 pages that a rule blocks (who links to the blocked is suspect). A host is blocked where distrust exceeds
 ``ratio`` times trust. Rules go before: the longest that fits a url decides it.
 
 Edges are summed per pair of hosts before any iteration, each iteration is one join and one sum with partial
-aggregation, and scores are written to the shared folder so that a lost executor costs one iteration.
+aggregation, steps end when scores hardly move, and scores are written to the shared folder so that a lost executor costs one iteration.
 
 Defined cases: a null url, or one without ``://``, has empty host and path, no scores and the verdict
 ``allow``; null html has no links; repeated pages are judged alike (their links count again); hosts without
@@ -26,8 +27,10 @@ from pyspark.sql import functions as F
 
 from rankloom.session import cut_lineage
 
-#: Weight of the edges between a host and the one a label above it.
-KIN = 1.0
+#: Weight of the edge from a host to one a label below it, and the most of these that it may have.
+KIN, MOST_KIN = 1.0, 8
+#: Steps end when every score moves by less than this share of itself, or after so many.
+RESIDUAL, MOST_ROUNDS = 0.01, 50
 _LINK = r"""(?i)\bhref\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s<>]+)"""
 ADDED = ("host", "path", "rule", "verdict", "trust", "distrust")
 
@@ -63,9 +66,11 @@ def host_edges(pages: DataFrame, host: str, html: str) -> DataFrame:
     )
     hosts = pages.select(F.col(host).alias("h")).distinct().union(links.select("dst")).where(F.col("h") != "").distinct()
     parent = F.regexp_extract("h", r"^[^.]+\.([^.]+\..+)$", 1)
-    kin = hosts.select("h", parent.alias("up")).where(F.col("up") != "")
-    both = kin.select(F.col("h").alias("src"), F.col("up").alias("dst")).union(kin.select("up", "h")).withColumn("w", F.lit(KIN))
-    return links.unionByName(both).where(F.col("src") != F.col("dst")).groupBy("src", "dst").agg(F.sum("w").alias("w"))
+    below = hosts.select("h", parent.alias("up")).where((F.col("up") != "") & ~F.col("h").rlike(r"\.[0-9]+(:[0-9]*)?$"))
+    sites = below.groupBy("up").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= MOST_KIN)
+    sites = sites.join(hosts.select(F.col("h").alias("up")), "up", "left_semi")
+    kin = below.join(sites, "up").select(F.col("up").alias("src"), F.col("h").alias("dst"), F.lit(KIN).alias("w"))
+    return links.unionByName(kin).where(F.col("src") != F.col("dst")).groupBy("src", "dst").agg(F.sum("w").alias("w"))
 
 
 def round_bits(x: Column) -> Column:
@@ -74,8 +79,11 @@ def round_bits(x: Column) -> Column:
     return wide - (wide - x)
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 10) -> DataFrame:
-    """(host, trust, distrust) after ``rounds`` steps. ``seeds``: (host, allowed, blocked) page counts.
+def propagate(
+    edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = MOST_ROUNDS, residual: float = RESIDUAL
+) -> DataFrame:
+    """(host, trust, distrust) when a step moves every score by less than ``residual`` of itself, or after ``rounds`` steps.
+    ``seeds``: (host, allowed, blocked) page counts.
 
     Scores are kept in pages until the end, and rounded relatively, so they do not vanish in a large table."""
     totals = seeds.agg(F.sum("allowed"), F.sum("blocked")).first()
@@ -98,7 +106,12 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds:
         )
         # Rounded, so that the order of summation cannot change a verdict.
         score = round_bits((1 - damping) * F.col("seed") + damping * F.coalesce("inflow", F.lit(0.0)))
-        scores = cut_lineage(scores.drop("score").join(inflow, ["kind", "host"], "left").select("host", "kind", "seed", score.alias("score")))
+        after = scores.withColumnRenamed("score", "before").join(inflow, ["kind", "host"], "left")
+        scores = cut_lineage(after.select("host", "kind", "seed", score.alias("score"), "before"))
+        moved = scores.agg(F.max(F.abs(F.try_divide(F.col("score") - F.col("before"), F.col("score"))))).first()[0] or 0.0
+        scores = scores.drop("before")
+        if moved <= residual:
+            break
     pick = lambda kind, n: round_bits(F.max(F.when(F.col("kind") == kind, F.col("score"))) / F.lit(float(n or 1))).alias(kind)
     return scores.groupBy("host").agg(pick("trust", totals[0]), pick("distrust", totals[1]))
 
@@ -110,7 +123,8 @@ def judge_urls(
     html_col: str = "html",
     ratio: float = 1.0,
     damping: float = 0.85,
-    rounds: int = 10,
+    rounds: int = MOST_ROUNDS,
+    residual: float = RESIDUAL,
 ) -> DataFrame:
     """All pages with ``host``, ``path``, ``rule``, ``verdict``, ``trust`` and ``distrust``."""
     host, path = host_and_path(F.col(url_col))
@@ -122,7 +136,7 @@ def judge_urls(
         .agg(counted("allow").alias("allowed"), counted("block").alias("blocked"))
     )
     edges = cut_lineage(host_edges(ruled.withColumn("_html", F.col("_page").getField(html_col)), "_host", "_html"))
-    scores = propagate(edges, seeds, damping, rounds).withColumnRenamed("host", "_scored")
+    scores = propagate(edges, seeds, damping, rounds, residual).withColumnRenamed("host", "_scored")
     trust, distrust = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
     judged = F.when(distrust > ratio * trust, "block").otherwise("allow")
     found = ruled.join(scores, F.col("_host") == F.col("_scored"), "left")

@@ -45,7 +45,7 @@ def test_propagation_equals_power_iteration(spark):
     seeds = [(hosts[0], 3, 0), (hosts[1], 1, 0), (hosts[2], 0, 2)]
     got = {r.host: r for r in G.propagate(
         spark.createDataFrame([(*e, w) for e, w in edges.items()], "src string, dst string, w double"),
-        spark.createDataFrame(seeds, "host string, allowed long, blocked long")).collect()}
+        spark.createDataFrame(seeds, "host string, allowed long, blocked long"), rounds=10, residual=0.0).collect()}
     at = {h: i for i, h in enumerate(hosts)}
     m = np.zeros((12, 12))
     for (a, b), w in edges.items():
@@ -63,6 +63,27 @@ def test_propagation_equals_power_iteration(spark):
             assert got[h][column] == pytest.approx(x[at[h]], abs=1e-9)
 
 
+def test_neighbours_under_a_shared_name_stay_clean(spark):
+    """A blocked page condemns neither other hosts below its provider's name nor addresses that end alike."""
+    providers = [(40, "http://github.io/", ""), (41, "http://x.org/", '<a href="http://github.io/">x</a>')]
+    users = [(50 + i, f"http://u{i}.github.io/", "") for i in range(G.MOST_KIN)]
+    pages = spark.createDataFrame([
+        (1, "http://bad.co.uk/es/", ""), (2, "http://innocent.co.uk/", ""), (3, "http://a.github.io/es/", ""), (4, "http://b.github.io/", ""),
+        (5, "http://10.0.0.5/es/", ""), (6, "http://77.0.0.5/", ""), (7, "http://0.0.5:80/", ""), (8, "http://10.0.0.5:80/", ""),
+        (9, "http://cdn.site.org/es/", ""), (10, "http://www.site.org/", ""), (11, "http://site.org/", ""), *providers, *users], "page_id long, url string, html string")
+    rules = [(h, "/es/", "block") for h in ("bad.co.uk", "a.github.io", "10.0.0.5", "cdn.site.org")]
+    got = {r.page_id: r.verdict for r in G.judge_urls(pages, rules).collect()}
+    # A site of few hosts answers for one of them, and so for what links to it.
+    assert {i for i, v in got.items() if v == "block"} == {1, 3, 5, 9, 11}
+
+
+def test_scores_travel_further_than_ten_links(spark):
+    chain = [(i, f"http://h{i}.org/", f'<a href="http://h{i + 1}.org/">x</a>') for i in range(20)]
+    pages = spark.createDataFrame([*chain, (20, "http://h20.org/es/", "")], "page_id long, url string, html string")
+    got = {r.page_id: r for r in G.judge_urls(pages, [("h20.org", "/es/", "block")], residual=1e-9).collect()}
+    assert all(r.verdict == "block" and r.distrust > 0 for r in got.values())
+
+
 def test_links_carry_distrust_back(spark):
     page = lambda i, host, links: (i, f"http://{host}/", "".join(f'<a href="http://{x}/p">x</a>' for x in links))
     pages = spark.createDataFrame([
