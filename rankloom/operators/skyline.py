@@ -40,14 +40,14 @@ def _drop_below_earlier_blocks(df: DataFrame, by: Sequence[str], f2: str) -> Dat
 def front_values_2d(df: DataFrame, f1: str, f2: str, by: Sequence[str] = ()) -> DataFrame:
     """The distinct (f1, f2) pairs no other pair of the same ``by`` key dominates.
 
-    Blocks of f1, cut at quantiles, discard nearly all points with codegen arithmetic and one small join;
-    what is left is reduced to one row per f1, cut at quantiles again, and swept by a running minimum
-    inside each block. No step holds a whole key in one task.
+    Points are reduced to one row per f1. Blocks of f1, cut at quantiles, discard nearly all of them with codegen
+    arithmetic and one small join; what is left is cut at quantiles again and swept by a running minimum inside each block. No step holds a whole key in one task.
     """
     pts = df.select(*by, f1, f2).where(F.col(f1).isNotNull() & F.col(f2).isNotNull())
+    # Of equal f1 only the best f2 can be on a front. Written, so that what ``df`` is made of runs once for all steps below.
+    best = cut_lineage(pts.groupBy(*by, f1).agg(F.min(f2).alias(f2)))
     # Cut at quantiles, so that a few outliers cannot put all other points into one block.
-    left = _drop_below_earlier_blocks(value_blocks(pts, f1), by, f2).groupBy(*by, f1).agg(F.min(f2).alias(f2))
-    left = cut_lineage(left)  # few rows; the steps below read them three times
+    left = cut_lineage(_drop_below_earlier_blocks(value_blocks(best, f1), by, f2))  # few rows
     fine = _drop_below_earlier_blocks(value_blocks(left, f1), by, f2)
     sweep = Window.partitionBy(*by, BLOCK).orderBy(f1).rowsBetween(Window.unboundedPreceding, -1)
     return (
