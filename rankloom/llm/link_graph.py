@@ -64,7 +64,8 @@ def host_edges(pages: DataFrame, host: str, html: str) -> DataFrame:
         .withColumn("dst", lower_ascii(F.col("dst")))
         .groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("w"))
     )
-    hosts = pages.select(F.col(host).alias("h")).distinct().union(links.select("dst")).where(F.col("h") != "").distinct()
+    links = cut_lineage(links)  # one row per pair of hosts, read several times; pages are read for it once
+    hosts = cut_lineage(pages.select(F.col(host).alias("h")).distinct().union(links.select("dst")).where(F.col("h") != "").distinct())
     parent = F.regexp_extract("h", r"^[^.]+\.([^.]+\..+)$", 1)
     below = hosts.select("h", parent.alias("up")).where((F.col("up") != "") & ~F.col("h").rlike(r"\.[0-9]+(:[0-9]*)?$"))
     sites = below.groupBy("up").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= MOST_KIN)
