@@ -87,6 +87,37 @@ def a4(spark, sf):
     return profiles.page_requests(spark, f"{BASE_URL}/search?page=", table(spark, sf, "pages").count())
 
 
+@query("a4_pages_to_fetch", """
+WITH seen AS (SELECT DISTINCT regexp_extract(url, '^([^?#]*)', 1) AS url FROM pages WHERE url IS NOT NULL),
+bases AS (SELECT DISTINCT regexp_extract(url, '^([^:/]+://[^/]+/(?:[^/]+/)*)', 1) AS base FROM seen),
+wanted AS (SELECT base, page, base || CAST(page AS VARCHAR) AS url FROM bases, (SELECT UNNEST(range(1, 1001)) AS page) WHERE base <> '')
+SELECT base, page, wanted.url, seen.url IS NOT NULL AS stored FROM wanted LEFT JOIN seen ON seen.url = wanted.url
+""")
+def a4_fetch(spark, sf):
+    """The numbered pages below every folder of the stored urls, and which of them are stored already."""
+    return profiles.pages_to_fetch(table(spark, sf, "pages"), 1000)
+
+
+_LISTED_ROW = """
+CONCAT('<div class="bs-box"><a href="/p/', CAST(id AS STRING), '"><div class="custom-value-name"> ', REPLACE(name, '#', '&amp;'), ' </div></a>',
+  '<div class="custom-label">Experience</div><div>', experience, '</div><div class="custom-label">Specialization</div><div><b>', specialization, '</b></div>',
+  '<div class="custom-label">Location</div> <div> ', location, ' </div>',
+  CASE WHEN id % 3 = 0 THEN '' ELSE CONCAT('<div class="rating-tag">', CAST(id % 5 AS STRING), '.5</div>') END, '</div>')
+"""
+
+
+@query("a3_directory_listings", oracle(["directory"], """
+SELECT id // 25 AS page_id, ROW_NUMBER() OVER (PARTITION BY id // 25 ORDER BY id) AS pos, REPLACE(name, '#', '&') AS name, experience, specialization,
+  location, CASE WHEN id % 3 = 0 THEN 'No rating' ELSE CAST(id % 5 AS VARCHAR) || '.5' END AS rating, 'https://directory.example/p/' || CAST(id AS VARCHAR) AS profile_url
+FROM directory"""))
+def a3_listings(spark, sf):
+    """The directory laid out as listing pages of 25 rows, with ratings present and absent, and read back."""
+    blocks = view(spark, sf, "directory").select(F.expr("id div 25").alias("page_id"), "id", F.expr(_LISTED_ROW).alias("block"))
+    rows = blocks.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("id", "block"))).alias("rows"))  # 25 a page
+    html = F.concat(F.lit("<html>"), F.array_join("rows.block", "\n"), F.lit("</html>"))
+    return profiles.extract_listings(rows.select("page_id", html.alias("html")), BASE_URL)
+
+
 @query("a5_sink_csv", oracle(["directory"], "SELECT id, name, experience, location, specialization FROM directory"))
 def a5(spark, sf):
     df = view(spark, sf, "directory").select("id", "name", "experience", "location", "specialization")

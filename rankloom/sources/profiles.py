@@ -53,6 +53,19 @@ def page_requests(spark: SparkSession, base: str, n: int = 72) -> DataFrame:
     )
 
 
+def pages_to_fetch(stored: DataFrame, n: int = 72, url: str = "url") -> DataFrame:
+    """(base, page, url, stored): pages 1..n below the folder of every stored url, and whether that very url is stored.
+
+    A url's folder is what stands before its last path segment; its query and fragment do not count.
+    """
+    plain = F.regexp_extract(url, r"^([^?#]*)", 1)
+    seen = stored.select(plain.alias("url")).where(F.col("url") != "").distinct()
+    bases = seen.select(F.regexp_extract("url", r"^([^:/]+://[^/]+/(?:[^/]+/)*)", 1).alias("base")).where(F.col("base") != "").distinct()
+    wanted = bases.withColumn("page", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(n).cast("long"))))
+    wanted = wanted.withColumn("url", F.concat("base", F.col("page").cast("string")))
+    return wanted.join(seen.withColumn("stored", F.lit(True)), "url", "left").select("base", "page", "url", F.coalesce("stored", F.lit(False)).alias("stored"))
+
+
 def plain_text(html: Column) -> Column:
     """Tags dropped, the common entities decoded, ends trimmed."""
     text = F.regexp_replace(html, "<[^>]*>", "")
