@@ -1,9 +1,10 @@
-"""Free-text requests to constraint columns. Every parser is a set of native column expressions."""
+"""Free-text requests to constraint columns: native column expressions, but for long lists of names to look for."""
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +13,8 @@ from rankloom.functions import fixed
 
 #: Most domains tested one by one against a text.
 MAX_LISTED_DOMAINS = 1_000
+#: Most bytes of domain names that go into one automaton in every task.
+MAX_AUTOMATON_BYTES = 16 << 20
 
 
 def _group(text: Column, pattern: str, group: int = 1) -> Column:
@@ -46,11 +49,45 @@ def domains_in_order(catalog: DataFrame, domain: str = "domain", id_col: str = "
     return catalog.groupBy(domain).agg(F.min(id_col).alias("first_id"))
 
 
-def detect_domain(df: DataFrame, catalog: DataFrame, text: str = "text", max_listed: int = MAX_LISTED_DOMAINS) -> DataFrame:
+def _first_name(names: list[str | None], lower: list[str]):
+    """A pandas UDF from a text in lower case to the first of ``names`` that it contains: one pass over the text through
+    an automaton of all names, whatever their number. It is built once per task."""
+
+    @F.pandas_udf("string")
+    def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import ahocorasick
+
+        automaton, always = ahocorasick.Automaton(), None
+        for place in reversed(range(len(lower))):  # of equal names the first stays
+            if lower[place]:
+                automaton.add_word(lower[place], place)
+            else:
+                always = place  # every text contains the empty name
+        some = len(automaton) > 0
+        automaton.make_automaton()
+
+        def first(text: str | None) -> str | None:
+            if text is None:
+                return None
+            places = [] if always is None else [always]
+            if some:
+                places += [place for _, place in automaton.iter(text)]
+            return names[min(places)] if places else None
+
+        for batch in batches:
+            yield batch.map(first)
+
+    return found
+
+
+def detect_domain(
+    df: DataFrame, catalog: DataFrame, text: str = "text", max_listed: int = MAX_LISTED_DOMAINS, max_bytes: int = MAX_AUTOMATON_BYTES
+) -> DataFrame:
     """Add ``domain``: the first one, in catalog order, that the text contains.
 
-    A short vocabulary is tested as a list. A longer one is joined on equality: each text is cut into all
-    pieces as long as some domain, so that no text meets every domain.
+    A short vocabulary is tested as a list. A longer one, while its names fit ``max_bytes``, becomes an automaton that reads
+    each text once. Beyond that it is joined on equality: each text is cut into all pieces as long as some domain, so that
+    no text meets every domain.
     """
     firsts = domains_in_order(catalog.where(F.col("domain").isNotNull()))
     head = firsts.orderBy("first_id").limit(max_listed + 1).collect()
@@ -59,6 +96,9 @@ def detect_domain(df: DataFrame, catalog: DataFrame, text: str = "text", max_lis
     if len(head) <= max_listed:
         names = F.array(*[F.lit(r["domain"]) for r in head])
         return df.withColumn("domain", F.get(F.filter(names, lambda d: F.contains(F.lower(text), F.lower(d))), F.lit(0)))
+    if (firsts.agg(F.sum(F.octet_length("domain"))).first()[0] or 0) <= max_bytes:
+        rows = firsts.orderBy("first_id").select("domain", F.lower("domain").alias("low")).collect()  # of checked size
+        return df.withColumn("domain", _first_name([r.domain for r in rows], [r.low for r in rows])(F.lower(text)))
     known = firsts.withColumn("_piece", F.lower("domain"))
     lengths = F.array(*[F.lit(r[0]) for r in known.select(F.length("_piece")).distinct().collect()])  # a few word lengths
     texts = df.select(F.col(text).alias("_text")).distinct().withColumn("_low", F.lower("_text"))

@@ -25,14 +25,25 @@ def test_digits_are_ascii(spark):
     assert parsed(spark, parse.parse_basic, "more than ٥ years")["exp_years"] is None
 
 
-@pytest.mark.parametrize("listed", [1000, 1])
-def test_domain_in_catalog_order(spark, listed):
+@pytest.mark.parametrize(("listed", "size"), [(1000, 0), (1, 1 << 20), (1, 0)])
+def test_domain_in_catalog_order(spark, listed, size):
     catalog = spark.createDataFrame([(1, "Tax Law"), (0, "Civil Law"), (2, "Law")], "item_id bigint, domain string")
     texts = spark.createDataFrame([("tax law and civil law",), ("some LAW",), ("none",)], "text string")
-    got = {r.text: r.domain for r in parse.detect_domain(texts, catalog, max_listed=listed).collect()}
+    got = {r.text: r.domain for r in parse.detect_domain(texts, catalog, max_listed=listed, max_bytes=size).collect()}
     assert got == {"tax law and civil law": "Civil Law", "some LAW": "Law", "none": None}
 
 
+def test_many_domains_equal_a_search(spark):
+    names = [f"Name {i * 37 % 5000} é" for i in range(5000)] + ["name 7 É", "7"]
+    catalog = spark.createDataFrame(list(enumerate(names)), "item_id long, domain string")
+    texts = ["about NAME 7 É and name 12 é", "17 and 7", "", None, "name 4999 é name 4998 é", "nothing"]
+    got = {r.text: r.domain for r in parse.detect_domain(spark.createDataFrame([(t,) for t in texts], "text string"), catalog).collect()}
+    assert got == {t: None if t is None else next((n for n in names if n.lower() in t.lower()), None) for t in texts}
+    empty = spark.createDataFrame([(5, ""), (3, "law")], "item_id long, domain string")
+    got = parse.detect_domain(spark.createDataFrame([("law",), ("x",), (None,)], "text string"), empty, max_listed=1).collect()
+    assert {r.text: r.domain for r in got} == {"law": "law", "x": "", None: None}
+
+
 def test_domain_of_an_empty_catalog(spark):
     catalog = spark.createDataFrame([], "item_id bigint, domain string")
     assert parse.detect_domain(spark.createDataFrame([("x",)], "text string"), catalog).first().domain is None
