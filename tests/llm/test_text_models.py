@@ -173,6 +173,30 @@ def test_dictionaries_learn_from_the_middle_of_whole_texts(spark):
     assert len(learned) == 112 << 10 and set(learned.decode().split()[1:-1]) == {"middle"}
 
 
+def test_language_equals_plain_compressed_sizes(spark, sf):
+    """Every text against every dictionary by one plain compression per piece, of letters picked one by one."""
+    import zstandard
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    learned = learn_dictionaries(docs, F.lit(True))
+    assert set(learned) == {r.lang for r in docs.select("lang").distinct().collect()}
+    for row in with_language(docs, learned).collect():
+        kept = "".join(c if c == "_" or c.isalnum() else " " for c in row.text.lower())
+        words = "".join(" " if c == "_" or c.isdecimal() else c for c in kept).split()
+        if not any(c.isalpha() for w in words for c in w):
+            assert (row.lang_pred, row.rejected) == ("und", True)
+            continue
+        raw, sizes = f" {' '.join(words)} ".encode(), {}
+        for lang, content in learned.items():
+            known = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            known.precompute_compress(level=3)
+            coder = zstandard.ZstdCompressor(dict_data=known, level=3, write_checksum=False, write_content_size=False, write_dict_id=False)
+            sizes[lang] = sum(len(coder.compress(raw[i : i + 4096])) for i in range(0, len(raw), 4096))
+        first, second = sorted(sizes.values())[:2]
+        assert sizes[row.lang_pred] == first
+        assert row.margin == pytest.approx((second - first) / second) and row.rejected == (row.margin < 0.002)
+
+
 def test_language_held_out_accuracy(spark):
     from rankloom.llm.queries_language import op7_language
 
