@@ -14,6 +14,12 @@ def split_number(id_col: str, n: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % n
 
 
+def columns(names: list[str], neutral: bool = False) -> list[Column]:
+    """Columns by their whole names, in which dots and backticks mean nothing; ``neutral``: called ``_c0``, ``_c1``, ..."""
+    found = [F.col("`" + name.replace("`", "``") + "`") for name in names]
+    return [c.alias(f"_c{i}") for i, c in enumerate(found)] if neutral else found
+
+
 def arrow_type(name: str) -> pa.DataType:
     plain = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(),
              "binary": pa.binary(), "boolean": pa.bool_()}

@@ -108,12 +108,13 @@ def distance(pattern, text):
 def test_filter_and_alignment_lose_no_window():
     rng = random.Random(8)
     items = [(k, prose(rng, 30)) for k in range(4)]
-    index = D.Index(items, 12, 96, 0.06)
+    index = D.Index.of(items, 12, 96, 0.06)
     for n in range(0, 16, 2):
         item, text = rng.choice(items)
         doc = prose(rng, 20) + " " + edit(rng, text, n) + " " + prose(rng, 20)
         folded = "".join(map(chr, D.fold(doc)))
-        want = {int(index.owner[w]) for w in range(len(index.windows)) if distance(list(map(chr, index.windows[w])), folded) <= index.edits[w]}
+        windows = ["".join(map(chr, index.points[a : a + n])) for a, n in zip(index.start, index.size, strict=True)]
+        want = {index.items[index.owner[w]] for w, part in enumerate(windows) if distance(part, folded) <= index.edits[w]}
         found = index.matches([doc])[0]
         assert {m["item_id"] for m in found} == want
         if n == 0:
@@ -134,12 +135,38 @@ def test_decontamination_of_odd_rows(spark, monkeypatch):
     rng = random.Random(9)
     passage = prose(rng, 40)
     docs = [(1, f"x {passage.upper()}!! y"), (2, prose(rng, 300)), (3, None), (None, ""), (4, prose(rng, 40_000) + passage), (4, passage), (5, passage[:60])]
-    benchmark = spark.createDataFrame([(10, passage), (11, passage), (12, None), (13, "short"), (14, prose(rng, 40)), (None, passage)], "item_id long, text string")
-    df = spark.createDataFrame(docs, DOCS).withColumn("matches", F.lit("clash"))
-    want = [(1, [-1, 10, 11]), (4, [-1, 10, 11]), (4, [-1, 10, 11])]
-    for limit in (D.BLOCK_BYTES, 300):
-        monkeypatch.setattr(D, "BLOCK_BYTES", limit)
+    benchmark = spark.createDataFrame(
+        [(10, passage), (11, passage), (11, passage), (12, None), (13, "-- !"), (14, prose(rng, 40)), (None, passage), (-1, prose(rng, 40))], "item_id long, text string"
+    )
+    df = spark.createDataFrame(docs, DOCS).withColumn("matches", F.lit("clash")).withColumn("a.b`c", F.lit(7))
+    want = [(1, [None, 10, 11]), (4, [None, 10, 11]), (4, [None, 10, 11])]
+    whole = None
+    for limit in (D.BLOCK_POINTS, 300, 70):
+        monkeypatch.setattr(D, "BLOCK_POINTS", limit)
         got = D.with_matches(df, benchmark).collect()
-        assert sorted((r.doc_id, sorted(m.item_id for m in r.matches)) for r in got if r.matches) == want and len(got) == len(docs)
+        assert sorted((r.doc_id, [m.item_id for m in r.matches]) for r in got if r.matches) == want and len(got) == len(docs)
+        assert {r["a.b`c"] for r in got} == {7}
+        # An item cut into several indexes is one match with all its windows.
+        result = sorted((r.doc_id, r.text, [tuple(m) for m in r.matches]) for r in got if r.matches)
+        whole = whole or result
+        assert result == whole and all(m[2] == m[3] for _, _, ms in result for m in ms)
+        assert D.indexes(benchmark, "item_id", "text", 12, 64, 17).count() == 1 if limit > 300 else True
     assert D.with_matches(df.limit(0), benchmark).count() == 0
     assert all(not r.matches for r in D.with_matches(df, benchmark.limit(0)).collect())
+
+
+def test_short_items_are_found_as_whole_words(spark):
+    items = [(1, "Short"), (2, "two, words"), (3, "x"), (4, "eleven char"), (5, "twelve chars"), (6, "日本")]
+    texts = ["a short one", "shorter", "short", "TWO  words", "two wordsy", "x", "", None, "ax xa", "eleven-char!", "twelve chars", "日本 y", "日本語", "short short x"]
+    docs = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    got = D.with_matches(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+
+    def folded(text):
+        return "".join(map(chr, D.fold(text)))
+
+    for r in got:
+        want = [i for i, t in items if f" {folded(t)} " in f" {folded(r.text)} "]
+        assert [m.item_id for m in r.matches] == want
+        for m in r.matches:
+            assert (m.edits, m.windows, m.of_windows) == (0, 1, 1)
+            assert f" {folded(r.text)} "[m["at"] :].startswith(f" {folded(dict(items)[m.item_id])} ")
