@@ -1,16 +1,22 @@
 """Mixing sources to target weights by Pareto order sampling, with DataFrame functions only.
 
 Every source gets a target number of words. A document of a source with target ``T`` and size ``S`` is
-wanted ``T / S`` times: the whole part is allocated as certain copies, the fraction is its inclusion
-probability ``p`` in a Pareto sample. Documents are ranked by ``(u / (1 - u)) / (p / (1 - p))``, random odds
-over inclusion odds, where ``u`` comes from a hash of the document's id; as all documents of a source have
-the same ``p``, that is the order of ``u``, not sampling with unequal probabilities. The sample is closed when its fixed
-size, counted in words, is reached: the last document enters if that brings the sum nearer to the target.
-
-Sizes meet in sums per (source, block of ``u``) first, so a source with a third of all rows costs one row per
-block. Only the block in which a source's sample closes is ordered row by row. What comes back to the
-documents is one row per source, sent to every task while the counted sources are at most
-``MAX_SENT_SOURCES``, so that texts are not shuffled; beyond that it is a join that Spark can split.
+wanted ``T / S`` times on average: the whole part is allocated as certain copies, and the words that are still wanted
+come from a Pareto sample with unequal probabilities. A document's inclusion probability ``p`` follows its size class
+(the power of two below its size): ``p = min(1, rate * class)``, with the source's rate such that the expected words are
+the wanted ones; what classes at 1 leave is shared by the others. Long documents are likelier, so fewer of them make up
+the words, and the sum is steadier than with equal odds.
+
+Documents are ranked by random odds over inclusion odds, ``q = (u / (1 - u)) / (p / (1 - p))``, with ``u`` from a hash of
+the id, and the first are taken until the size, fixed in words, is reached: the last document enters if that brings the
+sum nearer to the target. The rank is kept as ``q / (1 + q)``, which is between 0 (``p = 1``, always in) and 1 (``p = 0``,
+never in).
+
+Sizes meet in sums per (source, size class), then per (source, block of the rank), so a source with a third of all rows
+costs a few rows. Only the block in which a source's sample closes is ordered row by row; near the middle, where samples
+close, ranks are no denser than ``u`` is. What comes back to the documents is one row per source and class, sent to every
+task while the counted sources are at most ``MAX_SENT_SOURCES``, so that texts are not shuffled; beyond that it is a
+join that Spark can split.
 
 Defined cases: null text or size counts 0 words, and such a document is taken 0 times words; a null source
 is a source of its own, the last one; a null id hashes like an empty one; rows that are equal are separate
@@ -23,14 +29,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankloom.llm.common import columns
 from rankloom.session import cut_lineage
 
 #: Runs of bytes that are no ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Blocks of the random number that sums are kept for.
+#: Blocks of the rank that sums are kept for.
 BLOCKS = 4096
-#: Sources up to which their limits (a name and ten numbers each) are sent to every task.
-MAX_SENT_SOURCES = 20_000
+#: Sources up to which their limits (a name and ten numbers for each of a few size classes) are sent to every task.
+MAX_SENT_SOURCES = 5_000
 
 
 def word_count(text: Column) -> Column:
@@ -71,6 +78,24 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...], share: float, c
     return placed.withColumn("final", final).select("source", "source_size", target.alias("target"))
 
 
+def inclusion_rates(cells: DataFrame) -> DataFrame:
+    """Inclusion probability per source and size class.
+
+    ``cells`` has one row per (``source``, ``class``) with the class's ``words`` and the source's ``wanted`` words. The
+    rate at which the expected words are the wanted ones, with the largest classes at 1, is found from prefix sums along
+    the class: a source has as many rows as its sizes have bits.
+    """
+    down = Window.partitionBy("source").orderBy(F.col("class").desc())
+    above, rest = down.rowsBetween(Window.unboundedPreceding, -1), down.rowsBetween(0, Window.unboundedFollowing)
+    weight = F.col("words").cast("decimal(20,0)") * F.col("class").cast("decimal(17,0)")
+    left = F.col("wanted") - F.coalesce(F.sum("words").over(above), F.lit(0)).cast("double")
+    tried = cells.withColumn("_rate", F.try_divide(left, F.sum(weight).over(rest).cast("double")))
+    full = F.coalesce(F.col("_rate") * F.col("class") >= 1, F.lit(False))
+    # The largest class that is not full sets the rate of all below it.
+    rate = F.max_by(F.when(~full, F.greatest("_rate", F.lit(0.0))), F.when(~full, F.col("class"))).over(Window.partitionBy("source"))
+    return tried.withColumn("p", F.when(full, 1.0).otherwise(F.least(F.coalesce(rate, F.lit(0.0)) * F.col("class"), F.lit(1.0)))).drop("_rate")
+
+
 def mix(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -80,67 +105,81 @@ def mix(
     share: float = 1.5,
     cap: float = 2.0,
     seed: str = "mix",
+    size_col: str | None = None,
 ) -> DataFrame:
-    """All documents with ``size``, ``source_size``, ``target``, ``copies`` and ``taken`` (``copies * size`` words)."""
+    """All documents with ``size``, ``source_size``, ``target``, ``p`` (of the copy that is not certain), ``copies`` and
+    ``taken`` (``copies * size`` words). ``size_col``: words counted before, then texts are not read."""
     u = F.col("_u")
+    the = dict(zip(("id", "source", "size"), columns([id_col, source_col, size_col or text_col]), strict=True))
+    size = F.coalesce(the["size"].cast("long"), F.lit(0).cast("long")) if size_col else word_count(the["size"])
     rows = docs.select(
-        F.struct("*").alias("_doc"), F.col(source_col).alias("_source"), F.col(id_col).alias("_id"),
-        word_count(F.col(text_col)).alias("_size"), random_of(F.col(id_col), seed).alias("_u"),
-    ).withColumn("_block", F.floor(u * BLOCKS).cast("int"))
+        F.struct("*").alias("_doc"), the["source"].alias("_source"), the["id"].alias("_id"), size.alias("_size"), random_of(the["id"], seed).alias("_u"),
+    ).withColumn("_class", F.when(F.col("_size") > 0, F.expr("shiftleft(1L, length(bin(_size)) - 1)")).otherwise(F.lit(0).cast("long")))
 
-    cells = cut_lineage(rows.groupBy("_source", "_block").agg(F.sum("_size").alias("words")))
-    sources = cells.groupBy(F.col("_source").alias("source")).agg(F.sum("words").alias("source_size"))
+    # Sizes are counted once for all that follows but the last step, which reads the documents themselves.
+    sizes = cut_lineage(rows.select("_source", "_id", "_size", "_class", "_u"))
+    cells = cut_lineage(sizes.groupBy(F.col("_source").alias("source"), F.col("_class").alias("class")).agg(F.sum("_size").alias("words")))
+    sources = cells.groupBy("source").agg(F.sum("words").alias("source_size"))
     copies = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    plan = cut_lineage(
+    plan = (
         source_targets(sources, weights, share, cap)
         .withColumn("certain", F.floor(copies))
-        .withColumn("p", copies - F.col("certain"))
         .withColumn("wanted", F.greatest(F.col("target") - F.col("certain") * F.col("source_size"), F.lit(0.0)))
+        .withColumnRenamed("source", "p_source")
+    )
+    rates = cut_lineage(
+        inclusion_rates(cells.join(plan, F.col("source").eqNullSafe(F.col("p_source"))).drop("p_source"))
+    )
+    # One row per source and class. Sent to every task while sources are few, so that nothing is shuffled for it.
+    few = sources.limit(MAX_SENT_SOURCES + 1).count() <= MAX_SENT_SOURCES
+
+    def with_limits(df: DataFrame, limits: DataFrame) -> DataFrame:
+        return df.join(F.broadcast(limits) if few else limits, F.col("_source").eqNullSafe(F.col("source")) & (F.col("_class") == F.col("class")))
+
+    p, rank = F.col("p"), F.col("_rank")
+    odds_share = (u * (1 - p)) / (u * (1 - p) + p * (1 - u))
+    ranked = with_limits(sizes, rates).withColumn("_rank", odds_share).withColumn("_block", F.floor(rank * BLOCKS).cast("int"))
+    # Documents at p = 1 are in and those at 0 are out; the others are taken in order up to the words still wanted.
+    open_rows = ranked.where((p > 0) & (p < 1))
+    blocks = cut_lineage(open_rows.groupBy("_source", "_block").agg(F.sum("_size").alias("words")))
+    open_words = (
+        rates.groupBy(F.col("source").alias("o_source"))
+        .agg((F.first("wanted") - F.coalesce(F.sum(F.when(p >= 1, F.col("words"))), F.lit(0)).cast("double")).alias("open"))
     )
-
-    # The block in which the sample closes, and the words before it.
     before = Window.partitionBy("_source").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    closing = (
-        cells.withColumn("_before", F.coalesce(F.sum("words").over(before), F.lit(0)))
-        .join(plan, F.col("_source").eqNullSafe(F.col("source")))
-        .where((F.col("_before") < F.col("wanted")) & (F.col("_before") + F.col("words") >= F.col("wanted")))
-        .select(F.col("source").alias("c_source"), F.col("_block").alias("c_block"), "_before", "p", "wanted")
+    # The block in which the sample closes, and the words before it.
+    closing = cut_lineage(
+        blocks.withColumn("_before", F.coalesce(F.sum("words").over(before), F.lit(0)))
+        .join(open_words, F.col("_source").eqNullSafe(F.col("o_source")))
+        .where((F.col("_before") < F.col("open")) & (F.col("_before") + F.col("words") >= F.col("open")))
+        .select("o_source", F.col("_block").alias("c_block"), "_before", "open")
     )
-    p = F.col("p")
-    odds = F.when((p > 0) & (p < 1), (u / (1 - u)) / (p / (1 - p))).otherwise(u)
-    key = F.struct(odds.alias("odds"), F.coalesce(F.col("_id").cast("string"), F.lit("")).alias("id"), F.col("_size").alias("size"))
+    key = F.struct(rank.alias("rank"), F.coalesce(F.col("_id").cast("string"), F.lit("")).alias("id"), F.col("_size").alias("size"))
     along = Window.partitionBy("_source").orderBy("_key").rowsBetween(Window.unboundedPreceding, -1)
     cutoff = (
-        rows.select("_source", "_id", "_size", "_u", "_block")
-        .join(closing, F.col("_source").eqNullSafe(F.col("c_source")) & (F.col("_block") == F.col("c_block")))
+        open_rows.select("_source", "_id", "_size", "_rank", "_block")
+        .join(closing, F.col("_source").eqNullSafe(F.col("o_source")) & (F.col("_block") == F.col("c_block")))
         .withColumn("_key", key)
         .withColumn("_start", F.col("_before") + F.coalesce(F.sum("_size").over(along), F.lit(0)))
-        .where(2 * F.col("_start") + F.col("_size") <= 2 * F.col("wanted"))
-        .groupBy("c_source").agg(F.max("_key").alias("last"))
+        .where(2 * F.col("_start") + F.col("_size") <= 2 * F.col("open"))
+        .groupBy(F.col("o_source").alias("k_source")).agg(F.max("_key").alias("last"))
     )
     limits = cut_lineage(
-        plan.join(closing.select("c_source", "c_block"), F.col("source").eqNullSafe(F.col("c_source")), "left")
-        .drop("c_source")
-        .join(cutoff, F.col("source").eqNullSafe(F.col("c_source")), "left")
-        .drop("c_source")
+        rates.join(closing.select("o_source", "c_block"), F.col("source").eqNullSafe(F.col("o_source")), "left")
+        .drop("o_source")
+        .join(cutoff, F.col("source").eqNullSafe(F.col("k_source")), "left")
+        .select("source", "class", "source_size", "target", "certain", "p", "c_block", "last")
     )
-    # Without a closing block nothing is wanted beyond the certain copies.
+    # Without a closing block the open documents together do not reach what is wanted, or nothing is.
     chosen = (
-        F.when(F.col("c_block").isNull(), False)
-        .when(F.col("_block") != F.col("c_block"), F.col("_block") < F.col("c_block"))
+        F.when(p >= 1, True).when(p <= 0, False).when(F.col("c_block").isNull(), True)
+        .when(F.floor(rank * BLOCKS) != F.col("c_block"), F.floor(rank * BLOCKS) < F.col("c_block"))
         .otherwise(F.coalesce(key <= F.col("last"), F.lit(False)))
     )
-    # One row per source. Sent to every task while they are few, so that no text is shuffled; beyond that Spark decides.
-    few = limits.limit(MAX_SENT_SOURCES + 1).count() <= MAX_SENT_SOURCES
-    sent = F.broadcast(limits) if few else limits
-    found = rows.join(sent, F.col("_source").eqNullSafe(F.col("source"))).withColumn(
-        "_copies", F.col("certain") + chosen.cast("long")
-    )
+    found = with_limits(rows, limits).withColumn("_rank", odds_share).withColumn("_copies", F.col("certain") + chosen.cast("long"))
     added = {
-        "size": F.col("_size"), "source_size": F.col("source_size"), "target": F.col("target"),
+        "size": F.col("_size"), "source_size": F.col("source_size"), "target": F.col("target"), "p": p,
         "copies": F.col("_copies"), "taken": F.col("_copies") * F.col("_size"),
     }
-    return found.select(
-        *[F.col("_doc").getField(c).alias(c) for c in docs.columns if c not in added],
-        *[value.alias(name) for name, value in added.items()],
-    )
+    kept = [c for c in docs.columns if c not in added]
+    return found.select(*[F.col("_doc").getField(c) for c in kept], *added.values()).toDF(*kept, *added)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from rankloom.llm import chat_windows as W
 from rankloom.llm import link_graph as G
 from rankloom.llm.components import connected_components
-from rankloom.llm.mixing import mix
+from rankloom.llm.mixing import mix, word_count
 from rankloom.llm.queries_urls import RULES
 
 URLS = [
@@ -191,6 +191,34 @@ def test_mix_meets_targets(spark):
         assert abs(taken[s] - target[s]) <= largest[s] / 2 + 1e-6
     assert mix(df.limit(0)).count() == 0
     assert {r.taken for r in mix(df.where("text is null")).collect()} == {0}
+    counted = df.withColumn("a.b", word_count(F.col("text"))).withColumn("c`d", F.lit("kept"))
+    again = mix(counted, size_col="a.b").collect()
+    assert sorted(map(repr, [(r.doc_id, r.source, r.copies) for r in again])) == sorted(map(repr, [(r.doc_id, r.source, r.copies) for r in got]))
+    assert {r["c`d"] for r in again} == {"kept"}
+
+
+def test_mix_includes_by_size(spark):
+    """Equal sources: documents come in as often as their size class should, found here by bisection."""
+    kinds = [0] * 5 + [1] * 30 + [3] * 30 + [6] * 40 + [30] * 20 + [100] * 6 + [300]
+    sources, share = 80, 0.8
+    rows = [(s * 1000 + i, f"s{s:03}", n) for s in range(sources) for i, n in enumerate(kinds)]
+    got = mix(spark.createDataFrame(rows, "doc_id long, source string, n long"), weights=(1,), share=share, size_col="n").collect()
+    classes = {n: 2 ** (n.bit_length() - 1) if n else 0 for n in kinds}
+    low, high = 0.0, 1.0
+    for _ in range(200):
+        rate = (low + high) / 2
+        low, high = (rate, high) if sum(min(1.0, rate * classes[n]) * n for n in kinds) < share * sum(kinds) else (low, rate)
+    seen, taken = collections.defaultdict(list), collections.Counter()
+    for r in got:
+        assert r.p == pytest.approx(min(1.0, rate * classes[r.size]), abs=1e-9)
+        seen[r.size].append(r.copies)
+        taken[r.source] += r.taken
+    assert min(r.p for r in got if r.size) < 0.2 and max(r.p for r in got if r.size < 100) > 0.3
+    for n, copies in seen.items():
+        p = min(1.0, rate * classes[n])
+        # Four standard deviations of independent draws, and what closing at a document's border may shift.
+        assert abs(sum(copies) / len(copies) - p) <= 4 * (p * (1 - p) / len(copies)) ** 0.5 + 0.02, n
+    assert all(abs(t - share * sum(kinds)) <= 50 for t in taken.values())
 
 
 def test_components_equal_union_find(spark):
