@@ -282,27 +282,27 @@ def indexes(benchmark: DataFrame, id_col: str, text_col: str, q: int, window: in
                 for part, n in pieces(points, window, step, max(1, most // 4)) if len(points) else ():
                     yield pa.RecordBatch.from_pylist([{"item": item, "points": part.tobytes(), "n": n}], part_schema)
 
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in batches:
-            for r in (r for k in range(batch.num_rows) for r in batch.slice(k, 1).to_pylist()):
-                points = np.frombuffer(r["points"], np.uint32)
-                if held and size + len(points) > most:
-                    yield pa.RecordBatch.from_pylist([pack(held, q, window, step)], packed_schema)
-                    held, size = [], 0
-                held.append((r["item"], points, r["total"]))
-                size += len(points)
-        if held:
-            yield pa.RecordBatch.from_pylist([pack(held, q, window, step)], packed_schema)
+    def build(block: pa.Table) -> pa.Table:
+        held, size, out = [], 0, []
+        for item, total, raw in zip(*(block.column(c).to_pylist() for c in ("item", "total", "points")), strict=True):
+            points = np.frombuffer(raw, np.uint32)
+            if held and size + len(points) > most:
+                out.append(pack(held, q, window, step))
+                held, size = [], 0
+            held.append((item, points, total))
+            size += len(points)
+        return pa.Table.from_pylist([*out, pack(held, q, window, step)], packed_schema)
 
     rows = benchmark.select(F.col(id_col).cast("long").alias("item"), F.col(text_col).alias("text"))
-    parts = cut_lineage(rows.where(F.col("text").isNotNull()).distinct().mapInArrow(cut, _PIECES))
+    parts = cut_lineage(rows.where(F.col("text").isNotNull()).mapInArrow(cut, _PIECES).distinct())
     size = parts.agg(F.sum(F.octet_length("points"))).first()[0] or 0
     totals = parts.groupBy(F.col("item").alias("of_item")).agg(F.sum("n").alias("total"))
-    counted = parts.join(totals, F.col("item").eqNullSafe(F.col("of_item"))).select("item", "points", "total")
-    # Half full on average, so that most partitions make one index.
+    # Blocks are half full on average, so that most make one index, however many partitions hold them.
     n = 1 if size <= 4 * most else 1 + int(size // (2 * most))
-    return cut_lineage(counted.repartition(n, F.xxhash64("item", "points")).mapInArrow(build, _PACKED))
+    counted = parts.join(totals, F.col("item").eqNullSafe(F.col("of_item"))).select(
+        F.pmod(F.xxhash64("item", "points"), F.lit(n)).alias("block"), "item", "points", "total"
+    )
+    return cut_lineage(counted.groupBy("block").applyInArrow(build, _PACKED))
 
 
 def with_matches(
