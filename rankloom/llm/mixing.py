@@ -106,9 +106,13 @@ def mix(
     cap: float = 2.0,
     seed: str = "mix",
     size_col: str | None = None,
+    with_p: bool = False,
 ) -> DataFrame:
-    """All documents with ``size``, ``source_size``, ``target``, ``p`` (of the copy that is not certain), ``copies`` and
-    ``taken`` (``copies * size`` words). ``size_col``: words counted before, then texts are not read."""
+    """All documents with ``size``, ``source_size``, ``target``, ``copies`` and ``taken`` (``copies * size`` words).
+
+    ``size_col``: words counted before, then texts are not read. ``with_p``: also ``p``, the inclusion probability of the
+    copy that is not certain.
+    """
     u = F.col("_u")
     the = dict(zip(("id", "source", "size"), columns([id_col, source_col, size_col or text_col]), strict=True))
     size = F.coalesce(the["size"].cast("long"), F.lit(0).cast("long")) if size_col else word_count(the["size"])
@@ -178,8 +182,10 @@ def mix(
     )
     found = with_limits(rows, limits).withColumn("_rank", odds_share).withColumn("_copies", F.col("certain") + chosen.cast("long"))
     added = {
-        "size": F.col("_size"), "source_size": F.col("source_size"), "target": F.col("target"), "p": p,
+        "size": F.col("_size"), "source_size": F.col("source_size"), "target": F.col("target"),
         "copies": F.col("_copies"), "taken": F.col("_copies") * F.col("_size"),
     }
+    if with_p:
+        added["p"] = p
     kept = [c for c in docs.columns if c not in added]
     return found.select(*[F.col("_doc").getField(c) for c in kept], *added.values()).toDF(*kept, *added)

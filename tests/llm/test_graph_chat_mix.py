@@ -202,7 +202,7 @@ def test_mix_includes_by_size(spark):
     kinds = [0] * 5 + [1] * 30 + [3] * 30 + [6] * 40 + [30] * 20 + [100] * 6 + [300]
     sources, share = 80, 0.8
     rows = [(s * 1000 + i, f"s{s:03}", n) for s in range(sources) for i, n in enumerate(kinds)]
-    got = mix(spark.createDataFrame(rows, "doc_id long, source string, n long"), weights=(1,), share=share, size_col="n").collect()
+    got = mix(spark.createDataFrame(rows, "doc_id long, source string, n long"), weights=(1,), share=share, size_col="n", with_p=True).collect()
     classes = {n: 2 ** (n.bit_length() - 1) if n else 0 for n in kinds}
     low, high = 0.0, 1.0
     for _ in range(200):
