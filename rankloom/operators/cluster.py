@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -131,28 +130,89 @@ def _silhouette(rows: DataFrame, dims: int, chunks: int) -> DataFrame:
     return points.agg(F.sum("n").cast("bigint").alias("n"), (F.sum(value * F.col("n")) / F.sum("n")).alias("silhouette"))
 
 
-def silhouette_curve(df: DataFrame, cols: Sequence[str], ks: Sequence[int], seed: int = 42, metric: str = "euclidean") -> DataFrame:
-    """Silhouette of k-means for every k. ``squaredEuclidean`` is linear in the distinct feature rows."""
-    names = [f"x{i}" for i in range(len(cols))]
-    counted = cut_lineage(_counted(df, cols))
-    size = counted.count()
+def silhouette_curve(df: DataFrame, cols: Sequence[str], ks: Sequence[int], method: str = "rounds", rounds: int = 3, seed: int = 42,
+                     pair_chunk: int = PAIR_CHUNK) -> DataFrame:
+    """Mean Euclidean silhouette of k-means for every k: (k, silhouette).
+
+    ``rounds`` moves the centres of all k together, from seeds on the diagonal, one aggregate per round; ``ml`` fits Spark ML's
+    k-means per k. Either way a distinct row carries its cluster for every k, and one pass over pairs of chunks sums the
+    distances to the clusters of all of them: a distance is computed once, whatever the number of k. That work grows with the
+    square of the distinct rows. One cluster alone has silhouette 0, as has a cluster's only row; without rows there is no curve.
+    """
+    names, ks = [f"x{i}" for i in range(len(cols))], [int(k) for k in ks]
+    rows = cut_lineage(_counted(df, cols).select(*[F.col(c).cast("double").alias(x) for c, x in zip(cols, names)], F.col("_n").alias("n")))
+    size = rows.count()
+    if not size or not ks:
+        return df.sparkSession.createDataFrame([], "k bigint, silhouette double")
     # Distinct rows are often few; many near-empty tasks per round would cost more than the rounds.
-    counted = counted.coalesce(-(-size // PAIR_CHUNK) or 1)
-    data = VectorAssembler(inputCols=list(cols), outputCol="_x").transform(counted).persist()
-    judge = ClusteringEvaluator(featuresCol="_x", predictionCol="_p", weightCol="_n")
+    rows = rows.coalesce(-(-size // pair_chunk))
+    labels = _round_labels(rows, names, ks, rounds) if method == "rounds" else _ml_labels(rows, names, ks, seed)
+    rows = cut_lineage(labels.select(*names, "n", F.array(*[F.col(f"_p{k}").cast("int") for k in ks]).alias("labels")))
+    return _silhouettes(rows, names, ks, -(-size // pair_chunk))
+
+
+def _round_labels(rows: DataFrame, names: Sequence[str], ks: Sequence[int], rounds: int) -> DataFrame:
+    """Add ``_p<k>`` for every k. A round is one aggregate; only the centres, one row each, pass through the driver."""
+    lim = rows.agg(*[f(x) for x in names for f in (F.min, F.max)]).first()
+    spans = [(lim[2 * i], lim[2 * i + 1]) for i in range(len(names))]
+    centres = {k: [[lo + (j + 0.5) / k * (hi - lo) for lo, hi in spans] for j in range(k)] for k in ks}
+    for _ in range(rounds):
+        near = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), _nearest(names, centres[k]).alias("c")) for k in ks]))
+        means = rows.select(*names, "n", near.alias("at")).groupBy("at.k", "at.c").agg(*[F.sum(F.col(x) * F.col("n")) / F.sum("n") for x in names])
+        for k, c, *mean in means.collect():
+            centres[k][c] = [float(v) for v in mean]
+    return rows.withColumns({f"_p{k}": _nearest(names, centres[k]) for k in ks})
+
+
+def _ml_labels(rows: DataFrame, names: Sequence[str], ks: Sequence[int], seed: int) -> DataFrame:
+    data = VectorAssembler(inputCols=list(names), outputCol="_x").transform(rows).persist()
     try:
-        rows = []
-        for k in ks:
-            model = KMeans(featuresCol="_x", predictionCol="_p", weightCol="_n", k=k, seed=seed, maxIter=10).fit(data)
-            if metric == "euclidean":
-                marked = model.transform(data).select(F.col("_p").cast("bigint").alias("c"), *[F.col(c).alias(x) for c, x in zip(cols, names)], F.col("_n").alias("n"))
-                value = _silhouette(marked, len(cols), -(-size // PAIR_CHUNK) or 1).first()["silhouette"]
-            else:
-                value = judge.evaluate(model.transform(data))
-            rows.append((int(k), float(value)))
+        models = [KMeans(featuresCol="_x", predictionCol=f"_p{k}", weightCol="n", k=k, seed=seed, maxIter=10).fit(data) for k in ks]
     finally:
         data.unpersist()
-    return df.sparkSession.createDataFrame(rows, "k bigint, silhouette double")
+    return reduce(lambda marked, model: model.transform(marked), models, data)
+
+
+def _silhouettes(rows: DataFrame, names: Sequence[str], ks: Sequence[int], chunks: int) -> DataFrame:
+    """(k, silhouette) of distinct rows ``names, n, labels`` with one label per k, in a given number of chunks."""
+    begin = np.r_[0, np.cumsum(ks)].tolist()  # cluster c of the i-th k has slot begin[i] + c
+    held = rows.select("n", F.posexplode("labels").alias("i", "c")).groupBy("i", "c").agg(F.sum("n")).collect()
+    weight = {begin[i] + c: float(n) for i, c, n in held}
+    mine = F.pmod(F.xxhash64(*names), F.lit(chunks)).cast("int")
+    tagged = rows.withColumn("_i", mine).withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    here = tagged.withColumn("_from", F.lit(True))
+    there = tagged.withColumns({"_i": F.col("_j"), "_j": F.col("_i"), "_from": F.lit(False)})
+
+    def distances(pdf: pd.DataFrame) -> pd.DataFrame:
+        left, right = pdf[pdf["_from"]], pdf[~pdf["_from"]]
+        if left.empty or right.empty:
+            return left[[*names, "n", "labels"]].assign(totals=[np.zeros(begin[-1])] * len(left))
+        own, other, totals = left[list(names)].to_numpy(), right[list(names)].to_numpy(), np.zeros((len(left), begin[-1]))
+        slots = np.stack(right["labels"].to_list()) + begin[:-1]
+        for lo in range(0, len(other), 4096):
+            part = slots[lo:lo + 4096]
+            member = np.zeros((len(part), begin[-1]))
+            np.put_along_axis(member, part, right["n"].to_numpy()[lo:lo + 4096, None], 1)
+            for at in range(0, len(own), 512):
+                gap = own[at:at + 512, None, :] - other[None, lo:lo + 4096, :]
+                totals[at:at + 512] += np.sqrt((gap * gap).sum(-1)) @ member
+        return left[[*names, "n", "labels"]].assign(totals=list(totals))
+
+    doubles = ", ".join(f"{x} double" for x in names)
+    parts = here.unionByName(there).groupBy("_i", "_j").applyInPandas(distances, f"{doubles}, n double, labels array<int>, totals array<double>")
+    # Distinct rows are keyed by their features; labels go with them.
+    sums = parts.groupBy(*names).agg(F.first("n").alias("n"), F.first("labels").alias("labels"),
+                                     *[F.sum(F.get("totals", F.lit(s))).alias(f"t{s}") for s in sorted(weight)])
+    curve = []
+    for i, k in enumerate(ks):
+        own, slots = F.get("labels", F.lit(i)), [s for s in sorted(weight) if begin[i] <= s < begin[i + 1]]
+        at = lambda values: F.array_max(F.array(*[F.when(own == s - begin[i], v) for s, v in zip(slots, values)]))  # noqa: E731, B023
+        others = at([F.lit(weight[s]) for s in slots]) - 1
+        near = F.when(others > 0, at([F.col(f"t{s}") for s in slots]) / others)
+        far = F.array_min(F.array(*[F.when(own != s - begin[i], F.col(f"t{s}") / F.lit(weight[s])) for s in slots]))
+        value = F.coalesce(F.try_divide(far - near, F.greatest(near, far)), F.lit(0.0))
+        curve.append(F.struct(F.lit(k).cast("bigint").alias("k"), (F.sum(value * F.col("n")) / F.sum("n")).alias("silhouette")))
+    return sums.agg(F.array(*curve).alias("curve")).select(F.inline("curve"))
 
 
 def combined_curve(counts: DataFrame, curve: DataFrame) -> DataFrame:
@@ -176,3 +236,59 @@ def principal_components(df: DataFrame, id_col: str, vector: str, k: int = 2) ->
     signs = [1.0 if load[abs(load[:, j]).argmax(), j] > 0 else -1.0 for j in range(k)]
     y = vector_to_array("_y")
     return model.transform(centred).select(id_col, *[(y[j] * signs[j]).alias(f"pc{j + 1}") for j in range(k)])
+
+
+def component_rounds(df: DataFrame, id_col: str, vector: str, k: int = 2, rounds: int = 20) -> DataFrame:
+    """(id, pc1..pck): centred vectors on their first ``k`` components after a set number of orthogonal iterations.
+
+    A round multiplies the directions by the scatter matrix without forming it: a task adds up its rows' shares and hands on
+    one row, and ``width x k`` sums pass through the driver, which makes them orthonormal. So width is not bound by a square
+    matrix. The start spreads positions over the directions in turn. Signs are fixed by the largest loading. A direction
+    without variance left gives 0. Vectors have one width and no missing values.
+    """
+    flat = df.select(F.posexplode(vector).alias("pos", "v")).groupBy("pos").agg(F.avg(F.col("v").cast("double")).alias("m"))
+    mean = np.array([r.m for r in flat.orderBy("pos").collect()])
+    rows = cut_lineage(df.select(id_col, F.col(vector).cast("array<double>").alias("_x")))
+    at = np.zeros((len(mean), k))
+    at[np.arange(len(mean)), np.arange(len(mean)) % k] = 1.0
+    at = _orthonormal(at)
+    for _ in range(rounds if len(mean) else 0):
+        at = _orthonormal(_scatter(rows, mean, at))
+    load = at * np.where(at[np.abs(at).argmax(0), np.arange(k)] < 0, -1.0, 1.0) if len(mean) else at
+
+    def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = (np.stack(batch["_x"].to_list()) - mean) @ load if len(batch) else np.zeros((0, k))
+            yield batch[[id_col]].assign(**{f"pc{j + 1}": found[:, j] for j in range(k)})
+
+    kept = f"`{id_col}` {df.schema[id_col].dataType.simpleString()}"
+    return rows.mapInPandas(project, ", ".join([kept, *[f"pc{j + 1} double" for j in range(k)]]))
+
+
+def _scatter(rows: DataFrame, mean: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The scatter matrix of the centred rows times the directions ``at``."""
+    def shares(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(at.shape)
+        for batch in batches:
+            if len(batch):
+                centred = np.stack(batch["_x"].to_list()) - mean
+                total += centred.T @ (centred @ at)
+        yield pd.DataFrame({"share": [total.ravel()]})
+
+    sums = rows.select("_x").mapInPandas(shares, "share array<double>").select(F.posexplode("share").alias("pos", "v")).groupBy("pos").agg(F.sum("v").alias("v"))
+    out = np.zeros(at.size)
+    for pos, v in sums.collect():
+        out[pos] = v
+    return out.reshape(at.shape)
+
+
+def _orthonormal(columns: np.ndarray) -> np.ndarray:
+    """Each column less its parts along the ones before, at length 1; zero where nothing is left."""
+    out = np.zeros(columns.shape)
+    for j in range(columns.shape[1]):
+        left = columns[:, j].copy()
+        for before in range(j):
+            left -= (left @ out[:, before]) * out[:, before]
+        length = np.sqrt(left @ left)
+        out[:, j] = left / length if length > 0 else 0.0
+    return out

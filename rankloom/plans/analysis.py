@@ -238,10 +238,48 @@ def i3_one(spark, sf):
     return cluster.silhouette(cluster.lloyd_rounds(scaled, Z), Z).select("n", r6("silhouette"))
 
 
-@query("i3_silhouette_curve")
-def i3(spark, sf):
+def curve_cte(rounds: int) -> str:
+    """k-means rounds for k = 2..10 over distinct rows, and the silhouette of each: ends in ``curve``."""
+    out = ["""
+zc AS MATERIALIZED (SELECT zx, zy, COUNT(*)::DOUBLE AS n FROM z GROUP BY zx, zy),
+km0 AS (SELECT k, j AS c, x0 + (j + 0.5) / k * (x1 - x0) AS cx, y0 + (j + 0.5) / k * (y1 - y0) AS cy
+  FROM (SELECT k, UNNEST(range(0, k)) AS j FROM range(2, 11) r(k)), (SELECT MIN(zx) AS x0, MAX(zx) AS x1, MIN(zy) AS y0, MAX(zy) AS y1 FROM zc))"""]
+    for i in range(rounds + 1):
+        out.append(f"""
+ka{i} AS MATERIALIZED (SELECT k, zx, zy, ANY_VALUE(n) AS n, arg_min(c, (ROUND((zx - cx) * (zx - cx) + (zy - cy) * (zy - cy), 9), c)) AS c
+  FROM zc, km{i} GROUP BY k, zx, zy)""")
+        if i < rounds:
+            out.append(f"""
+km{i + 1} AS (SELECT m.k, m.c, COALESCE(SUM(zx * n) / SUM(n), ANY_VALUE(m.cx)) AS cx, COALESCE(SUM(zy * n) / SUM(n), ANY_VALUE(m.cy)) AS cy
+  FROM km{i} m LEFT JOIN ka{i} a ON a.k = m.k AND a.c = m.c GROUP BY m.k, m.c)""")
+    out.append(f"""
+sums AS (SELECT p.k, p.zx, p.zy, p.n, p.c = q.c AS same, SUM(q.n) AS m, SUM(q.n * SQRT((p.zx - q.zx) * (p.zx - q.zx) + (p.zy - q.zy) * (p.zy - q.zy))) AS total
+  FROM ka{rounds} p JOIN ka{rounds} q ON q.k = p.k GROUP BY p.k, p.zx, p.zy, p.n, p.c, q.c),
+near AS (SELECT k, zx, zy, n, MAX(CASE WHEN same THEN total / NULLIF(m - 1, 0) END) AS a, MIN(CASE WHEN NOT same THEN total / m END) AS b FROM sums GROUP BY k, zx, zy, n),
+curve AS (SELECT k, SUM(n * COALESCE((b - a) / NULLIF(GREATEST(a, b), 0), 0)) / SUM(n) AS silhouette FROM near GROUP BY k)""")
+    return ",".join(out)
+
+
+def _curve(spark: SparkSession, sf: str, method: str) -> DataFrame:
     scaled = cluster.zscores(_features(spark, sf), ["experience", "spec_count"])
-    return cluster.silhouette_curve(scaled, Z, range(2, 11))
+    return cluster.silhouette_curve(scaled, Z, range(2, 11), method)
+
+
+@query("i3_silhouette_curve", oracle(["directory"], "SELECT k, ROUND(silhouette, 6) AS silhouette FROM curve",
+                                     FEATURES_CTE + "," + z_cte("feats") + "," + curve_cte(3)))
+def i3(spark, sf):
+    return _curve(spark, sf, "rounds").select("k", r6("silhouette"))
+
+
+@query("i3_silhouette_curve_ml")
+def i3_ml(spark, sf):
+    return _curve(spark, sf, "ml")
+
+
+def _itemset_positions(spark: SparkSession, sf: str) -> DataFrame:
+    counts = mining.itemset_curve(_itemsets(spark, sf, THRESHOLDS[0]), THRESHOLDS)
+    at = F.array_position(F.array(*[F.lit(t) for t in THRESHOLDS]), F.col("threshold")) - 1
+    return counts.withColumn("position", at)
 
 
 @query("i4_combined_curve", oracle(["baskets", "catalog"], f"""
@@ -251,13 +289,23 @@ SELECT position, ROUND(n / MAX(n) OVER () + m / MAX(m) OVER (), 6) AS combined F
 JOIN (SELECT bin AS position, m FROM ({_BINNED.format(by='', y='satisfaction')})) USING (position)""", ITEMSETS_CTE))
 def i4(spark, sf):
     """Itemset counts against a second curve of the same length, here mean satisfaction per experience bin."""
-    counts = mining.itemset_curve(_itemsets(spark, sf, THRESHOLDS[0]), THRESHOLDS)
-    at = F.array_position(F.array(*[F.lit(t) for t in THRESHOLDS]), F.col("threshold")) - 1
     catalog = view(spark, sf, "catalog").withColumn("all", F.lit(1))
     curve = stats.binned_means(catalog, "experience", "satisfaction", "all").select(
         F.col("bin").alias("position"), F.col("mean_satisfaction").alias("silhouette")
     )
-    return cluster.combined_curve(counts.withColumn("position", at), curve).select("position", r6("combined"))
+    return cluster.combined_curve(_itemset_positions(spark, sf), curve).select("position", r6("combined"))
+
+
+@query("i4_itemsets_silhouettes", oracle(["baskets", "directory"], f"""
+SELECT position, ROUND(n / top + silhouette / best, 6) AS combined FROM (
+  SELECT *, MAX(n) OVER () AS top FROM (SELECT ROW_NUMBER() OVER (ORDER BY threshold) - 1 AS position, COUNT(s)::DOUBLE AS n
+    FROM {_THRESHOLD_SQL} LEFT JOIN named ON support >= threshold GROUP BY threshold))
+JOIN (SELECT k - 2 AS position, silhouette, MAX(silhouette) OVER () AS best FROM curve) USING (position)""",
+    ITEMSETS_CTE.rstrip() + "," + FEATURES_CTE.lstrip(", \n") + "," + z_cte("feats") + "," + curve_cte(3)))
+def i4_silhouettes(spark, sf):
+    """Itemset counts per threshold against silhouettes per k, by position; the shorter curve decides the length."""
+    curve = _curve(spark, sf, "rounds").select((F.col("k") - 2).alias("position"), "silhouette")
+    return cluster.combined_curve(_itemset_positions(spark, sf), curve).select("position", r6("combined"))
 
 
 @query("i5_principal_components")
@@ -265,6 +313,32 @@ def i5(spark, sf):
     return cluster.principal_components(table(spark, sf, "embeddings"), "vec_id", "embedding")
 
 
+_UNIT = "list_transform({v}, lambda e: e / sqrt(list_dot_product({v}, {v})))"
+
+
+@query("i5_component_rounds", f"""
+WITH RECURSIVE flat AS (SELECT vec_id, UNNEST(range(0, len(embedding))) AS pos, UNNEST(embedding)::DOUBLE AS v FROM embeddings),
+x AS (SELECT vec_id, pos, v - AVG(v) OVER (PARTITION BY pos) AS v FROM flat),
+wide AS (SELECT vec_id, list(v ORDER BY pos) AS v FROM x GROUP BY vec_id),
+scatter AS (SELECT list(line ORDER BY i) AS s FROM (SELECT i, list(v ORDER BY j) AS line FROM (
+  SELECT a.pos AS i, b.pos AS j, SUM(a.v * b.v) AS v FROM x a JOIN x b USING (vec_id) GROUP BY a.pos, b.pos) GROUP BY i)),
+seeds AS (SELECT list(((pos + 1) % 2)::DOUBLE ORDER BY pos) AS v1, list((pos % 2)::DOUBLE ORDER BY pos) AS v2 FROM (SELECT DISTINCT pos FROM x)),
+rounds AS (SELECT 0 AS r, {_UNIT.format(v='v1')} AS v1, {_UNIT.format(v='v2')} AS v2 FROM seeds
+  UNION ALL SELECT r, q1, {_UNIT.format(v='w')} FROM (
+    SELECT r, q1, list_transform(list_zip(y2, q1), lambda p: p[1] - along * p[2]) AS w FROM (
+      SELECT r, q1, y2, list_dot_product(y2, q1) AS along FROM (
+        SELECT r, {_UNIT.format(v='y1')} AS q1, y2 FROM (
+          SELECT r + 1 AS r, list_transform(s, lambda l: list_dot_product(l, v1)) AS y1, list_transform(s, lambda l: list_dot_product(l, v2)) AS y2
+          FROM rounds, scatter WHERE r < 20))))),
+done AS (SELECT v1, v2, list_aggregate(list_transform(v1, lambda e: abs(e)), 'max') AS t1, list_aggregate(list_transform(v2, lambda e: abs(e)), 'max') AS t2
+  FROM rounds WHERE r = 20)
+SELECT vec_id, ROUND(list_dot_product(v, v1) * CASE WHEN list_contains(v1, t1) THEN 1 ELSE -1 END, 6) AS pc1,
+  ROUND(list_dot_product(v, v2) * CASE WHEN list_contains(v2, t2) THEN 1 ELSE -1 END, 6) AS pc2 FROM wide, done""")
+def i5_rounds(spark, sf):
+    found = cluster.component_rounds(table(spark, sf, "embeddings"), "vec_id", "embedding")
+    return found.select("vec_id", r6("pc1"), r6("pc2"))
+
+
 @query("f3_hybrid_filter", oracle(["directory"], """
 SELECT id, cluster, score FROM (SELECT id, c AS cluster, score FROM a3 JOIN feats USING (id)) ORDER BY cluster, score DESC, id LIMIT 5""",
        FEATURES_CTE + ", pool AS (SELECT * FROM feats WHERE contains(LOWER(specialization), 'econ') AND experience >= 10),"
