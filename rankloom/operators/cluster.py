@@ -8,6 +8,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
+from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -131,13 +132,13 @@ def _silhouette(rows: DataFrame, dims: int, chunks: int) -> DataFrame:
 
 
 def silhouette_curve(df: DataFrame, cols: Sequence[str], ks: Sequence[int], method: str = "rounds", rounds: int = 3, seed: int = 42,
-                     pair_chunk: int = PAIR_CHUNK) -> DataFrame:
-    """Mean Euclidean silhouette of k-means for every k: (k, silhouette).
+                     metric: str = "euclidean", pair_chunk: int = PAIR_CHUNK) -> DataFrame:
+    """Mean silhouette of k-means for every k: (k, silhouette).
 
-    ``rounds`` moves the centres of all k together, from seeds on the diagonal, one aggregate per round; ``ml`` fits Spark ML's
+    ``rounds`` moves the centres of all k together, from seeds on the diagonal, one pass per round; ``ml`` fits Spark ML's
     k-means per k. Either way a distinct row carries its cluster for every k, and one pass over pairs of chunks sums the
     distances to the clusters of all of them: a distance is computed once, whatever the number of k. That work grows with the
-    square of the distinct rows. One cluster alone has silhouette 0, as has a cluster's only row; without rows there is no curve.
+    square of the distinct rows; with the metric ``squaredEuclidean`` it is linear. One cluster alone has silhouette 0, as has a cluster's only row; without rows there is no curve.
     """
     names, ks = [f"x{i}" for i in range(len(cols))], [int(k) for k in ks]
     rows = cut_lineage(_counted(df, cols).select(*[F.col(c).cast("double").alias(x) for c, x in zip(cols, names)], F.col("_n").alias("n")))
@@ -146,31 +147,63 @@ def silhouette_curve(df: DataFrame, cols: Sequence[str], ks: Sequence[int], meth
         return df.sparkSession.createDataFrame([], "k bigint, silhouette double")
     # Distinct rows are often few; many near-empty tasks per round would cost more than the rounds.
     rows = rows.coalesce(-(-size // pair_chunk))
-    labels = _round_labels(rows, names, ks, rounds) if method == "rounds" else _ml_labels(rows, names, ks, seed)
-    rows = cut_lineage(labels.select(*names, "n", F.array(*[F.col(f"_p{k}").cast("int") for k in ks]).alias("labels")))
-    return _silhouettes(rows, names, ks, -(-size // pair_chunk))
+    labels = _round_labels(rows, names, ks, rounds) if method == "rounds" else _ml_labels(rows, names, ks, seed, size)
+    rows = cut_lineage(labels)
+    if metric == "euclidean":
+        return _silhouettes(rows, names, ks, -(-size // pair_chunk))
+    judge = ClusteringEvaluator(featuresCol="_x", predictionCol="_p", weightCol="n", distanceMeasure=metric)
+    data = VectorAssembler(inputCols=names, outputCol="_x").transform(rows)
+    held = {k: data.withColumn("_p", F.col("labels")[i].cast("double")) for i, k in enumerate(ks)}
+    found = [(k, float(judge.evaluate(marked)) if marked.select("_p").distinct().count() > 1 else 0.0) for k, marked in held.items()]
+    return df.sparkSession.createDataFrame(found, "k bigint, silhouette double")
 
 
 def _round_labels(rows: DataFrame, names: Sequence[str], ks: Sequence[int], rounds: int) -> DataFrame:
-    """Add ``_p<k>`` for every k. A round is one aggregate; only the centres, one row each, pass through the driver."""
+    """Add ``labels``, the cluster for every k. In a round a task adds up its rows per cluster of every k and hands on one row
+    for each; only these sums over all tasks pass through the driver."""
+    dims = len(names)
     lim = rows.agg(*[f(x) for x in names for f in (F.min, F.max)]).first()
-    spans = [(lim[2 * i], lim[2 * i + 1]) for i in range(len(names))]
-    centres = {k: [[lo + (j + 0.5) / k * (hi - lo) for lo, hi in spans] for j in range(k)] for k in ks}
+    lo, hi = np.array(lim[0::2]), np.array(lim[1::2])
+    centres = {k: lo + (np.arange(k)[:, None] + 0.5) / k * (hi - lo) for k in ks}
+    slots, total = [(k, c) for k in centres for c in range(k)], [f"s{i}" for i in range(dims + 1)]
+
+    def nearest(points: np.ndarray) -> dict[int, np.ndarray]:
+        return {k: np.round(((points[:, None] - at[None]) ** 2).sum(-1), 9).argmin(1) for k, at in centres.items()}
+
+    def shares(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = {k: np.zeros((k, dims + 1)) for k in centres}
+        for batch in batches:
+            points, n = batch[list(names)].to_numpy(), batch["n"].to_numpy()
+            for k, near in nearest(points).items():
+                np.add.at(sums[k], near, np.c_[points * n[:, None], n])
+        yield pd.DataFrame(slots, columns=["k", "c"]).join(pd.DataFrame(np.concatenate(list(sums.values())), columns=total))
+
+    doubles = ", ".join(f"{x} double" for x in total)
     for _ in range(rounds):
-        near = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), _nearest(names, centres[k]).alias("c")) for k in ks]))
-        means = rows.select(*names, "n", near.alias("at")).groupBy("at.k", "at.c").agg(*[F.sum(F.col(x) * F.col("n")) / F.sum("n") for x in names])
-        for k, c, *mean in means.collect():
-            centres[k][c] = [float(v) for v in mean]
-    return rows.withColumns({f"_p{k}": _nearest(names, centres[k]) for k in ks})
+        moved = rows.mapInPandas(shares, f"k int, c int, {doubles}").groupBy("k", "c").agg(*[F.sum(x) for x in total]).collect()
+        held = [(r[0], r[1], np.array(r[2:])) for r in moved if r[-1] > 0]
+        centres = {k: at.copy() for k, at in centres.items()}
+        for k, c, sums in held:
+            centres[k][c] = sums[:-1] / sums[-1]
+
+    def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            near = nearest(batch[list(names)].to_numpy())
+            yield batch.assign(labels=list(np.stack([near[k] for k in ks], 1)))
+
+    return rows.mapInPandas(label, ", ".join([*[f"{x} double" for x in names], "n double", "labels array<int>"]))
 
 
-def _ml_labels(rows: DataFrame, names: Sequence[str], ks: Sequence[int], seed: int) -> DataFrame:
+def _ml_labels(rows: DataFrame, names: Sequence[str], ks: Sequence[int], seed: int, size: int) -> DataFrame:
+    if size == 1:  # Spark's k-means needs two distinct rows
+        return rows.withColumn("labels", F.array(*[F.lit(0)] * len(ks)))
     data = VectorAssembler(inputCols=list(names), outputCol="_x").transform(rows).persist()
     try:
-        models = [KMeans(featuresCol="_x", predictionCol=f"_p{k}", weightCol="n", k=k, seed=seed, maxIter=10).fit(data) for k in ks]
+        models = [KMeans(featuresCol="_x", predictionCol=f"_p{k}", weightCol="n", k=min(k, size), seed=seed, maxIter=10).fit(data) for k in ks]
     finally:
         data.unpersist()
-    return reduce(lambda marked, model: model.transform(marked), models, data)
+    marked = reduce(lambda marked, model: model.transform(marked), models, data)
+    return marked.select(*names, "n", F.array(*[F.col(f"_p{k}").cast("int") for k in ks]).alias("labels"))
 
 
 def _silhouettes(rows: DataFrame, names: Sequence[str], ks: Sequence[int], chunks: int) -> DataFrame:

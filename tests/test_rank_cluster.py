@@ -207,10 +207,11 @@ def test_kmeans(spark):
     assert full.groupby("cluster")["x"].mean().is_monotonic_increasing
     assert set(cluster.kmeans(df.limit(1), ["x", "y"]).toPandas()["cluster"]) == {0}
     assert cluster.kmeans(df.limit(0), ["x", "y"]).count() == 0
-    curve = cluster.silhouette_curve(df, ["x", "y"], [2, 3]).toPandas()
-    assert curve["silhouette"].between(-1, 1).all() and curve["silhouette"].idxmax() == 1
-    squared = cluster.silhouette_curve(df, ["x", "y"], [2, 3], metric="squaredEuclidean").toPandas()
-    assert (squared["silhouette"] > curve["silhouette"]).all()
+    for method in ("rounds", "ml"):
+        curve = cluster.silhouette_curve(df, ["x", "y"], [2, 3], method).toPandas()
+        assert curve["silhouette"].between(-1, 1).all() and curve["silhouette"].idxmax() == 1
+        squared = cluster.silhouette_curve(df, ["x", "y"], [2, 3], method, metric="squaredEuclidean").toPandas()
+        assert (squared["silhouette"] > curve["silhouette"]).all()
 
 
 @pytest.mark.parametrize("chunk", [20_000, 7])
@@ -229,6 +230,40 @@ def test_silhouette_against_brute_force(spark, chunk):
     assert got.n == 41 and got.silhouette == pytest.approx(np.mean(want))
 
 
+@pytest.mark.parametrize("chunk", [20_000, 9])
+def test_curve_equals_one_silhouette_per_k(spark, chunk):
+    rng = np.random.default_rng(21)
+    pts = np.concatenate([rng.integers(0, 8, (60, 2)), [[90, 90]], [[90, 90]], [[-40, 3]]]).astype(float)
+    df = spark.createDataFrame(pts.tolist(), ["x", "y"])
+    ks = [2, 3, 5, 30]
+    got = {r.k: r.silhouette for r in cluster.silhouette_curve(df, ["x", "y"], ks, pair_chunk=chunk).collect()}
+    want = {k: cluster.silhouette(cluster.lloyd_rounds(df, ["x", "y"], k), ["x", "y"]).first()["silhouette"] for k in ks}
+    assert got == pytest.approx(want)
+
+
+def test_curve_of_odd_tables(spark):
+    schema = "x double, y double"
+    assert cluster.silhouette_curve(spark.createDataFrame([], schema), ["x", "y"], [2, 3]).count() == 0
+    same = spark.createDataFrame([(1.0, 2.0)] * 5, schema)
+    for method in ("rounds", "ml"):
+        assert {tuple(r) for r in cluster.silhouette_curve(same, ["x", "y"], [2], method).collect()} == {(2, 0.0)}
+    one_each = spark.createDataFrame([(0.0, 0.0), (9.0, 9.0)], schema)
+    assert cluster.silhouette_curve(one_each, ["x", "y"], [2]).first()["silhouette"] == 0.0
+
+
+def test_component_rounds_reach_the_components(spark):
+    rng = np.random.default_rng(9)
+    mat = rng.normal(0, 1, (200, 5)) * [9, 3, 0.8, 0.3, 0.1] + 7
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(mat)], "id int, v array<double>").repartition(6)
+    got = cluster.component_rounds(df, "id", "v").toPandas().set_index("id").sort_index()
+    want = cluster.principal_components(df, "id", "v").toPandas().set_index("id").sort_index()
+    assert np.allclose(got[["pc1", "pc2"]], want[["pc1", "pc2"]], atol=1e-6)
+    flat = spark.createDataFrame([(i, [1.0, 2.0 * i, 5.0]) for i in range(4)], "id long, v array<double>")
+    rows = cluster.component_rounds(flat, "id", "v").orderBy("id").toPandas()
+    assert np.allclose(rows["pc1"], [-3, -1, 1, 3]) and (rows["pc2"] == 0).all()
+    assert cluster.component_rounds(flat.limit(0), "id", "v").count() == 0
+
+
 def test_principal_components(spark):
     rng = np.random.default_rng(9)
     mat = rng.normal(0, 1, (200, 5)) * [5, 3, 1, 0.5, 0.1] + 7
