@@ -276,15 +276,13 @@ def component_rounds(df: DataFrame, id_col: str, vector: str, k: int = 2, rounds
 
     A round multiplies the directions by the scatter matrix without forming it: a task adds up its rows' shares and hands on
     one row, and ``width x k`` sums pass through the driver, which makes them orthonormal. So width is not bound by a square
-    matrix. The start spreads positions over the directions in turn. Signs are fixed by the largest loading. A direction
+    matrix. Direction j starts at sin(j), sin(2j), ..., which constant positions do not make orthogonal to the rows. Signs are fixed by the largest loading. A direction
     without variance left gives 0. Vectors have one width and no missing values.
     """
     flat = df.select(F.posexplode(vector).alias("pos", "v")).groupBy("pos").agg(F.avg(F.col("v").cast("double")).alias("m"))
     mean = np.array([r.m for r in flat.orderBy("pos").collect()])
     rows = cut_lineage(df.select(id_col, F.col(vector).cast("array<double>").alias("_x")))
-    at = np.zeros((len(mean), k))
-    at[np.arange(len(mean)), np.arange(len(mean)) % k] = 1.0
-    at = _orthonormal(at)
+    at = _orthonormal(np.sin(np.outer(np.arange(1, len(mean) + 1), np.arange(1, k + 1))))
     for _ in range(rounds if len(mean) else 0):
         at = _orthonormal(_scatter(rows, mean, at))
     load = at * np.where(at[np.abs(at).argmax(0), np.arange(k)] < 0, -1.0, 1.0) if len(mean) else at

@@ -322,7 +322,7 @@ x AS (SELECT vec_id, pos, v - AVG(v) OVER (PARTITION BY pos) AS v FROM flat),
 wide AS (SELECT vec_id, list(v ORDER BY pos) AS v FROM x GROUP BY vec_id),
 scatter AS (SELECT list(line ORDER BY i) AS s FROM (SELECT i, list(v ORDER BY j) AS line FROM (
   SELECT a.pos AS i, b.pos AS j, SUM(a.v * b.v) AS v FROM x a JOIN x b USING (vec_id) GROUP BY a.pos, b.pos) GROUP BY i)),
-seeds AS (SELECT list(((pos + 1) % 2)::DOUBLE ORDER BY pos) AS v1, list((pos % 2)::DOUBLE ORDER BY pos) AS v2 FROM (SELECT DISTINCT pos FROM x)),
+seeds AS (SELECT list(sin(pos + 1) ORDER BY pos) AS v1, list(sin(2 * (pos + 1)) ORDER BY pos) AS v2 FROM (SELECT DISTINCT pos FROM x)),
 rounds AS (SELECT 0 AS r, {_UNIT.format(v='v1')} AS v1, {_UNIT.format(v='v2')} AS v2 FROM seeds
   UNION ALL SELECT r, q1, {_UNIT.format(v='w')} FROM (
     SELECT r, q1, list_transform(list_zip(y2, q1), lambda p: p[1] - along * p[2]) AS w FROM (
