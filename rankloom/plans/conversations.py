@@ -366,3 +366,20 @@ def t2(spark, sf):
     counts = jobs.run_event_counts(jobs.stream_files(spark, files, jobs.EVENTS), out, checkpoint)
     day = F.floor(F.unix_micros("window_start") / F.lit(86_400_000_000)).cast("bigint")
     return counts.select(day.alias("day"), "user_id", "event_type", "n_events")
+
+
+@query("t2_event_log", """
+WITH marked AS (SELECT *, event_id % 3 = 0 AND ts <= (SELECT MAX(ts) FROM events WHERE event_id % 3 <> 0) - INTERVAL 5 DAY AS late FROM events)
+SELECT epoch_us(ts) // 86400000000 AS day, user_id, event_type, COUNT(*) FILTER (NOT late) AS n_events, COUNT(*) FILTER (late) AS n_late FROM marked GROUP BY ALL""")
+def t2_log(spark, sf):
+    """The log after two runs: a third of the events comes in the second one, much of it too late."""
+    root, files, events = work_path(spark, "event-log"), work_path(spark, "event-files"), table(spark, sf, "events")
+    for rows in (events.where("event_id % 3 <> 0"), events.where("event_id % 3 = 0")):
+        rows.write.mode("append").parquet(files)
+        jobs.run_event_log(spark, files, root, late="5 days")
+    micros = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)")
+    day = lambda at: F.floor(at / F.lit(86_400_000_000)).cast("bigint").alias("day")
+    keys = ["day", "user_id", "event_type"]
+    kept = jobs.event_snapshot(spark, root).select(day(F.unix_micros("window_start")), *keys[1:], "n_events", F.lit(0).cast("bigint").alias("n_late"))
+    late = jobs.late_events(spark, root).select(day(micros), *keys[1:]).groupBy(*keys).agg(F.lit(0).cast("bigint").alias("n_events"), F.count(F.lit(1)).alias("n_late"))
+    return kept.unionByName(late).groupBy(*keys).agg(F.sum("n_events").alias("n_events"), F.sum("n_late").alias("n_late"))

@@ -344,3 +344,51 @@ def test_page_stream_reads_new_files_once(spark, sf, tmp_path):
     assert run().count() == extract_listings(pages.where("page_id < 20"), **LIST_LAYOUT).count()
     pages.where("page_id >= 20").write.mode("append").parquet(src)
     assert sorted(map(tuple, run().collect())) == sorted(map(tuple, extract_listings(pages, **LIST_LAYOUT).collect()))
+
+
+def test_event_log_over_runs(spark, tmp_path):
+    files, root = f"{tmp_path}/files", f"{tmp_path}/log"
+
+    def run(rows):
+        if rows is not None:
+            spark.createDataFrame(rows, jobs.EVENTS).coalesce(1).write.mode("append").parquet(files)
+        jobs.run_event_log(spark, files, root, window="1 hour", late="1 hour")
+        kept = {(r.window_start.strftime("%d-%H"), r.user_id, r.event_type): r.n_events for r in jobs.event_snapshot(spark, root).collect()}
+        return kept, {r.event_id for r in jobs.late_events(spark, root).collect()}
+
+    spark.createDataFrame([], jobs.EVENTS).write.parquet(files)
+    assert run(None) == ({}, set())
+    # No row is late in the first batch, however old; a repeated id counts once.
+    assert run([event(1, 10), event(2, 200), event(2, 200), event(3, 190, "view")]) == (
+        {("01-00", 1, "click"): 1, ("01-03", 1, "click"): 1, ("01-03", 1, "view"): 1}, set())
+    # Newest so far is minute 200: minute 140 is an hour older and late, 141 is not; an open window goes on; no time, no window.
+    second = [event(4, 140), event(5, 141), event(6, 201), event(2, 200), (7, None, 1, "click", 1.0, "{}")]
+    want = {("01-00", 1, "click"): 1, ("01-02", 1, "click"): 1, ("01-03", 1, "click"): 2, ("01-03", 1, "view"): 1}
+    assert run(second) == (want, {4, 7})
+    snapshots = spark.read.parquet(f"{root}/current")
+    before = snapshots.count()
+    assert run(None) == (want, {4, 7}) and len(jobs.event_snapshot(spark, root).inputFiles()) >= 1
+    # A run with late rows alone leaves the counts; the mark does not go back.
+    assert run([event(8, 0), event(9, 139)]) == (want, {4, 7, 8, 9})
+    assert run([event(10, 900)])[0] == want | {("01-15", 1, "click"): 1}
+    assert spark.read.parquet(f"{root}/current").count() > before
+    path = spark.read.parquet(f"{root}/current").orderBy("upto", ascending=False).first().path
+    assert all(path in name for name in jobs.event_snapshot(spark, root).inputFiles())
+
+
+def test_event_log_repeats_a_broken_run(spark, tmp_path, monkeypatch):
+    files, root = f"{tmp_path}/files", f"{tmp_path}/log"
+    spark.createDataFrame([event(i, i) for i in range(30)], jobs.EVENTS).coalesce(1).write.parquet(files)
+
+    def broken(*_):
+        raise RuntimeError("stopped")
+
+    with monkeypatch.context() as patched:
+        patched.setattr(jobs, "_fold", broken)
+        with pytest.raises(RuntimeError):
+            jobs.run_event_log(spark, files, root)
+    assert jobs.event_snapshot(spark, root).count() == 0
+    spark.createDataFrame([event(i, i) for i in range(30, 40)], jobs.EVENTS).coalesce(1).write.mode("append").parquet(files)
+    for _ in range(2):
+        jobs.run_event_log(spark, files, root)
+        assert jobs.event_snapshot(spark, root).agg({"n_events": "sum"}).first()[0] == 40
