@@ -30,7 +30,7 @@ from rankloom.llm import arrays as A
 from rankloom.session import cut_lineage
 
 UNKNOWN = "und"
-#: Most rows (a language and a hash) of the sample's list that are sent to every task.
+#: Most rows of the sample's list (a language and a hash) or of the languages' counts that are sent to every task.
 MAX_SENT_ROWS = 100_000
 _NO_LETTERS = re.compile(r"[\W\d_]+")
 
@@ -55,9 +55,14 @@ def learn_dictionaries(
     pool = docs.where(learn_from & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(
         F.col(lang_col).alias("lang"), F.col(text_col).alias("text")
     )
-    # First the hashes alone: the group limit keeps ``per_language`` of them before and after the shuffle.
+    # First the hashes alone. Of a language with n of them only those in a share that holds a quarter more than wanted, and
+    # some for small numbers, are ordered: the smallest ``per_language`` are far below, and no language fills a task.
+    hashes = cut_lineage(pool.select("lang", order.alias("h")).distinct())
+    wanted = 1.25 * per_language + 100
+    counts = cut_lineage(hashes.groupBy("lang").agg((F.lit(wanted) / F.count(F.lit(1))).alias("share")))
+    near = hashes.join(F.broadcast(counts) if counts.count() <= MAX_SENT_ROWS else counts, "lang").where(F.col("h") / float(1 << 64) + 0.5 <= F.col("share"))
     rank = Window.partitionBy("lang").orderBy("h")
-    chosen = pool.select("lang", order.alias("h")).distinct().withColumn("r", F.row_number().over(rank)).where(F.col("r") <= per_language)
+    chosen = near.select("lang", "h", F.row_number().over(rank).alias("r")).where(F.col("r") <= per_language)
     chosen = cut_lineage(chosen.drop("r"))
     # At most per_language rows of each language: sent to every task unless there are very many languages.
     sent = F.broadcast(chosen) if chosen.count() <= MAX_SENT_ROWS else chosen

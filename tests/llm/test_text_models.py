@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from rankloom.llm import arrays as A
 from rankloom.llm import exchange as X
 from rankloom.llm import interpolation as I
-from rankloom.llm.language import learn_dictionaries, with_language
+from rankloom.llm.language import learn_dictionaries, letters, with_language
 from rankloom.llm.toxicity import ORDER, build, figures, learn, windows, with_toxicity
 
 DOCS = "doc_id long, text string"
@@ -204,3 +204,15 @@ def test_language_held_out_accuracy(spark):
     truth = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang")
     rows = op7_language(spark, sf).where("held_out").join(truth, "doc_id").collect()
     assert np.mean([r.lang_pred == r.lang for r in rows]) >= 0.95 and all(0 <= r.score <= 1 for r in rows)
+
+
+def test_language_sample_is_the_smallest_hashes(spark):
+    """The share of hashes that are ordered holds all that are chosen, in large languages and small ones."""
+    rows = [(f"wort {'abcdefghij'[i % 10] * (i // 10 + 1)} ende", "de") for i in range(3000)] + [(f"word {'k' * (i + 1)}", "en") for i in range(7)]
+    docs = spark.createDataFrame(rows, "text string, lang string").repartition(16)
+    got = learn_dictionaries(docs, F.lit(True), per_language=20, dictionary_bytes=1 << 20)
+    want = {}
+    for row in docs.select("text", "lang", F.xxhash64("text").alias("h")).toPandas().sort_values("h").groupby("lang"):
+        want[row[0]] = {letters(t) for t in row[1]["text"].head(20)}
+    assert {lang: all(t in data for t in want[lang]) for lang, data in got.items()} == {"de": True, "en": True}
+    assert {lang: len(data) for lang, data in got.items()} == {lang: sum(map(len, texts)) for lang, texts in want.items()}
