@@ -42,6 +42,11 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return up[:n], down[:n]
 
 
+def forget_powers() -> None:
+    """Drop the powers held for the next batch."""
+    _powers.cache_clear()
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Spread every bit of a 64-bit number over all bits (a bijection)."""
     h = (h ^ (h >> _U(30))) * _U(0xBF58476D1CE4E5B9)

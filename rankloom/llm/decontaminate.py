@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rankloom.llm import arrays as A
-from rankloom.llm.common import arrow_schema, columns
+from rankloom.llm.common import arrow_schema, columns, giving_back
 from rankloom.session import cut_lineage
 
 #: Characters of benchmark text in one index, which takes 16 bytes for each and a table of at most 64 MB.
@@ -330,7 +330,7 @@ def with_matches(
     if not sent:
         return rows.withColumn("text", F.array().cast(MATCHES)).toDF(*kept, "matches")
     schema = T.StructType([*rows.schema[:-1], T.StructField("matches", MATCHES)])
-    return rows.mapInArrow(_scan(sent, (q, window, error)), schema).toDF(*kept, "matches")
+    return rows.mapInArrow(giving_back(_scan(sent, (q, window, error))), schema).toDF(*kept, "matches")
 
 
 def _scan(sent: list[Any], settings: tuple[int, int, float]):

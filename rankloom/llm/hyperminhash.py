@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from rankloom.llm import arrays as A
 from rankloom.llm import exchange as X
-from rankloom.llm.common import arrow_schema, map_batches
+from rankloom.llm.common import arrow_schema, giving_back, map_batches
 from rankloom.llm.components import connected_components
 from rankloom.session import cut_lineage, work_path
 
@@ -259,7 +259,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = spark.read.parquet(path)
     entries = sets.agg(F.sum("n")).first()[0] or 0
     path = work_path(spark, "near-requests")
-    sets.mapInArrow(_request_sets(X.parts_for(entries)), X.REQUEST).write.parquet(path)
+    sets.mapInArrow(giving_back(_request_sets(X.parts_for(entries))), X.REQUEST).write.parquet(path)
     asked = spark.read.parquet(path)
     answers = X.answer(asked.where(F.col("space") == 0)).where(F.col("block") != X.SUMMARY)
     bounds = asked.where(F.col("space") == -1).groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_unshared, _BOUNDS)

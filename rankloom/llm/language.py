@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.llm import arrays as A
+from rankloom.llm.common import giving_back
 from rankloom.session import cut_lineage
 
 UNKNOWN = "und"
@@ -143,4 +144,4 @@ def with_language(
                 [*columns, *[pa.array(list(v), t) for v, t in zip(new, types, strict=True)]], names=[*kept, *added]
             )
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(giving_back(run), schema)

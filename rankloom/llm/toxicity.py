@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.llm import arrays as A
-from rankloom.llm.common import map_batches
+from rankloom.llm.common import giving_back, map_batches
 
 #: Close to 1, so that a window of one document alone counts for little.
 DISCOUNT = 0.95
@@ -254,4 +254,4 @@ def with_toxicity(docs: DataFrame, model: dict[str, Any], text_col: str = "text"
                 new = [pa.array(score), pa.array((score >= 0.5).astype(np.int32))]
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], *new], names=[*kept, "score", "predicted"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(giving_back(run), schema)
