@@ -18,13 +18,19 @@ def _clipped() -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("w")))
 
 
+def with_profiles(weights: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Weights with their items' columns. Both sides are shuffled: Spark takes a table of weights that are made of the
+    items themselves for as small as these, however many solutions there are, and would collect all of it for a broadcast."""
+    return weights.join(catalog.hint("merge"), "item_id")
+
+
 def solution_objectives(weights: DataFrame, catalog: DataFrame, keys: Sequence[str] = ("sol_id",)) -> DataFrame:
     """Objective vector per solution: clipped weights, normalised by their sum, times the profiles.
 
     One equi-join and one partial aggregate; gains are negated so that all objectives are minimised.
     """
     w, total = _clipped(), F.sum(_clipped()) + fixed.TINY
-    joined = weights.join(catalog.select("item_id", "experience", "settlements", "satisfaction", "price"), "item_id")
+    joined = with_profiles(weights, catalog.select("item_id", "experience", "settlements", "satisfaction", "price"))
     return joined.groupBy(*keys).agg(
         *[(-F.sum(w * F.col(c)) / total).alias(f"obj_{c}") for c in ("experience", "settlements", "satisfaction")],
         (F.sum(w * F.col("price")) / total).alias("obj_price"),
