@@ -693,7 +693,7 @@ _OBJ_SQL = "ROUND(a, 6) AS obj_experience, ROUND(b, 6) AS obj_settlements, ROUND
 SELECT sol_id, ROUND(SUM(w * experience), 6) AS experience, ROUND(SUM(w * price), 6) AS price
 FROM solutions JOIN catalog USING (item_id) GROUP BY sol_id""", SOLUTIONS_CTE))
 def g6(spark, sf):
-    joined = solutions(spark, sf).join(view(spark, sf, "catalog"), "item_id")
+    joined = portfolio.with_profiles(solutions(spark, sf), view(spark, sf, "catalog"))
     return joined.groupBy("sol_id").agg(*[F.round(F.sum(F.col("w") * F.col(c)), 6).alias(c) for c in ("experience", "price")])
 
 

@@ -29,3 +29,11 @@ def test_weights_are_not_collected_for_a_broadcast(spark):
         w = [(i * 7 + s) % 10 / 10 for i in range(50)]
         want[s] = round(sum(x * (i % 11) for i, x in enumerate(w)) / (sum(w) + 1e-6), 9)
     assert {r.sol_id: round(r.obj_price, 9) for r in found.collect()} == want
+
+
+def test_the_product_of_weights_and_profiles_is_shuffled(spark, sf):
+    from rankloom.plans.registry import QUERIES
+
+    assert "Broadcast" not in plan_of(portfolio.with_profiles(made_weights(spark, 50, 3), made_catalog(spark, 50)))
+    plan = plan_of(QUERIES["g6_solution_product"](spark, sf))
+    assert plan.count("SortMergeJoin") >= 1 and "Generate" in plan
