@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.functions import fixed
 from rankloom.operators.score import first_per
-from rankloom.operators.skyline import pareto_front
+from rankloom.operators.skyline import MAX_SENT_BYTES, pareto_front
+from rankloom.session import cut_lineage
 
 OBJECTIVES = ["obj_experience", "obj_settlements", "obj_satisfaction", "obj_price"]
 
@@ -38,9 +40,15 @@ def solution_objectives(weights: DataFrame, catalog: DataFrame, keys: Sequence[s
 
 
 def representatives(weights: DataFrame, keys: Sequence[str] = ("sol_id",)) -> DataFrame:
-    """The item with the largest weight per solution, the first one on ties."""
-    best = F.max_by("item_id", F.struct(_clipped(), -F.col("item_id")))
-    return weights.groupBy(*keys).agg(best.alias("item_id"))
+    """The item with the largest weight per solution, the first one on ties.
+
+    Two passes with buffers of fixed width, which are hashed: one over (weight, item) pairs would sort all weights of a task.
+    """
+    top = cut_lineage(weights.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.max(_clipped()).alias("_top")))
+    small = top.count() * 16 * len(top.columns) <= MAX_SENT_BYTES
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    best = weights.join(F.broadcast(top) if small else top.hint("merge"), same & (_clipped() == F.col("_top")))
+    return best.groupBy(*keys).agg(F.min("item_id").alias("item_id"))
 
 
 def select_portfolio(weights: DataFrame, catalog: DataFrame, keys: Sequence[str] = ("sol_id",)) -> DataFrame:

@@ -37,3 +37,12 @@ def test_the_product_of_weights_and_profiles_is_shuffled(spark, sf):
     assert "Broadcast" not in plan_of(portfolio.with_profiles(made_weights(spark, 50, 3), made_catalog(spark, 50)))
     plan = plan_of(QUERIES["g6_solution_product"](spark, sf))
     assert plan.count("SortMergeJoin") >= 1 and "Generate" in plan
+
+
+def test_representatives_sort_no_weights(spark):
+    rows = [(1, 7, 2.0), (1, 3, 1.0), (1, 9, 0.5), (None, 5, 0.2), (None, 4, 0.2), (2, 8, None), (2, 6, 0.9), (3, None, 0.4), (4, None, 0.4), (4, 2, 0.4), (2, 8, None)]
+    weights = spark.createDataFrame(rows, "sol_id long, item_id long, w double")
+    found = portfolio.representatives(weights)
+    assert "SortAggregate" not in plan_of(found)
+    # Clipped weights tie, a missing weight counts as 1, the first item wins and a missing one comes last.
+    assert {r.sol_id: r.item_id for r in found.collect()} == {1: 3, None: 4, 2: 8, 3: None, 4: 2}
