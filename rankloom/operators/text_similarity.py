@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from rankloom.session import block_count, cut_lineage
 
-#: A vocabulary of at most this many terms is broadcast (about 100 MB); a larger one is joined by shuffle.
+#: So many terms are broadcast (about 100 MB), the most frequent ones first; the others are joined by shuffle.
 MAX_SHIPPED_TERMS = 2_000_000
-#: Terms above this share of all postings count as frequent; there can be at most 1/share of them.
-HOT_SHARE = 1e-4
+#: Tasks that count the terms of one split of the texts (by default 128 MB in Parquet); postings take far more memory.
+TASKS_PER_SPLIT = 4
 #: Most query postings shipped to every executor (about 60 MB).
 MAX_SHIPPED_POSTINGS = 2_000_000
 #: Scores a task holds before it keeps only the best of them.
@@ -27,8 +27,12 @@ def terms_of(text: Column | str) -> Column:
 
 
 def term_counts(df: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(id, term, tf). Texts are spread by id once; counting and later sums per id need no further shuffle."""
-    rows = df.select(id_col, text).repartition(id_col)
+    """(id, term, tf). Texts are spread by id once; counting and later sums per id need no further shuffle.
+
+    The number of tasks is set by the texts, as a task that Spark merges by the size of the texts would spill their postings."""
+    rows = df.select(id_col, text)
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), TASKS_PER_SPLIT * rows.rdd.getNumPartitions())
+    rows = rows.repartition(tasks, id_col)
     return rows.select(id_col, F.explode(terms_of(text)).alias("term")).groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -46,17 +50,24 @@ def term_weights(df: DataFrame, text: str) -> DataFrame:
 def weigh(counts: DataFrame, weights: DataFrame, max_shipped: int = MAX_SHIPPED_TERMS) -> DataFrame:
     """Postings with the columns of ``weights``; terms without weights drop out.
 
-    A vocabulary beyond the bound is split: the few frequent terms, each of which would fill a join
-    partition, are broadcast and all others meet in a shuffle join.
+    A vocabulary beyond the bound is split by frequency: as many of the most frequent terms as fit are broadcast, so that nearly
+    all postings stay where their texts are, and only those of the rare terms meet their weights in a shuffle join.
     """
     if weights.count() <= max_shipped:
         return counts.join(F.broadcast(weights), "term")
-    postings = weights.agg(F.sum("df").alias("n")).scalar()
-    marked = weights.withColumn("_hot", F.col("df") > postings * HOT_SHARE)
-    few = F.broadcast(marked.where("_hot").drop("_hot"))
-    hot = counts.join(few, "term")
-    cold = counts.join(few, "term", "left_anti").join(marked.where("NOT _hot").drop("_hot"), "term")
-    return hot.unionByName(cold)
+    least, sent = None, 0
+    # Different frequencies are few: at most the root of twice the postings.
+    for row in sorted(weights.groupBy("df").agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r["df"]):
+        sent += row["n"]
+        if sent > max_shipped:
+            break
+        least = row["df"]
+    # If more terms than fit share the highest frequency, none of them is frequent.
+    often = F.col("df") >= least if least is not None else F.lit(False)
+    few = F.broadcast(weights.where(often))
+    # The sides of the second join look small to Spark, whatever their size.
+    rest = counts.join(few, "term", "left_anti").join(weights.where(~often).hint("merge"), "term")
+    return counts.join(few, "term").unionByName(rest)
 
 
 def text_vectors(df: DataFrame, id_col: str, text: str) -> DataFrame:

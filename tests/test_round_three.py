@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rankloom.operators import match, portfolio
+from rankloom.operators import match, portfolio, text_similarity
 
 
 def plan_of(df):
@@ -80,3 +80,22 @@ def test_rows_are_copied_only_to_the_blocks_of_their_domain(spark):
     assert set(plan) == set(asked) and -1 in plan
     # A domain of about 50 items is one or two parts, all items are five: 32 blocks for every request before.
     assert copies <= 240 * 3
+
+
+@pytest.mark.parametrize("shipped", [0, 1, 3, 4, 100])
+def test_only_rare_terms_are_shuffled_to_their_weights(spark, shipped):
+    # Term t<i> stands in i texts; "t0" has no weight.
+    counts = spark.createDataFrame([(d, f"t{i}", 1) for i in range(6) for d in range(max(i, 1))], "id long, term string, tf long")
+    weights = spark.createDataFrame([(f"t{i}", i, float(i)) for i in range(1, 6)], "term string, df long, idf double")
+    found = text_similarity.weigh(counts, weights, shipped)
+    assert sorted((r.id, r.term, r.df) for r in found.collect()) == sorted((d, f"t{i}", i) for i in range(1, 6) for d in range(i))
+    if 0 < shipped < 5:
+        cold = [x for x in plan_of(found).split("\n") if "Filter" in x and "(df#" in x and f"< {6 - shipped})" in x]
+        assert cold  # the frequent terms that fit have no part in the shuffle join
+
+
+def test_texts_are_counted_in_tasks_that_are_not_merged(spark):
+    texts = spark.range(0, 40, 1, 10).select("id", F.concat_ws(" ", F.lit("a b b"), F.col("id").cast("string")).alias("text"))
+    counted = text_similarity.term_counts(texts, "id", "text")
+    assert counted.rdd.getNumPartitions() >= 4 * 10
+    assert counted.where("term = 'b' AND tf = 2").count() == 40
