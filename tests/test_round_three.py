@@ -99,3 +99,16 @@ def test_texts_are_counted_in_tasks_that_are_not_merged(spark):
     counted = text_similarity.term_counts(texts, "id", "text")
     assert counted.rdd.getNumPartitions() >= 4 * 10
     assert counted.where("term = 'b' AND tf = 2").count() == 40
+
+
+def test_best_rows_of_tiles_equal_one_sort():
+    rng = np.random.default_rng(3)
+    scores, ok, ids = rng.integers(-3, 4, (30, 400)) / 7, rng.random((30, 400)) < rng.random((30, 1)) ** 3, rng.permutation(400)
+    best = match._Best(30, 6)
+    for lo in range(0, 30, 8):
+        for at in range(0, 400, 50):
+            r, tile = np.arange(lo, min(lo + 8, 30)), slice(at, at + 50)
+            best.offer(r, ids[tile], scores[r, tile], ok[r, tile])
+    want = [(q, i) for q in range(30) for _, i in sorted((-round(scores[q, c], 9), ids[c]) for c in range(400) if ok[q, c])[:6]]
+    r, found, _ = best.found()
+    assert list(zip(r, found)) == want
