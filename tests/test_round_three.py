@@ -181,3 +181,22 @@ def test_clustered_requests_do_not_pass_through_the_driver(spark, monkeypatch, m
     for request_id in {r.request_id for r in found}:
         own = sorted((r for r in found if r.request_id == request_id), key=lambda r: r.rank)
         assert [r.rank for r in own] == [1, 2, 3, 4] and [(r.cluster, -r.score, r.id) for r in own] == sorted((r.cluster, -r.score, r.id) for r in own)
+
+
+def test_wishes_move_scores_past_rows_with_better_features():
+    requests, rows = clustered()
+    requests = requests.drop(columns=["exact_exp"]).assign(
+        place=None, wanted_specs=[[]] * len(requests), required_spec=[("z", None)[a % 2] for a in requests["_asked"]],
+        excluded_places=[[]] * len(requests), excluded_specs=[[["a"], []][a % 2] for a in requests["_asked"]])
+    got = hybrid._first_rows(requests, rows, hybrid.PreferenceFilters, 2)
+    want = []
+    for q in requests.itertuples():
+        found = []
+        for d in rows[rows["experience"] >= q.min_exp].itertuples():
+            z = [(d.experience - 10) / 5, float(d.spec_count - 2)]
+            cluster = min(range(3), key=lambda c: (round(sum((x - m) ** 2 for x, m in zip(z, q.centres[c])), 9), c))
+            cosine = q.embedding @ d.embedding / np.linalg.norm(q.embedding) / np.linalg.norm(d.embedding)
+            bonus = 0.2 * ("z" in d.specialization) - 0.2 * ("a" in d.specialization) if q.required_spec else 0
+            found.append((cluster, -round(cosine + (d.experience + d.spec_count) / 10 + bonus, 9), d.id))
+        want += [(q.request_id, i, c) for at in range(q.last + 1) for c, _, i in sorted(x for x in found if x[0] == at)[:2]]
+    assert sorted(want) == sorted(got[["request_id", "id", "cluster"]].itertuples(index=False, name=None))
